@@ -5,10 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import mixing, spans, tokenizer
+from weftline.llm import mixing, parse_files, spans, tokenizer
 from weftline.session import materialize, ship, table
 
 
+def _files(spark: SparkSession, d: str) -> DataFrame:
+    ship(spark)
+    return table(spark, d, "source_files", "file_no", "repo", "path", "content")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return parse_files.invalid_files(_files(spark, d))
+
+
+def p5_faults(spark: SparkSession, d: str) -> DataFrame:
+    """Every fault of every file, its line and cause."""
+    parsed = parse_files.parse_files(_files(spark, d)).filter(~F.col("accepted")).dropDuplicates(["file_no"])
+    return parsed.select("file_no", F.posexplode("faults").alias("fault_no", "f")).select(
+        "file_no", "fault_no", "f.line", "f.cause", (F.col("fault_no") == 0).alias("is_first")
+    )
+
+
+def p5_rates(spark: SparkSession, d: str) -> DataFrame:
+    return parse_files.rates(_files(spark, d))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     ship(spark)
     return tokenizer.encode_texts(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
@@ -45,5 +66,7 @@ def p8_shared_parts(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_parts(docs, spans.shared_spans(spark, docs))
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p6_token_counts, p7_mixture, p7_shares, p8_found, p8_shared_parts)}
+QUERIES = {f.__name__: f for f in (
+    p5_found, p5_faults, p5_rates, p6_ids, p6_token_counts, p7_mixture, p7_shares, p8_found, p8_shared_parts,
+)}
 SQL: dict[str, str] = {}
