@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.plans.change_sql import SQL  # noqa: F401
 from weftline.operators import incremental, nested, references, snapshot_diff
 from weftline.session import scratch, ship, table
 
