@@ -10,6 +10,8 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 TARGET_PARTITION_BYTES = 24 << 20
+MOST_PARTITIONS = 1 << 20
+UNKNOWN_BYTES = 1 << 60
 
 
 def session(app: str = "weftline", cores: str = "*", partitions: int = 8) -> SparkSession:
@@ -42,10 +44,14 @@ def size_bytes(df: DataFrame) -> int:
 def partitions_for(spark: SparkSession, df: DataFrame, target: int = TARGET_PARTITION_BYTES, expand: float = 4.0) -> int:
     """A partition count that keeps one partition near `target` bytes once decoded.
 
-    `expand` is the assumed ratio of decoded to stored bytes. Never below the session's shuffle partitions.
+    `expand` is the assumed ratio of decoded to stored bytes. Never below the session's shuffle partitions, which also
+    hold where the optimizer does not know a size (rows made on the driver).
     """
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, int(size_bytes(df) * expand / target) + 1)
+    size = size_bytes(df)
+    if size >= UNKNOWN_BYTES:
+        return least
+    return min(MOST_PARTITIONS, max(least, int(size * expand / target) + 1))
 
 
 def shared_dir(spark: SparkSession) -> str:
