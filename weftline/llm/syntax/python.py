@@ -602,8 +602,6 @@ class Python(Parser):
             self.test()
             if self.eat("="):
                 self.yield_or_expressions()
-        elif kind == STARRED:
-            self.fail("cannot use a starred expression here")
 
     def yield_or_expressions(self) -> int:
         if self.at("yield"):

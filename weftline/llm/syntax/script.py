@@ -808,6 +808,7 @@ class Script(Parser):
                     return True
                 if self.peek() == "(":
                     return self.arrow_after(self.closing(self.p + 1))
+                return self.peek() == "<" and self.typed
             return False
         if k == "(":
             return self.arrow_after(self.closing(self.p))
