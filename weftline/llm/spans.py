@@ -9,6 +9,10 @@ A fingerprint that occurs in two texts is a candidate. Its surroundings (every s
 compared as a whole by a second, independent hash: where they are equal in another text, all of it is shared. Where they
 are not, a span ends nearby: for one text of each kind of surroundings the stretches are hashed one by one and verified
 by two independent hashes. Pairs of texts are never formed; copies of one text count as one with a multiplicity.
+
+Before each shuffle, what many texts of a batch share is settled there and then: the batch sends two witnesses on, for
+the texts elsewhere, and the others' characters are known to be shared. So a header of a third of all texts costs a
+bucket two rows a batch, not one a text.
 """
 
 from __future__ import annotations
@@ -123,13 +127,31 @@ def _batches(numbers: list, texts: list, limit: int = SLICE_CHARS) -> Iterator[t
         yield held_n, held_t
 
 
-PRINT = "h bigint, around bigint, kin bigint, doc bigint, pos bigint, n bigint"
+def _settle(same: np.ndarray, kin: np.ndarray) -> np.ndarray:
+    """Which rows, with an equality key and a text each, are known to be shared and need not be sent on.
+
+    Of rows of one key in two texts or more, those of the least and the greatest text are witnesses and are sent; the
+    others are known to be shared. Rows alone in their key are sent.
+    """
+    _, group = np.unique(same, axis=0, return_inverse=True)
+    group = group.ravel()
+    m = int(group.max()) + 1 if group.size else 0
+    lo, hi = np.full(m, np.iinfo(np.int64).max), np.full(m, np.iinfo(np.int64).min)
+    np.minimum.at(lo, group, kin)
+    np.maximum.at(hi, group, kin)
+    return (kin != lo[group]) & (kin != hi[group])
+
+
+PRINT = "h bigint, around bigint, kin bigint, doc bigint, pos bigint, n bigint, known boolean"
 
 
 def _print(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Fingerprints of the texts of a partition; a text met again in it is not printed again."""
+    """Fingerprints of the texts of a partition; a text met again in it is not printed again.
+
+    A row that is `known` is no fingerprint: its surroundings are shared; it stands under its text, not under the hash.
+    """
     seen: set[int] = set()
-    names = ["h", "around", "kin", "doc", "pos", "n"]
+    names = ["h", "around", "kin", "doc", "pos", "n", "known"]
     for b in batches:
         todo: list[tuple[int, int, int, int, str]] = []
         for doc, kin, text in zip(*(c.to_pylist() for c in b.columns)):
@@ -144,7 +166,9 @@ def _print(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held, texts in _batches(todo, [x[4] for x in todo]):
             of, pos, h, around = fingerprints(texts)
             doc, kin, lo, n = (np.array([x[i] for x in held], np.int64)[of] for i in range(4))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, around, kin, doc, pos + lo, n)], names=names)
+            known = _settle(np.stack([h, around], axis=1), kin)
+            cells = (np.where(known, kin, h), np.where(known, pos + lo, around), kin, doc, pos + lo, n, known)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cells], names=names)
 
 
 def _kin():
@@ -202,6 +226,7 @@ class SpanIndex:
         self._write(print_texts(docs).withColumn("run", F.lit(run)), manifest["table"])
         self._publish(manifest | {"runs": [*manifest["runs"], run], "last": run})
         rows = self._table(self.manifest())
+        rows = rows.filter(~F.col("known"))
         new, old = rows.filter(F.col("run") == run), rows.filter(F.col("run") != run)
         met = new.join(old.groupBy("h").agg(F.min("kin").alias("lo"), F.max("kin").alias("hi")), "h")
         other = (F.col("lo") != F.col("kin")) | (F.col("hi") != F.col("kin"))
@@ -216,20 +241,20 @@ class SpanIndex:
             self._publish(manifest | {"table": name, "runs": [run], "last": run})
 
     def prints(self) -> DataFrame:
-        """All fingerprints, one row for each (text, position)."""
-        return self._table(self.manifest()).groupBy("h", "around", "kin", "pos", "n").agg(F.min("doc").alias("doc"))
+        """All rows, one for each (text, position)."""
+        return self._table(self.manifest()).groupBy("h", "around", "kin", "pos", "n", "known").agg(F.min("doc").alias("doc"))
 
     def drop(self) -> None:
         """Forget the table; its files stay in the shared folder."""
         self.spark.sql(f"DROP TABLE IF EXISTS weftline_{self.manifest()['table']}")
 
 
-STRETCH = "wh bigint, chk bigint, kin bigint, start bigint"
+STRETCH = "wh bigint, chk bigint, kin bigint, start bigint, known boolean"
 
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Two hashes of each stretch of SPAN characters round the asked positions of a text."""
-    names = ["wh", "chk", "kin", "start"]
+    names = ["wh", "chk", "kin", "start", "known"]
     for b in batches:
         rows = list(zip(*(c.to_pylist() for c in b.columns)))
         for held, texts in _batches(rows, [r[2] for r in rows]):
@@ -237,6 +262,7 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size = np.fromiter(map(len, texts), np.int64, len(texts))
             end = np.cumsum(size)
             one, two = Rolling(points, _ONE), Rolling(points, _TWO)
+            found: list[tuple] = []
             for many in (0, 1):
                 asked = [np.array(r[3 + many] or (), np.int64) for r in held]
                 of = np.repeat(np.arange(len(held)), [a.size for a in asked])
@@ -250,7 +276,11 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 of = np.searchsorted(end, at, "right")
                 kin = np.full(at.size, MANY, np.int64) if many else np.array([r[1] for r in held], np.int64)[of]
                 wh, chk = one.of(at, at + SPAN).view(np.int64), two.of(at, at + SPAN).view(np.int64)
-                cols = (wh, chk, kin, at - (end - size)[of])
+                found.append((wh, chk, kin, at - (end - size)[of]))
+            if found:
+                wh, chk, kin, start = (np.concatenate(c) for c in zip(*found))
+                known = _settle(np.stack([wh, chk], axis=1), kin)
+                cols = (np.where(known, kin, wh), np.where(known, start, chk), kin, start, known)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
 
 
@@ -289,16 +319,17 @@ def shared_spans(spark: SparkSession, docs: DataFrame, batches: int = 2) -> Data
         index.compact()
 
     # candidates: fingerprints in two texts or more; equal surroundings in two texts or more are shared as a whole
+    # the known rows stand alone under their text and position, and are shared as they are
     by_h, by_around = Window.partitionBy("h"), Window.partitionBy("h", "around")
     met = (
         index.prints()
         .withColumn("lo", F.min("kin").over(by_h)).withColumn("hi", F.max("kin").over(by_h))
-        .filter(F.col("lo") != F.col("hi"))
+        .filter((F.col("lo") != F.col("hi")) | F.col("known"))
         .withColumn("alo", F.min("kin").over(by_around)).withColumn("ahi", F.max("kin").over(by_around))
-        .withColumn("single", F.col("alo") == F.col("ahi"))
+        .withColumn("single", (F.col("alo") == F.col("ahi")) & ~F.col("known"))
         .withColumn("rank", F.row_number().over(by_around.orderBy("kin", "pos")))
         .withColumn("mixed", F.max("single").over(by_h))
-        .select("kin", "doc", "pos", "n", "single", "rank", "mixed")
+        .select("kin", "doc", "pos", "n", "single", "rank", "mixed", "known")
     )
     met = materialize(spark, met, "met")
     whole = met.filter(~F.col("single")).select(
@@ -306,7 +337,7 @@ def shared_spans(spark: SparkSession, docs: DataFrame, batches: int = 2) -> Data
     )
     # near a span's end: each text of its own surroundings, and one for all texts of common surroundings
     asked = (
-        met.filter(F.col("mixed") & (F.col("single") | (F.col("rank") == 1)))
+        met.filter(~F.col("known") & F.col("mixed") & (F.col("single") | (F.col("rank") == 1)))
         .groupBy("doc", "kin")
         .agg(
             F.collect_list(F.when(F.col("single"), F.col("pos"))).alias("own"),
@@ -320,7 +351,7 @@ def shared_spans(spark: SparkSession, docs: DataFrame, batches: int = 2) -> Data
     by_stretch = Window.partitionBy("wh", "chk")
     ends = (
         hashed.withColumn("lo", F.min("kin").over(by_stretch)).withColumn("hi", F.max("kin").over(by_stretch))
-        .filter((F.col("lo") != F.col("hi")) & (F.col("kin") != MANY))
+        .filter(((F.col("lo") != F.col("hi")) | F.col("known")) & (F.col("kin") != MANY))
         .select("kin", F.col("start").alias("a"), (F.col("start") + SPAN).alias("b"))
     )
     runs = _merge_intervals(whole.unionByName(ends), "kin")
