@@ -84,3 +84,21 @@ class Bitmap:
 
     def __len__(self) -> int:
         return sum(int(np.unpackbits(c).sum()) if _dense(c) else c.size for c in self.chunks.values())
+
+    def to_bytes(self) -> bytes:
+        """Chunks in order: high part, form and size as int32, then the data."""
+        out = []
+        for k, c in sorted(self.chunks.items()):
+            out += [np.array([k, _dense(c), c.size], np.int32).tobytes(), c.tobytes()]
+        return b"".join(out)
+
+    @classmethod
+    def from_bytes(cls, data: bytes | None) -> "Bitmap":
+        """Back from to_bytes(); None is the empty set."""
+        chunks, at = {}, 0
+        while data and at < len(data):
+            k, dense, size = np.frombuffer(data, np.int32, 3, at).tolist()
+            kind = np.uint8 if dense else np.uint16
+            chunks[k] = np.frombuffer(data, kind, size, at + 12)
+            at += 12 + size * np.dtype(kind).itemsize
+        return cls(chunks)

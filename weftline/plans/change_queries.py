@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.operators import incremental, nested, ordinals, references, snapshot_diff
 from weftline.plans.change_sql import SQL  # noqa: F401
-from weftline.operators import incremental, nested, references, snapshot_diff
-from weftline.session import scratch, ship, table
+from weftline.session import materialize, partitions_for, scratch, ship, table
 
 NODE_FIELDS = [
     "kind", "label", "path", "symbol_name", "symbol_kind", "language", "line", "exported", "classification_roles",
@@ -33,6 +33,17 @@ def p1_changed_nodes(spark: SparkSession, d: str) -> DataFrame:
     return _changes(spark, d, True).filter(F.col("change_kind") == "changed").drop("change_kind")
 
 
+def p1_membership(spark: SparkSession, d: str) -> DataFrame:
+    """How many nodes each snapshot adds, removes and keeps, from stored ordinals and bitmaps."""
+    ship(spark)
+    rows = table(spark, d, "node_snapshots", "repo", "snapshot_no", "delivery_no", "node_id").withColumnsRenamed({"repo": "grp", "node_id": "key"})
+    known = snapshot_diff.existing_snapshots(table(spark, d, "snapshot_deliveries").withColumnRenamed("repo", "grp"))
+    held = rows.join(known.select("grp", "snapshot_no", "delivery_no"), ["grp", "snapshot_no", "delivery_no"])
+    store = ordinals.KeyOrdinals(spark, scratch(spark, "ordinals"), partitions_for(spark, rows))
+    chunks = materialize(spark, ordinals.membership(held, store.extend(held)), "bitmaps")
+    return ordinals.membership_changes(chunks, known).withColumnRenamed("grp", "repo")
+
+
 def _references(spark: SparkSession, d: str) -> DataFrame:
     ship(spark)
     edges = table(spark, d, "lineage_edges", "edge_no", "source", "target", "observed_at")
@@ -110,5 +121,5 @@ def p4_subjects(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p1_found, p1_changed_nodes, p2_found, p2_report, p3_found, p4_found, p4_files, p4_capabilities, p4_facts, p4_subjects,
+    p1_found, p1_changed_nodes, p1_membership, p2_found, p2_report, p3_found, p4_found, p4_files, p4_capabilities, p4_facts, p4_subjects,
 )}

@@ -43,6 +43,15 @@ WHERE a.next_no IS NOT NULL AND NOT EXISTS (
   SELECT 1 FROM cur b WHERE b.repo = a.repo AND b.snapshot_no = a.next_no AND b.node_id = a.node_id)
 """
 
+P1_MEMBERSHIP = _P1_CORE + """
+, k AS (SELECT DISTINCT repo, snapshot_no, node_id FROM cur), p AS (SELECT repo, snapshot_no, prev_no FROM ex WHERE prev_no IS NOT NULL)
+SELECT p.repo, p.snapshot_no,
+  (SELECT count(*) FROM k WHERE k.repo = p.repo AND k.snapshot_no = p.snapshot_no AND k.node_id NOT IN (SELECT node_id FROM k o WHERE o.repo = p.repo AND o.snapshot_no = p.prev_no)) AS added,
+  (SELECT count(*) FROM k WHERE k.repo = p.repo AND k.snapshot_no = p.prev_no AND k.node_id NOT IN (SELECT node_id FROM k o WHERE o.repo = p.repo AND o.snapshot_no = p.snapshot_no)) AS removed,
+  (SELECT count(*) FROM k WHERE k.repo = p.repo AND k.snapshot_no = p.snapshot_no AND k.node_id IN (SELECT node_id FROM k o WHERE o.repo = p.repo AND o.snapshot_no = p.prev_no)) AS common
+FROM p
+"""
+
 _P2_CORE = """
 WITH refs AS (
   SELECT 'lineage_edges' AS ref_table, edge_no AS ref_no, 'source' AS ref_field, source AS ref_value, observed_at FROM lineage_edges
@@ -138,6 +147,6 @@ FROM flat f JOIN (SELECT envelope_no, max(received_at) AS m FROM flat WHERE comm
 """
 
 SQL = {
-    "p1_found": P1_FOUND, "p2_found": P2_FOUND, "p2_report": P2_REPORT, "p3_found": P3_FOUND, "p4_found": P4_FOUND,
+    "p1_found": P1_FOUND, "p1_membership": P1_MEMBERSHIP, "p2_found": P2_FOUND, "p2_report": P2_REPORT, "p3_found": P3_FOUND, "p4_found": P4_FOUND,
     "p4_files": P4_FILES, "p4_capabilities": P4_CAPABILITIES, "p4_facts": P4_FACTS, "p4_subjects": P4_SUBJECTS,
 }
