@@ -69,4 +69,21 @@ def p8_shared_parts(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     p5_found, p5_faults, p5_rates, p6_ids, p6_token_counts, p7_mixture, p7_shares, p8_found, p8_shared_parts,
 )}
-SQL: dict[str, str] = {}
+
+_SPANS = """
+WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE length(text) >= 200 AND doc_id IS NOT NULL),
+w AS (SELECT doc_id, s, substr(text, s + 1, 200) AS x FROM (SELECT doc_id, text, unnest(range(0, length(text) - 199)) AS s FROM d)),
+k AS (SELECT x FROM w GROUP BY x HAVING min(doc_id) <> max(doc_id)),
+h AS (SELECT doc_id, s FROM w WHERE x IN (SELECT x FROM k)),
+m AS (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 200 THEN 0 ELSE 1 END AS fresh FROM h),
+i AS (SELECT doc_id, s, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s ROWS UNBOUNDED PRECEDING) AS run FROM m),
+spans AS (SELECT doc_id, min(s) AS span_start, max(s) + 200 - min(s) AS span_chars FROM i GROUP BY doc_id, run)
+"""
+SQL: dict[str, str] = {
+    "p8_found": _SPANS + "SELECT doc_id, span_start, span_chars FROM spans",
+    "p8_shared_parts": _SPANS + """
+, t AS (SELECT doc_id, CAST(sum(span_chars) AS BIGINT) AS shared_chars FROM spans GROUP BY doc_id)
+SELECT d.doc_id, length(d.text) AS n_chars, coalesce(shared_chars, 0) AS shared_chars,
+  CASE WHEN length(d.text) > 0 THEN coalesce(shared_chars, 0) / length(d.text) ELSE 0.0 END AS shared_share
+FROM documents d LEFT JOIN t ON t.doc_id = d.doc_id WHERE d.text IS NOT NULL""",
+}
