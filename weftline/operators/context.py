@@ -115,7 +115,8 @@ def pack(blocks: DataFrame, bundle: str, order: str, size: str, most_size: int,
         )
 
     packed = blocks.groupBy(bundle).agg(F.aggregate(cells, zero, step)["out"].alias("out"))
-    return packed.select(bundle, F.explode("out").alias("b")).select(bundle, F.col("b.o").alias(order), F.col("b.s").alias(size), "b.included")
+    one = packed.select(bundle, F.explode("out").alias("_block"))
+    return one.select(bundle, F.col("_block.o").alias(order), F.col("_block.s").alias(size), "_block.included")
 
 
 def merge_in_order(ranges: DataFrame, group: str, order: str, start: str, end: str) -> DataFrame:

@@ -17,14 +17,14 @@ def matches(docs: DataFrame, key: str, text: str, needle: str) -> DataFrame:
     """
     if not needle:
         raise ValueError("an empty needle occurs everywhere")
-    cut = docs.filter(F.col(text).contains(needle)).select(key, F.posexplode(lines(F.col(text))).alias("i", "line_text"))
-    pieces = cut.filter(F.col("line_text").contains(needle)).withColumn("pieces", literal_pieces(F.col("line_text"), needle))
+    cut = docs.filter(F.col(text).contains(needle)).select(key, F.posexplode(lines(F.col(text))).alias("_i", "line_text"))
+    pieces = cut.filter(F.col("line_text").contains(needle)).withColumn("_pieces", literal_pieces(F.col("line_text"), needle))
     # the column of occurrence k: all pieces up to it, and the needles between them
     at = F.transform(
-        F.sequence(F.lit(1), F.size("pieces") - 1),
-        lambda k: F.aggregate(F.slice("pieces", 1, k), F.lit(0), lambda a, x: a + F.length(x)) + (k - 1) * len(needle) + 1,
+        F.sequence(F.lit(1), F.size("_pieces") - 1),
+        lambda k: F.aggregate(F.slice("_pieces", 1, k), F.lit(0), lambda a, x: a + F.length(x)) + (k - 1) * len(needle) + 1,
     )
-    return pieces.select(key, (F.col("i") + 1).alias("line"), F.explode(at).alias("column"), "line_text")
+    return pieces.select(key, (F.col("_i") + 1).alias("line"), F.explode(at).alias("column"), "line_text")
 
 
 def capped(found: DataFrame, key: str, cap: int = MATCH_CAP) -> DataFrame:

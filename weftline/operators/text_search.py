@@ -43,7 +43,8 @@ def relevance(candidates: DataFrame, query: str) -> DataFrame:
     phrase = query.strip().lower()
     asked = [(phrase, PHRASE_FACTOR, False)] * bool(phrase) + [(t, 1, True) for t in dict.fromkeys(terms)]
     low = F.lower("text")
-    tests = F.array(*[
+    shape = "array<struct<field: string, term: string, is_term: boolean, text: string, weight: int>>"
+    tests = F.array().cast(shape) if not asked else F.array(*[
         F.when(low.contains(t), F.struct(
             F.col("field"), F.lit(t).alias("term"), F.lit(is_term).alias("is_term"), shorten(F.col("text")).alias("text"),
             (F.col("weight") * factor).alias("weight"),

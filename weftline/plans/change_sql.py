@@ -13,7 +13,7 @@ rows0 AS (
     s.classification_roles AS classification_roles,
     CASE WHEN s.route_metadata IS NULL THEN NULL ELSE
       (SELECT string_agg(json_quote(k) || ':' || CAST(json_extract(s.route_metadata, '$."' || k || '"') AS VARCHAR), ',' ORDER BY k)
-       FROM unnest(json_keys(s.route_metadata)) AS u(k)) END AS route_metadata,
+       FROM unnest(json_keys(s.route_metadata)) AS u(k)) END AS route_metadata, s.route_metadata AS raw_metadata,
     row_number() OVER (PARTITION BY s.repo, s.snapshot_no, s.node_id ORDER BY s.created_at DESC) AS rn
   FROM node_snapshots s JOIN ex e USING (repo, snapshot_no, delivery_no)),
 cur AS (SELECT * FROM rows0 WHERE rn = 1)
@@ -43,6 +43,22 @@ WHERE a.next_no IS NOT NULL AND NOT EXISTS (
   SELECT 1 FROM cur b WHERE b.repo = a.repo AND b.snapshot_no = a.next_no AND b.node_id = a.node_id)
 """
 
+P1_CHANGED_NODES = _P1_CORE + """
+, pairs AS (SELECT a.repo, a.snapshot_no, a.node_id, unnest([
+    CASE WHEN a.kind IS DISTINCT FROM b.kind THEN {'f': 'kind', 'b': b.kind, 'a': a.kind} END,
+    CASE WHEN a.label IS DISTINCT FROM b.label THEN {'f': 'label', 'b': b.label, 'a': a.label} END,
+    CASE WHEN a.path IS DISTINCT FROM b.path THEN {'f': 'path', 'b': b.path, 'a': a.path} END,
+    CASE WHEN a.symbol_name IS DISTINCT FROM b.symbol_name THEN {'f': 'symbol_name', 'b': b.symbol_name, 'a': a.symbol_name} END,
+    CASE WHEN a.symbol_kind IS DISTINCT FROM b.symbol_kind THEN {'f': 'symbol_kind', 'b': b.symbol_kind, 'a': a.symbol_kind} END,
+    CASE WHEN a.language IS DISTINCT FROM b.language THEN {'f': 'language', 'b': b.language, 'a': a.language} END,
+    CASE WHEN a.line IS DISTINCT FROM b.line THEN {'f': 'line', 'b': b.line, 'a': a.line} END,
+    CASE WHEN a.exported IS DISTINCT FROM b.exported THEN {'f': 'exported', 'b': b.exported, 'a': a.exported} END,
+    CASE WHEN a.classification_roles IS DISTINCT FROM b.classification_roles THEN {'f': 'classification_roles', 'b': CAST(to_json(b.classification_roles) AS VARCHAR), 'a': CAST(to_json(a.classification_roles) AS VARCHAR)} END,
+    CASE WHEN a.route_metadata IS DISTINCT FROM b.route_metadata THEN {'f': 'route_metadata', 'b': b.raw_metadata, 'a': a.raw_metadata} END
+  ]) AS c FROM cur a JOIN cur b ON a.repo = b.repo AND a.prev_no = b.snapshot_no AND a.node_id = b.node_id)
+SELECT repo, snapshot_no, node_id, c.f AS field_name, c.b AS before, c.a AS after FROM pairs WHERE c IS NOT NULL
+"""
+
 P1_MEMBERSHIP = _P1_CORE + """
 , k AS (SELECT DISTINCT repo, snapshot_no, node_id FROM cur), p AS (SELECT repo, snapshot_no, prev_no FROM ex WHERE prev_no IS NOT NULL)
 SELECT p.repo, p.snapshot_no,
@@ -147,6 +163,6 @@ FROM flat f JOIN (SELECT envelope_no, max(received_at) AS m FROM flat WHERE comm
 """
 
 SQL = {
-    "p1_found": P1_FOUND, "p1_membership": P1_MEMBERSHIP, "p2_found": P2_FOUND, "p2_report": P2_REPORT, "p3_found": P3_FOUND, "p4_found": P4_FOUND,
+    "p1_found": P1_FOUND, "p1_changed_nodes": P1_CHANGED_NODES, "p1_membership": P1_MEMBERSHIP, "p2_found": P2_FOUND, "p2_report": P2_REPORT, "p3_found": P3_FOUND, "p4_found": P4_FOUND,
     "p4_files": P4_FILES, "p4_capabilities": P4_CAPABILITIES, "p4_facts": P4_FACTS, "p4_subjects": P4_SUBJECTS,
 }

@@ -204,7 +204,7 @@ _SCRIPT = [
     ("method", re.compile(r"^[ \t]+(?:(?:public|private|protected|static|async|readonly|override|get|set)\s+)*(?P<name>(?!if\b|for\b|while\b|switch\b|catch\b|return\b|function\b)%s)\s*(?:<[^>\n]*>)?\([^;{}]*\)\s*(?::[^;{}=]+)?\{" % _ID, re.M)),
 ]
 _IMPORT = re.compile(r"""\bimport\s+(?:type\s+)?(?P<what>[^'";]*?)\s*(?:from\s*)?["'](?P<from>[^"']+)["']|(?P<req>(?:const|let|var)\s+(?P<names>[^=;]+)=\s*)?\brequire\(\s*["'](?P<r>[^"']+)["']\s*\)|\bexport\s+(?P<re>\*(?:\s+as\s+\w+)?|\{[^}]*\})\s*from\s*["'](?P<x>[^"']+)["']""")
-_ROUTE = re.compile(r"""\b(?P<on>%s)\.(?P<verb>get|post|put|patch|delete|all|use)\(\s*["'`](?P<path>/[^"'`]*)["'`]""" % _ID)
+_ROUTE = re.compile(r"""\b(?P<on>(?!(?:axios|https?|client|request)\b)%s)\.(?P<verb>get|post|put|patch|delete|all|use)\(\s*["'`](?P<path>/[^"'`]*)["'`]""" % _ID)
 _NEST = re.compile(r"""@(?P<verb>Get|Post|Put|Patch|Delete|Controller)\(\s*(?:["'`](?P<path>[^"'`]*)["'`])?\s*\)""")
 _FETCH = re.compile(r"""\b(?:(?P<fetch>fetch)|(?P<client>axios)(?:\.(?P<verb>get|post|put|patch|delete))?)\(\s*(?P<arg>["'`][^"'`]*["'`]|[^,)]+)""")
 _STORAGE = re.compile(r"""\b(?P<kind>localStorage|sessionStorage)\.(?P<verb>getItem|setItem|removeItem)\(\s*["'`](?P<key>[^"'`]*)["'`]""")
@@ -331,8 +331,8 @@ def _lexical(patterns, imports: re.Pattern, exported: Callable[[str], bool], suf
     return extract
 
 
-extract_kotlin = _lexical(_KOTLIN, re.compile(r"^\s*import\s+(?P<name>[\w.]+(?:\.\*)?)(?:\s+as\s+(?P<alias>\w+))?", re.M), lambda h: not re.match(r"private|internal", h))
-extract_java = _lexical(_JAVA, re.compile(r"^\s*import\s+(?:static\s+)?(?P<name>[\w.]+(?:\.\*)?)\s*;", re.M), lambda h: h.startswith("public"))
+extract_kotlin = _lexical(_KOTLIN, re.compile(r"^\s*import\s+(?P<name>\w+(?:\.\w+)*(?:\.\*)?)(?:\s+as\s+(?P<alias>\w+))?", re.M), lambda h: not re.match(r"private|internal", h))
+extract_java = _lexical(_JAVA, re.compile(r"^\s*import\s+(?:static\s+)?(?P<name>\w+(?:\.\w+)*(?:\.\*)?)\s*;", re.M), lambda h: h.startswith("public"))
 _rust_items = _lexical(_RUST, re.compile(r"^(?!)(?P<name>x)"), lambda h: h.startswith("pub"))
 
 
