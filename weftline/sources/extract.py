@@ -215,7 +215,7 @@ _LOCATOR = re.compile(r"""\b(?P<kind>getBy(?:Role|Text|TestId|Label|LabelText|Pl
 _TAG = re.compile(r"<(?P<name>[A-Z][\w.]*)[\s/>]")
 _HANDLER = re.compile(r"\b(?P<name>on[A-Z]\w*)=\{(?P<value>[^}]*)\}")
 _UI = re.compile(r">\s*(?P<text>[^<>{}\n]*[A-Za-z][^<>{}\n]*?)\s*</")
-_MEMBER = re.compile(r"^\s*(?:readonly\s+)?(?P<name>%s)(?P<opt>\?)?\s*:\s*(?P<type>[^;,\n]+)" % _ID, re.M)
+_MEMBER = re.compile(r"(?:^|(?<=[;,{]))\s*(?:readonly\s+)?(?P<name>%s)(?P<opt>\?)?\s*:\s*(?P<type>[^;,\n}]+)" % _ID, re.M)
 _CALL = re.compile(r"(?<![\w$.])(?P<name>%s(?:\.%s)*)\s*\(" % (_ID, _ID))
 _WORDS = frozenset("if for while switch catch return function typeof new await super import constructor when fun fn match loop in as else throw".split())
 
