@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -60,17 +60,23 @@ def bag_diff(before: DataFrame, after: DataFrame, group: list[str], pair: str, i
 
     Records of equal identity on both sides cancel. Of the rest, groups of equal multiplicity on both sides cancel.
     What is left is paired by `pair` only where one record stands on each side (`changed`, once for each side's record),
-    else it is added or removed.
+    else it is added or removed. Three windows over one union of both sides: each record is read once.
     """
     side = before.select(F.lit("b").alias("side"), identity, pair, *group).unionByName(after.select(F.lit("a").alias("side"), identity, pair, *group))
-    in_b, in_a = F.count_if(F.col("side") == "b"), F.count_if(F.col("side") == "a")
-    same = side.groupBy(identity).agg(in_b.alias("nb"), in_a.alias("na")).filter((F.col("nb") > 0) & (F.col("na") > 0)).select(identity)
-    rest = side.join(same, identity, "left_anti")
-    equal = rest.groupBy(*group).agg(in_b.alias("nb"), in_a.alias("na")).filter(F.col("nb") == F.col("na")).select(*group)
-    left = rest.join(equal, group, "left_anti")
-    one = left.groupBy(pair).agg(in_b.alias("nb"), in_a.alias("na")).filter((F.col("nb") == 1) & (F.col("na") == 1)).select(pair, F.lit(True).alias("_one"))
-    change = F.when(F.col("_one"), "changed").when(F.col("side") == "a", "added").otherwise("removed")
-    return left.join(one, pair, "left").select(identity, change.alias("change"))
+
+    def both(*keys: str) -> tuple[Column, Column]:
+        w = Window.partitionBy(*keys)
+        return F.count_if(F.col("side") == "b").over(w), F.count_if(F.col("side") == "a").over(w)
+
+    b, a = both(identity)
+    rest = side.withColumns({"_nb": b, "_na": a}).filter((F.col("_nb") == 0) | (F.col("_na") == 0))
+    b, a = both(*group)
+    left = rest.withColumns({"_nb": b, "_na": a}).filter(F.col("_nb") != F.col("_na"))
+    b, a = both(pair)
+    paired = left.withColumns({"_nb": b, "_na": a})
+    one = (F.col("_nb") == 1) & (F.col("_na") == 1)
+    change = F.when(one, "changed").when(F.col("side") == "a", "added").otherwise("removed")
+    return paired.select(identity, change.alias("change"))
 
 
 def provenance(left: DataFrame, right: DataFrame, key: str, names: tuple[str, str]) -> DataFrame:

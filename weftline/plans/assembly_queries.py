@@ -205,7 +205,7 @@ SELECT repo, kind, first_nodes, last_nodes FROM c WHERE first_nodes <> last_node
     "regression_evaluation": """
 WITH p AS (SELECT *, 'part:' || p_partkey AS id, row_number() OVER (PARTITION BY p_name ORDER BY 'part:' || p_partkey) AS rank FROM part WHERE p_name IN ('red ring', 'small bolt', 'hot gear')),
 x AS (SELECT CASE WHEN p_size % 2 = 0 THEN 'even' ELSE 'odd' END AS suite, rank <= 15 AS passed FROM p WHERE p_size > 25)
-SELECT suite, count_if(passed) AS passed, count(*) AS expected, round(count_if(passed) / count(*), 6) AS rate, CASE WHEN bool_and(passed) THEN 'PASS' ELSE 'REGRESSION' END AS verdict FROM x GROUP BY suite""",
+SELECT suite, CAST(count_if(passed) AS BIGINT) AS passed, count(*) AS expected, round(count_if(passed) / count(*), 6) AS rate, CASE WHEN bool_and(passed) THEN 'PASS' ELSE 'REGRESSION' END AS verdict FROM x GROUP BY suite""",
     "usage_owner_pairs": """
 SELECT DISTINCT o.source AS owner, u.source AS via, u.target AS used FROM lineage_edges u JOIN lineage_edges o ON o.target = u.source
 WHERE u.kind IN ('reads-field', 'renders-field') AND o.kind IN ('creates-view-model', 'derives-field', 'passes-prop') AND o.source IS NOT NULL AND u.target IS NOT NULL""",

@@ -313,7 +313,7 @@ i AS (SELECT *, sum(new) OVER (PARTITION BY path ORDER BY a, b ROWS UNBOUNDED PR
 SELECT path, min(a) AS a, max(b) AS b FROM i GROUP BY path, island""",
     "budget_rollup": r"""
 WITH l AS (SELECT repo, regexp_split_to_array(coalesce(text, ''), '\r?\n') AS l FROM documents), n AS (SELECT repo, CASE WHEN l[-1] = '' THEN len(l) - 1 ELSE len(l) END AS lines FROM l)
-SELECT repo, count(*) AS files, CAST(sum(lines) AS BIGINT) AS lines, CAST(max(lines) AS INTEGER) AS longest, count_if(lines > 160) AS truncated FROM n GROUP BY repo""",
+SELECT repo, count(*) AS files, CAST(sum(lines) AS BIGINT) AS lines, CAST(max(lines) AS INTEGER) AS longest, CAST(count_if(lines > 160) AS BIGINT) AS truncated FROM n GROUP BY repo""",
     "condition_coverage": f"""
 WITH g AS (SELECT repo, bool_or(regexp_matches(string_split(path, '/')[-1], '(command|registry|dispatcher|adapter|analyzer|builder|producer|manager)', 'i')) AS owner,
   bool_or(regexp_matches(string_split(path, '/')[-1], '(types?|schema|valid|constant|error)', 'i')) AS contract, bool_or({_TEST}) AS test FROM source_files GROUP BY repo)
@@ -344,11 +344,11 @@ SELECT path, CASE WHEN path IN (SELECT path FROM source_files WHERE path IS NOT
   WHEN contains(path, chr(92)) OR starts_with(path, '/') OR regexp_matches(path, '^[A-Za-z]:') OR len(list_filter(string_split(path, '/'), lambda x: x IN ('', '.', '..'))) > 0 THEN 'indeterminate'
   WHEN NOT regexp_matches(path, '^(src|lib|packages)/') THEN 'outside-selected-roots' ELSE 'proven-missing' END AS verdict
 FROM (SELECT DISTINCT path FROM audit_files WHERE path IS NOT NULL)""",
-    "pass_rates": "SELECT repo, count_if(status = 'succeeded') AS passed, count_if(status = 'failed') AS failed, round(count_if(status = 'succeeded') / nullif(count_if(status IN ('succeeded', 'failed')), 0), 6) AS rate FROM index_runs GROUP BY repo",
+    "pass_rates": "SELECT repo, CAST(count_if(status = 'succeeded') AS BIGINT) AS passed, CAST(count_if(status = 'failed') AS BIGINT) AS failed, round(count_if(status = 'succeeded') / nullif(count_if(status IN ('succeeded', 'failed')), 0), 6) AS rate FROM index_runs GROUP BY repo",
     "suite_verdict": "SELECT repo, CASE WHEN bool_or(status = 'aborted') THEN 'BLOCKED' WHEN bool_or(status = 'failed') THEN 'REGRESSION' ELSE 'PASS' END AS verdict FROM index_runs GROUP BY repo",
     "precision_recall": """
 WITH x AS (SELECT coalesce(contains(text, 'function '), false) AS said, coalesce(lang IN ('typescript', 'javascript'), false) AS t FROM documents),
-c AS (SELECT count_if(said AND t) AS tp, count_if(said AND NOT t) AS fp, count_if(NOT said AND t) AS fn FROM x)
+c AS (SELECT CAST(count_if(said AND t) AS BIGINT) AS tp, CAST(count_if(said AND NOT t) AS BIGINT) AS fp, CAST(count_if(NOT said AND t) AS BIGINT) AS fn FROM x)
 SELECT tp, fp, fn, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall FROM c""",
     "docs_preservation": """
 WITH r AS (SELECT DISTINCT repo FROM documents WHERE repo IS NOT NULL AND text IS NOT NULL), p(phrase) AS (VALUES ('retry'), ('snapshot'), ('no such phrase'))
