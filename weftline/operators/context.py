@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -122,23 +121,20 @@ def pack(blocks: DataFrame, bundle: str, order: str, size: str, most_size: int,
 def merge_in_order(ranges: DataFrame, group: str, order: str, start: str, end: str) -> DataFrame:
     """(group, start, end): line ranges merged as they arrive: each joins the first kept range it overlaps.
 
-    The result depends on the order, so a group is folded as a whole; groups are the files of a bundle.
+    The result depends on the order, so a group is one fold inside the JVM; groups are the files of a bundle. Rows with
+    a null are left out.
     """
-    schema = f"{group} {ranges.schema[group].dataType.simpleString()}, {start} long, {end} long"
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[list[int]] = []
-        for a, b in pdf.sort_values(order)[[start, end]].itertuples(index=False):
-            for r in kept:
-                if a <= r[1] and b >= r[0]:
-                    r[0], r[1] = min(r[0], a), max(r[1], b)
-                    break
-            else:
-                kept.append([int(a), int(b)])
-        return pd.DataFrame({group: [pdf[group].iloc[0]] * len(kept), start: [r[0] for r in kept], end: [r[1] for r in kept]})
-
     clean = ranges.filter(F.col(group).isNotNull() & F.col(start).isNotNull() & F.col(end).isNotNull())
-    return clean.groupBy(group).applyInPandas(fold, schema)
+    cell = F.struct(F.col(order).alias("o"), F.col(start).cast("long").alias("a"), F.col(end).cast("long").alias("b"))
+    span = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+
+    def step(kept, r):
+        at = F.array_position(F.transform(kept, lambda k: (r["a"] <= k["b"]) & (r["b"] >= k["a"])), F.lit(True))
+        grown = F.transform(kept, lambda k, i: F.when(i + 1 == at, span(F.least(k["a"], r["a"]), F.greatest(k["b"], r["b"]))).otherwise(k))
+        return F.when(at > 0, grown).otherwise(F.concat(kept, F.array(span(r["a"], r["b"]))))
+
+    folded = F.aggregate(F.array_sort(F.collect_list(cell)), F.array().cast("array<struct<a:bigint,b:bigint>>"), step)
+    return clean.groupBy(group).agg(folded.alias("_kept")).select(group, F.explode("_kept").alias("_r")).select(group, F.col("_r.a").alias(start), F.col("_r.b").alias(end))
 
 
 def merge_sorted(ranges: DataFrame, group: str, start: str, end: str) -> DataFrame:

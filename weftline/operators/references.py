@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.session import partitions_for
@@ -28,13 +28,22 @@ def _range_of(h, bits: int):
 
 
 def parent_index(parents: DataFrame, bits: int) -> DataFrame:
-    """(range_no, parents): per range the parent rows (hash, key, born, gone), sorted. Times in microseconds."""
+    """(range_no, parents): per range the parents' life spans (h, key, born, gone), sorted. Times in microseconds.
+
+    Overlapping spans of a key are merged first, by a window that streams over the key's rows; so a key that was
+    recorded very often is a few spans, not a long array. A key with an unknown birth keeps one span with a null birth.
+    """
+    w = Window.partitionBy("key").orderBy("born")
+    born, far = F.col("born"), F.lit(int(FAR))
+    end = F.when(born.isNotNull(), F.greatest(F.coalesce("gone", far), born))
+    spans = parents.filter(F.col("key").isNotNull()).select("key", "born", end.alias("gone"))
+    reach = F.max("gone").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    opens = spans.withColumn("_new", F.when(born <= reach, 0).when(born.isNull(), 0).otherwise(1))
+    island = opens.withColumn("_i", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = island.groupBy("key", "_i").agg(F.min("born").alias("born"), F.max("gone").alias("gone"))
     h = F.xxhash64("key")
-    rows = parents.filter(F.col("key").isNotNull()).select(
-        _range_of(h, bits).alias("range_no"),
-        F.struct(h.alias("h"), "key", F.col("born"), F.col("gone")).alias("p"),
-    )
-    return rows.distinct().groupBy("range_no").agg(F.sort_array(F.collect_list("p")).alias("parents"))
+    rows = merged.select(_range_of(h, bits).alias("range_no"), F.struct(h.alias("h"), "key", "born", "gone").alias("p"))
+    return rows.groupBy("range_no").agg(F.sort_array(F.collect_list("p")).alias("parents"))
 
 
 class _Range:
