@@ -95,6 +95,7 @@ def closure(spark: SparkSession, edges: DataFrame, seeds: DataFrame, direction:
     visited = frontier.withColumn("level", F.lit(0))
     for level in range(1, most + 1):
         nxt = steps.join(frontier.withColumnRenamed("id", "here"), "here", "left_semi").select(F.col("there").alias("id"))
+        nxt = nxt.filter(F.col("id").isNotNull())
         frontier = materialize(spark, nxt.distinct().join(visited.select("id"), "id", "left_anti"), f"closure{level}")
         if frontier.isEmpty():
             return visited
@@ -150,7 +151,7 @@ def data_flow(spark: SparkSession, edges: DataFrame, included: DataFrame, kinds:
     for level in range(1, depth + 1):
         step = both.withColumnRenamed("id", "edge").join(frontier.withColumnRenamed("id", "here"), "here")
         key = F.struct("order", "edge")
-        fresh = step.groupBy(F.col("there").alias("id")).agg(F.min(key).alias("key")).join(base, "id", "left_anti")
+        fresh = step.filter(F.col("there").isNotNull()).groupBy(F.col("there").alias("id")).agg(F.min(key).alias("key")).join(base, "id", "left_anti")
         if taken is not None:
             fresh = fresh.join(taken.select("id"), "id", "left_anti")
         top = fresh.orderBy("key", "id").limit(cap)

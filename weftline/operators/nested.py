@@ -41,7 +41,7 @@ def _shred(roots: list[int], texts: list[bytes], wanted: frozenset) -> Iterator[
         for c in COLUMNS:
             rows[c].extend(cells.get(c) if c in cells else [kind] * n if c == "record_kind" else [None] * n)
 
-    doc_no = np.asarray(roots, np.int64)
+    doc_no = np.array(roots, object)  # a null number stays null
     _, lists = s.child(s.roots(), "files")
     _, files = s.elements(lists)
     root, fpos = doc_no[s.doc[files]], s.pos[files]

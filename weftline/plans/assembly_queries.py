@@ -100,7 +100,7 @@ def semantic_summary_diff(spark: SparkSession, d: str) -> DataFrame:
     """Counts by kind and role in the first and the last complete delivery, where they differ."""
     from weftline.operators.snapshot_diff import existing_snapshots
 
-    known = existing_snapshots(table(spark, d, "snapshot_deliveries").withColumnRenamed("repo", "grp"))
+    known = existing_snapshots(table(spark, d, "snapshot_deliveries", "repo", "snapshot_no", "delivery_no", "status").withColumnRenamed("repo", "grp"))
     rows = table(spark, d, "node_snapshots", "repo", "snapshot_no", "delivery_no", "node_id", "kind").withColumnRenamed("repo", "grp").distinct()
     held = rows.join(known, ["grp", "snapshot_no", "delivery_no"]).filter(F.col("prev_no").isNull() | F.col("next_no").isNull())
     first, last = F.col("prev_no").isNull(), F.col("next_no").isNull()

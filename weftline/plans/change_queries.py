@@ -37,7 +37,8 @@ def p1_membership(spark: SparkSession, d: str) -> DataFrame:
     """How many nodes each snapshot adds, removes and keeps, from stored ordinals and bitmaps."""
     ship(spark)
     rows = table(spark, d, "node_snapshots", "repo", "snapshot_no", "delivery_no", "node_id").withColumnsRenamed({"repo": "grp", "node_id": "key"})
-    known = snapshot_diff.existing_snapshots(table(spark, d, "snapshot_deliveries").withColumnRenamed("repo", "grp"))
+    deliveries = table(spark, d, "snapshot_deliveries", "repo", "snapshot_no", "delivery_no", "status")
+    known = snapshot_diff.existing_snapshots(deliveries.withColumnRenamed("repo", "grp"))
     held = rows.join(known.select("grp", "snapshot_no", "delivery_no"), ["grp", "snapshot_no", "delivery_no"])
     store = ordinals.KeyOrdinals(spark, scratch(spark, "ordinals"), partitions_for(spark, rows))
     chunks = materialize(spark, ordinals.membership(held, store.extend(held)), "bitmaps")
