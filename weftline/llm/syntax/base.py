@@ -26,7 +26,7 @@ class LexFault(Exception):
 
 
 EOF = "EOF"
-SHAPES_KEPT = 200_000
+SHAPES_KEPT = 20_000
 LONGEST_SHAPE = 48
 MOST_FAULTS = 50
 OPENERS = {"(": ")", "[": "]", "{": "}"}
