@@ -59,9 +59,10 @@ def focus(scored: DataFrame) -> DataFrame:
 
 def near_ties(scored: DataFrame, margin: int = NEAR_TIE) -> DataFrame:
     """(id, gap): candidates whose score is within the margin of the best one's; the best itself is left out."""
-    best = scored.orderBy(F.desc("score"), "id").limit(1).select(F.col("id").alias("_best"), F.col("score").alias("_top"))
-    near = scored.crossJoin(F.broadcast(best)).filter((F.col("id") != F.col("_best")) & (F.abs(F.col("_top") - F.col("score")) <= margin))  # one row
-    return near.select("id", (F.col("_top") - F.col("score")).alias("gap"))
+    best = scored.orderBy(F.desc("score"), "id").limit(1).select(F.struct("id", "score").alias("b")).scalar()
+    gap = F.col("_b.score") - F.col("score")
+    near = scored.withColumn("_b", best).filter((F.col("id") != F.col("_b.id")) & (F.abs(gap) <= margin))
+    return near.select("id", gap.alias("gap"))
 
 
 def boost(role: str, flags: dict[str, Column]) -> Column:

@@ -32,9 +32,9 @@ def capped(found: DataFrame, key: str, cap: int = MATCH_CAP) -> DataFrame:
 
     The total comes from an aggregate and the rows from a top-k, so no task holds all matches.
     """
-    total = found.agg(F.count("*").alias("total"))
+    total = found.agg(F.count("*").alias("total")).scalar()
     first = found.orderBy(key, "line", "column").limit(cap)
-    return first.crossJoin(F.broadcast(total)).withColumn("truncated", F.col("total") > cap)  # one row
+    return first.withColumn("total", total).withColumn("truncated", F.col("total") > cap)
 
 
 def window_around(found: DataFrame, docs: DataFrame, key: str, text: str, before: int, after: int) -> DataFrame:

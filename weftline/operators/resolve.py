@@ -107,8 +107,8 @@ def relationship_query(edges: DataFrame, filters: dict[str, str | None], order:
     for column, value in filters.items():
         if value is not None:
             hit = hit.filter(F.col(column) == value)
-    total = hit.agg(F.count("*").alias("total"))
-    return hit.orderBy(*order).limit(most).crossJoin(F.broadcast(total)).withColumn("complete", F.col("total") <= most)  # one row
+    total = hit.agg(F.count("*").alias("total")).scalar()
+    return hit.orderBy(*order).limit(most).withColumn("total", total).withColumn("complete", F.col("total") <= most)
 
 
 def target_proof(targets: DataFrame, inventory: DataFrame, roots: list[str]) -> DataFrame:

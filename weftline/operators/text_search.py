@@ -76,17 +76,17 @@ def scoped(candidates: DataFrame, query: str) -> DataFrame:
     """
     words = [w for w in query.split() if w]
     exact, here = F.col("id") == query.strip(), F.col("path").isin(words) if words else F.lit(False)
-    flags = candidates.agg(F.coalesce(F.bool_or(exact), F.lit(False)).alias("any_exact"), F.coalesce(F.bool_or(here), F.lit(False)).alias("any_path"))
-    keep = F.when(F.col("any_exact"), exact).when(F.col("any_path"), here).otherwise(F.lit(True))
-    # one row of flags on the other side
-    return candidates.crossJoin(F.broadcast(flags)).filter(keep).drop("any_exact", "any_path")
+    flag = candidates.agg(F.when(F.bool_or(exact), "exact").when(F.bool_or(here), "path").alias("f")).scalar()
+    narrow = F.coalesce(F.col("_f"), F.lit(""))
+    keep = F.when(narrow == "exact", exact).when(narrow == "path", here).otherwise(F.lit(True))
+    return candidates.withColumn("_f", flag).filter(keep).drop("_f")
 
 
 def ceiling(scored: DataFrame, exact: Column) -> DataFrame:
     """Results without an exact name stay below the least exact one."""
-    least = scored.filter(exact).agg(F.min("score").alias("least"))
-    capped = F.when(exact | F.col("least").isNull(), F.col("score")).otherwise(F.least("score", F.col("least") - 1))
-    return scored.crossJoin(F.broadcast(least)).withColumn("score", capped).drop("least")
+    least = scored.filter(exact).agg(F.min("score").alias("least")).scalar()
+    capped = F.when(exact | F.col("_least").isNull(), F.col("score")).otherwise(F.least("score", F.col("_least") - 1))
+    return scored.withColumn("_least", least).withColumn("score", capped).drop("_least")
 
 
 def recover_owners(seeds: DataFrame, deps: DataFrame) -> DataFrame:

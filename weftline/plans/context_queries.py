@@ -134,8 +134,8 @@ def import_name_resolution(spark: SparkSession, d: str) -> DataFrame:
     """A grid of adjectives and nouns against part names: none, one or many."""
     part = table(spark, d, "part", "p_partkey", "p_name")
     words = part.select(F.substring_index("p_name", " ", 1).alias("a")).distinct()
-    nouns = part.select(F.substring_index("p_name", " ", -1).alias("n")).distinct().unionByName(spark.createDataFrame([("cog",)], "n string"))
-    grid = words.crossJoin(nouns).select(F.concat_ws(" ", "a", "n").alias("specifier"))  # words of a vocabulary, not rows
+    nouns = part.select(F.substring_index("p_name", " ", -1).alias("n")).agg(F.array_append(F.collect_set("n"), F.lit("cog")).alias("all")).scalar()
+    grid = words.withColumn("all", nouns).select("a", F.explode("all").alias("n")).select(F.concat_ws(" ", "a", "n").alias("specifier"))  # a vocabulary, not rows
     hits = grid.join(part, grid["specifier"] == part["p_name"], "left").groupBy("specifier").agg(F.count("p_partkey").alias("n"))
     return hits.select("specifier", F.when(F.col("n") == 0, "unresolved").when(F.col("n") == 1, "resolved").otherwise("ambiguous").alias("status"), "n")
 
@@ -191,11 +191,11 @@ def precision_recall(spark: SparkSession, d: str) -> DataFrame:
 
 def docs_preservation(spark: SparkSession, d: str) -> DataFrame:
     """Required phrases that no document of a repository holds."""
-    need = spark.createDataFrame([("retry",), ("snapshot",), ("no such phrase",)], "phrase string")  # a fixed list
+    need = ("retry", "snapshot", "no such phrase")
     docs = table(spark, d, "documents", "repo", "text").filter(F.col("repo").isNotNull() & F.col("text").isNotNull())
-    held = docs.select("repo", F.explode(F.array(*[F.when(F.col("text").contains(p), F.lit(p)) for p in ("retry", "snapshot", "no such phrase")])).alias("phrase")).distinct()
-    repos = docs.select("repo").distinct()
-    return repos.crossJoin(F.broadcast(need)).join(held, ["repo", "phrase"], "left_anti")  # three rows
+    held = docs.select("repo", F.explode(F.array(*[F.when(F.col("text").contains(p), F.lit(p)) for p in need])).alias("phrase")).distinct()
+    wanted = docs.select("repo").distinct().select("repo", F.explode(F.array(*[F.lit(p) for p in need])).alias("phrase"))
+    return wanted.join(held, ["repo", "phrase"], "left_anti")
 
 
 def changed_surface(spark: SparkSession, d: str) -> DataFrame:
