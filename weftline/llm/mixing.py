@@ -29,10 +29,11 @@ def budgets(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     document of the source; `rest` is 0 where the source is used up to its cap.
     """
     w = Window.partitionBy("mix")
-    total = sizes.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("total"))
+    total = sizes.agg(F.sum("n_tokens").alias("total")).scalar()
     of_source = sizes.groupBy("source").agg(F.sum("n_tokens").alias("available"))
     listed = targets.filter(F.col("mix").isNotNull() & F.col("source").isNotNull() & (F.col("weight") > 0)).distinct()
-    want = listed.withColumn("share", F.col("weight") / F.sum("weight").over(w)).crossJoin(total)  # one row
+    want = listed.withColumn("share", F.col("weight") / F.sum("weight").over(w))
+    want = want.withColumn("total", total).fillna(0, ["total"])
     goal = F.round(F.col("share") * F.col("size_factor") * F.col("total")).cast("long")
     cap = F.coalesce(F.col("max_repeats"), F.lit(1)).cast("long")
     passes = F.when(F.col("available") > 0, F.floor(F.col("target") / F.col("available"))).otherwise(F.lit(0)).cast("long")
