@@ -173,7 +173,10 @@ def test_imports(spark):
 def test_aliases(spark):
     rules = spark.createDataFrame([("@a/*", "x/*"), ("@a/b", "y"), ("@a/bb*", "z/*"), ("@t/*", "1/*"), ("@t/*", "2/*"), ("@a/*.css", "css/*")], "pattern string, replacement string")
     specs = spark.createDataFrame([("@a/b",), ("@a/bbq",), ("@a/c",), ("@t/x",), ("other",)], "specifier string")
-    assert dict(V.resolve_aliases(specs, rules).collect()) == {"@a/b": "y", "@a/bbq": "z/q", "@a/c": "x/c", "@t/x": None, "other": None}
+    want = {"@a/b": "y", "@a/bbq": "z/q", "@a/c": "x/c", "@t/x": None, "other": None}
+    assert dict(V.resolve_aliases(specs, rules).collect()) == want
+    catch = lambda *r: dict(V.resolve_aliases(specs, rules.unionByName(spark.createDataFrame(list(r), rules.schema))).collect())["other"]
+    assert catch(("*", "any/*")) == "any/other" and catch(("*", "any/*"), ("*r", "r/*")) is None and catch(("*", "any/*"), ("*q", "q/*")) == "any/other"
 
 
 def test_qualification_and_selection(spark):

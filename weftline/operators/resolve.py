@@ -44,7 +44,7 @@ def resolve_aliases(specifiers: DataFrame, rules: DataFrame) -> DataFrame:
     """(specifier, target): path-alias rules (pattern, replacement), `*` for the rest.
 
     An exact pattern beats a wildcard, a longer literal prefix a shorter one; a tie resolves to nothing. Rules are a
-    configuration: their count does not grow with the data, and Spark checks their size before it broadcasts them.
+    configuration, whose count does not grow with the data.
     """
     star = F.instr("pattern", "*")
     rule = rules.distinct().withColumn("_prefix", F.when(star > 0, F.substring("pattern", F.lit(1), star - 1)).otherwise(F.col("pattern")))
@@ -57,9 +57,11 @@ def resolve_aliases(specifiers: DataFrame, rules: DataFrame) -> DataFrame:
     first = F.substring("specifier", 1, 1)
     keyed = specifiers.select("specifier").distinct().withColumn("_head", first)
     ruled = rule.withColumn("_head", F.substring("_prefix", 1, 1))
-    general = ruled.filter(F.col("_head") == "").drop("_head")
     hits = keyed.join(ruled, "_head").filter(fits).select("specifier", "pattern", "replacement", "_prefix", "_suffix", "_exact")
-    anywhere = keyed.join(F.broadcast(general.limit(1)), F.lit(True)).filter(fits).select(hits.columns)  # one catch-all rule
+    # rules without a literal prefix fit anywhere: they differ in their suffix alone, so they are few
+    cell = F.struct("pattern", "replacement", "_prefix", "_suffix", "_exact")
+    general = ruled.filter(F.col("_head") == "").agg(F.collect_set(cell).alias("all")).scalar()
+    anywhere = keyed.withColumn("all", general).select("specifier", F.explode("all").alias("r")).select("specifier", "r.*").filter(fits).select(hits.columns)
     scored = hits.unionByName(anywhere).withColumn("_score", F.when(F.col("_exact"), F.lit(1 << 20)).otherwise(F.length("_prefix")))
     w = Window.partitionBy("specifier")
     best = scored.withColumn("_top", F.max("_score").over(w)).filter("_score = _top")
