@@ -15,6 +15,14 @@ def test_bundles_are_bounded_and_keep_the_tail(spark):
     assert ("a", "e") not in got and got[("c", "c")] == (2, True)
 
 
+def test_bundles_keep_every_declaration_of_a_name(spark):
+    text = "struct S {\n}\nimpl S {\n  fn f() {}\n}\nimpl T for S {\n}\nfn g() -> S {\n}\n"
+    sym = spark.createDataFrame([(1, "S", 1, 2), (1, "S", 3, 5), (1, "S", 6, 7), (1, "S", 6, 6), (1, "g", 8, 9)], "k int, name string, line int, end_line int")
+    got = rows(B.bundles(sym, spark.createDataFrame([(1, text)], "k int, content string"), ["k"]).select("primary", "primary_line", "name", "line", "lines", "included"))
+    blocks = {1: 2, 3: 3, 6: 2}
+    assert got == sorted([(*p, "S", n, size, True) for p in (("S", 1), ("S", 3), ("S", 6), ("g", 8)) for n, size in blocks.items()] + [("g", 8, "g", 8, 2, True)], key=str)
+
+
 def test_mounts(spark):
     routes = spark.createDataFrame([("f", "r", "GET", "/x"), ("f", "app", "GET", "/top"), ("f", "self", "GET", "/loop"), ("g", "r", "GET", "/x")], "scope string, router string, method string, path string")
     joins = spark.createDataFrame([("f", "app", "/api/", "r"), ("f", "mid", "/m", "r"), ("f", "app", "/v", "mid"), ("f", "self", "/s", "self")], "scope string, router string, prefix string, child string")

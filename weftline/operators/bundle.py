@@ -26,22 +26,24 @@ def block_text(text: Column, start: Column, end: Column) -> Column:
 
 
 def bundles(symbols: DataFrame, files: DataFrame, key: list[str]) -> DataFrame:
-    """(keys, primary, name, line, lines, included): for each top-level symbol of a file the others its text mentions.
+    """(keys, primary, primary_line, name, line, lines, included): for each top-level symbol of a file the others its text mentions.
 
-    `symbols` has the keys, name, line, end_line; `files` the keys and content. The primary block comes first, then the
-    mentioned ones by line; blocks are packed greedily within MOST_LINES and MOST_BLOCKS, and what does not fit is kept
-    and marked. A mention is the name as a whole word.
+    `symbols` has the keys, name, line, end_line; `files` the keys and content. A block is a declaration: one name may
+    have many (overloads, a type and its impls), each is a primary, and a mention brings all of them; those that begin on
+    one line are one block, to the last end. The primary block comes first, then the mentioned ones by line; blocks are
+    packed greedily within MOST_LINES and MOST_BLOCKS, and what does not fit is kept and marked. A mention is the name as
+    a whole word.
     """
-    top = symbols.select(*key, "name", "line", "end_line").dropDuplicates([*key, "name"])
+    top = symbols.groupBy(*key, "name", "line").agg(F.max("end_line").alias("end_line"))
     text = files.select(*key, "content").distinct()
     size = F.coalesce(F.col("end_line"), F.col("line") + (PREVIEW_LINES - 1)) - F.col("line") + 1
     primary = top.join(text, key).select(
-        *key, F.col("name").alias("primary"), F.col("line").alias("at"), block_text(F.col("content"), F.col("line"), F.col("end_line")).alias("body")
+        *key, F.col("name").alias("primary"), F.col("line").alias("primary_line"), block_text(F.col("content"), F.col("line"), F.col("end_line")).alias("body")
     )
     words = F.array_distinct(F.regexp_extract_all("body", F.lit(r"([A-Za-z_$][\w$]*)"), F.lit(1)))
-    said = primary.select(*key, "primary", F.explode(words).alias("name"))
-    blocks = said.join(top, [*key, "name"]).select(*key, "primary", "name", "line", size.alias("lines"))
-    first = F.when(F.col("name") == F.col("primary"), 0).otherwise(1)
+    said = primary.select(*key, "primary", "primary_line", F.explode(F.array_union(F.array("primary"), words)).alias("name"))
+    blocks = said.join(top, [*key, "name"]).select(*key, "primary", "primary_line", "name", "line", size.alias("lines"))
+    first = F.when((F.col("name") == F.col("primary")) & (F.col("line") == F.col("primary_line")), 0).otherwise(1)
     order = F.struct(first.alias("f"), F.col("line").alias("l"), F.col("name").alias("name"))
     cells = F.array_sort(F.collect_list(F.struct(order.alias("o"), F.col("lines").cast("long").alias("s"))))
     zero = F.struct(
@@ -57,9 +59,9 @@ def bundles(symbols: DataFrame, files: DataFrame, key: list[str]) -> DataFrame:
             F.concat(acc["out"], F.array(one)).alias("out"),
         )
 
-    packed = blocks.groupBy(*key, "primary").agg(F.aggregate(cells, zero, step)["out"].alias("out"))
-    one = packed.select(*key, "primary", F.explode("out").alias("_b"))
-    return one.select(*key, "primary", "_b.name", "_b.line", "_b.lines", "_b.included")
+    packed = blocks.groupBy(*key, "primary", "primary_line").agg(F.aggregate(cells, zero, step)["out"].alias("out"))
+    one = packed.select(*key, "primary", "primary_line", F.explode("out").alias("_b"))
+    return one.select(*key, "primary", "primary_line", "_b.name", "_b.line", "_b.lines", "_b.included")
 
 
 def capsule(ranked: DataFrame, docs: DataFrame, key: str, text: str, path: str) -> DataFrame:
