@@ -2,12 +2,14 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import SF
 from weftline.operators import context as C
 from weftline.operators import diff as D
 from weftline.operators import exact_scan as E
 from weftline.operators import resolve as V
 from weftline.operators import rules as R
 from weftline.operators import text_search as S
+from weftline.plans import diff_queries
 
 
 def rows(df, *cols):
@@ -79,6 +81,14 @@ def test_keyed_diff(spark):
     assert D.keyed_diff(b.limit(0), a.limit(0), "k", ["a"]).count() == 0
 
 
+def test_every_changed_field_has_its_values(spark):
+    named = {(r.o_orderkey, f) for r in diff_queries.diff_nodes(spark, SF).collect() if r.change == "changed" for f in r.changed_fields.split(",")}
+    got = diff_queries.diff_changed_fields(spark, SF).collect()
+    assert len(got) == len(named) and {(r.o_orderkey, r.field) for r in got} == named and {f for _, f in named} == {"o_orderstatus", "o_totalprice"}
+    assert all(float(r.after) == pytest.approx(float(r.before) + 1) for r in got if r.field == "o_totalprice")
+    assert all(r.before and r.after is None for r in got if r.field == "o_orderstatus")
+
+
 def test_bags_cancel_by_multiplicity(spark):
     s = "identity string, pair string, g string"
     b = spark.createDataFrame([("same", "p0", "g0"), ("b1", "p1", "g1"), ("b2", "p2", "g2"), ("b3", "p3", "g3"), ("b4", "p3", "g3")], s)

@@ -34,7 +34,7 @@ def diff_nodes(spark: SparkSession, d: str) -> DataFrame:
 def diff_changed_fields(spark: SparkSession, d: str) -> DataFrame:
     """One row for each field that differs, with its values."""
     got = D.keyed_diff(_before(spark, d), _after(spark, d), "o_orderkey", ORDER_FIELDS).filter(F.col("change") == "changed")
-    cell = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"before.{f}").cast("string").alias("b"), F.col(f"after.{f}").cast("string").alias("a")) for f in ("o_orderstatus", "o_orderpriority")])
+    cell = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"before.{f}").cast("string").alias("b"), F.col(f"after.{f}").cast("string").alias("a")) for f in ORDER_FIELDS])
     one = got.select("o_orderkey", F.explode(cell).alias("c"))
     return one.filter(~F.col("c.b").eqNullSafe(F.col("c.a"))).select("o_orderkey", "c.field", F.col("c.b").alias("before"), F.col("c.a").alias("after"))
 
