@@ -28,7 +28,6 @@ class LexFault(Exception):
 EOF = "EOF"
 SHAPES_KEPT = 20_000
 LONGEST_SHAPE = 48
-MOST_FAULTS = 50
 OPENERS = {"(": ")", "[": "]", "{": "}"}
 CLOSERS = {")", "]", "}"}
 
@@ -51,6 +50,17 @@ class Tokens:
         self.end.append(end)
         self.nl.append(nl)
 
+    def note(self, at: int, what: str) -> None:
+        """A lexical fault, once."""
+        if not self.faults or self.faults[-1] != (at, what):
+            self.faults.append((at, what))
+
+    def undo(self, tokens: int, faults: int, offset: int) -> None:
+        """Forget the tokens from a number on, and the faults from a number on that lie at or after an offset."""
+        for x in (self.kind, self.start, self.end, self.nl):
+            del x[tokens:]
+        self.faults[faults:] = [f for f in self.faults[faults:] if f[0] < offset]
+
     def close(self, size: int) -> "Tokens":
         for _ in range(4):
             self.add(EOF, size, size, 1)
@@ -159,9 +169,6 @@ class Parser:
     def recover(self, fault: Fault, began: int, until: tuple) -> None:
         """Panic mode: note the fault, skip to after the next `;` or to a `}` of the same level, and go on."""
         self.faults.append((self.t.start[min(fault.at, self.last)], fault.what))
-        if len(self.faults) > MOST_FAULTS:
-            self.p = self.last
-            return
         depth = 0
         self.p = max(self.p, began)
         while self.p < self.last:

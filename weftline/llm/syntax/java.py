@@ -40,7 +40,12 @@ def lex(text: str) -> Tokens:
                 break
             if text.startswith('"""', i):
                 t.faults.append((i, "bad text block"))
-                break
+                close = text.find('"""', i + 3)
+                if close < 0:
+                    break
+                add("str", i, close + 3, nl)
+                nl, i = 0, close + 3
+                continue
             t.faults.append((i, f"unterminated or bad literal {c}" if c in "\"'" else f"unexpected character {c!r}"))
             line = text.find("\n", i)
             i = (n if line < 0 else line) if c in "\"'" else i + 1

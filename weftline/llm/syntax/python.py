@@ -22,6 +22,12 @@ TOKEN = re.compile(
     ))
 )
 INDENT = re.compile(r"[ \t\f]*")
+LINE = re.compile(r"[^\n\r]*")
+PREFIX = re.compile(r"[rRbBuUfF]{0,2}")
+# a line that begins so cannot stand in brackets
+STATEMENT = re.compile(
+    r"[ \t\f]*(?:def|class|import|return|raise|while|with|try|del|global|nonlocal|pass|break|continue|assert|except|finally|elif)\b"
+)
 BODY = {
     '"': re.compile(r'(?:[^"\\\n\r]|\\(?:\r\n|[\s\S]))*'), "'": re.compile(r"(?:[^'\\\n\r]|\\(?:\r\n|[\s\S]))*"),
     '"""': re.compile(r'(?:[^"\\]|\\[\s\S]|"(?!""))*'), "'''": re.compile(r"(?:[^'\\]|\\[\s\S]|'(?!''))*"),
@@ -34,21 +40,20 @@ BAD_BYTES = re.compile(r"\\x(?![0-9a-fA-F]{2})")
 class Lexer:
     def __init__(self, text: str):
         self.x, self.n, self.t, self.i = text, len(text), Tokens(), 0
+        self.stack: list[str] = []
+        self.nested = 0
+        self.strict = False
 
     def run(self) -> Tokens:
         t = self.t
         if "\x00" in self.x:
             t.faults.append((self.x.index("\x00"), "null byte"))
-        try:
-            self.lines()
-        except LexFault as f:
-            t.faults.append((f.offset, f.what))
+        self.lines()
         return t.close(self.n)
 
     def lines(self) -> None:
         x, t, n = self.x, self.t, self.n
         levels: list[tuple[int, int]] = [(0, 0)]
-        self.stack: list[str] = []
         fresh = True
         while True:
             if fresh:
@@ -61,6 +66,10 @@ class Lexer:
             if self.i >= n:
                 break
             kind = self.token()
+            if kind == "nl" and self.stack and STATEMENT.match(x, self.i):
+                t.note(self.i, "bracket was never closed")
+                while self.stack:
+                    t.add(OPENERS[self.stack.pop()], self.i - 1, self.i - 1, 0)
             if kind == "nl" and not self.stack:
                 if t.kind and t.kind[-1] not in ("NEWLINE", "INDENT", "DEDENT"):
                     t.add("NEWLINE", self.i - 1, self.i, 0)
@@ -134,8 +143,9 @@ class Lexer:
             if kind in OPENERS:
                 self.stack.append(kind)
             elif kind in CLOSERS:
-                if not self.stack or OPENERS[self.stack.pop()] != kind:
-                    raise LexFault(i, f"unmatched {kind}")
+                kind = self.closer(kind, i)
+                if not kind:
+                    return "bad"
         elif e < self.n and (x[e].isalnum() or x[e] == "_") and not re.match(r"(?:and|else|for|if|in|is|not|or)\b", x[e : e + 5]):
             self.t.faults.append((i, "bad number"))
         elif len(s) > 1 and s[0] == "0" and s.replace("_", "").isdigit() and s.strip("0_"):
@@ -143,15 +153,30 @@ class Lexer:
         self.t.add(kind, i, e, 0)
         return kind
 
+    def closer(self, kind: str, i: int) -> str:
+        """A closing bracket as the token to add. One that does not match is noted, and the stream repaired: brackets inside
+        its own are closed, it stands for the one due, or it is left out ('')."""
+        stack = self.stack
+        if stack and OPENERS[stack[-1]] == kind:
+            stack.pop()
+            return kind
+        self.t.note(i, f"unmatched {kind}")
+        if not stack:
+            return ""
+        if not any(OPENERS[b] == kind for b in stack):
+            return OPENERS[stack.pop()]
+        while OPENERS[stack[-1]] != kind:
+            self.t.add(OPENERS[stack.pop()], i, i, 0)
+        stack.pop()
+        return kind
+
     def string(self, at: int, q: str, prefix: str) -> None:
         m = BODY[q].match(self.x, self.i)
         e = m.end()
         if not self.x.startswith(q, e):
-            if len(q) == 3:
-                raise LexFault(at, "unterminated triple-quoted string")
-            self.t.faults.append((at, "unterminated string"))
-            self.i = e
-            self.t.add("str", at, e, 0)
+            self.t.faults.append((at, "unterminated triple-quoted string" if len(q) == 3 else "unterminated string"))
+            self.i = self.n if len(q) == 3 else e
+            self.t.add("str", at, self.i, 0)
             return
         if "\\" in m.group() and "r" not in prefix:
             plain = m.group().replace("\\\\", "")
@@ -163,13 +188,32 @@ class Lexer:
         self.t.add("bytes" if "b" in prefix else "str", at, self.i, 0)
 
     def fstring(self, at: int, q: str, raw: bool) -> None:
-        self.t.add("fs_open", at, self.i, 0)
-        self.literal(at, q, raw, False)
-        self.i += len(q)
-        self.t.add("fs_close", self.i - len(q), self.i, 0)
+        t, body, stack = self.t, self.i, self.stack
+        n, faults = len(t.kind), len(t.faults)
+        t.add("fs_open", at, body, 0)
+        self.nested += 1
+        try:
+            self.literal(at, q, raw, False)
+        except (LexFault, RecursionError) as e:
+            if self.nested > 1:
+                raise
+            f = e if isinstance(e, LexFault) else LexFault(at, "nested too deep")
+            # a field ran to the end of the text: go on after the string's quote or first line; from here on no field passes these
+            end = self.x.find(q, body) if len(q) == 3 else LINE.match(self.x, body).end()
+            self.i = self.n if end < 0 else end + len(q) * (len(q) == 3)
+            t.undo(n, faults, self.i)
+            t.note(f.offset if f.offset < self.i else at, f.what)
+            t.add("str", at, self.i, 0)
+            self.stack, self.strict = stack, True
+            return
+        finally:
+            self.nested -= 1
+        if self.x.startswith(q, self.i):
+            self.i += len(q)
+        t.add("fs_close", self.i - len(q), self.i, 0)
 
     def literal(self, at: int, q: str, raw: bool, spec: bool) -> None:
-        """Plain characters and replacement fields, up to the quote, or in a format spec up to `}`."""
+        """Plain characters and replacement fields, up to the quote or, noted, the end of the line; in a format spec up to `}`."""
         x = self.x
         while True:
             if self.i >= self.n:
@@ -177,10 +221,11 @@ class Lexer:
             c = x[self.i]
             if x.startswith(q, self.i):
                 if spec:
-                    raise LexFault(self.i, "f-string: expected }")
+                    self.t.note(self.i, "f-string: expected }")
                 return
             if c in "\n\r" and len(q) == 1:
-                raise LexFault(at, "unterminated f-string")
+                self.t.note(at, "unterminated f-string")
+                return
             if c == "\\":
                 if not raw and x.startswith("\\N{", self.i):
                     end = x.find("}", self.i)
@@ -199,9 +244,11 @@ class Lexer:
             elif c == "}":
                 if spec:
                     return
-                if not x.startswith("}}", self.i):
-                    raise LexFault(self.i, "f-string: single }")
-                self.i += 2
+                if x.startswith("}}", self.i):
+                    self.i += 2
+                else:
+                    self.t.note(self.i, "f-string: single }")
+                    self.i += 1
             else:
                 self.i += 1
 
@@ -209,11 +256,23 @@ class Lexer:
         x = self.x
         self.t.add("fs_{", self.i, self.i + 1, 0)
         self.i += 1
-        outer, self.stack = getattr(self, "stack", []), []
+        outer, self.stack = self.stack, []
         while True:
             if self.i >= self.n:
                 raise LexFault(at, "unterminated f-string")
             c = x[self.i]
+            if self.strict:
+                quote = PREFIX.match(x, self.i).end()
+                if x.startswith(q, quote):
+                    self.i = quote
+                    self.t.note(quote, "f-string: expected }")
+                    break
+                if len(q) == 1 and c in "\n\r":
+                    break
+            if c == "}" and self.stack and "{" not in self.stack:
+                self.t.note(self.i, "unmatched }")
+                while self.stack:
+                    self.t.add(OPENERS[self.stack.pop()], self.i, self.i, 0)
             if not self.stack:
                 if c == "}":
                     break
@@ -227,16 +286,18 @@ class Lexer:
             self.token()
         self.stack = outer
         if x.startswith("!", self.i):
-            if not re.match(r"![rsa]\s*[}:]", x[self.i : self.i + 20]):
-                raise LexFault(self.i, "f-string: bad conversion")
-            self.i = re.compile(r"![rsa]\s*").match(x, self.i).end()
+            if re.match(r"![rsa]\s*[}:]", x[self.i : self.i + 20]):
+                self.i = re.compile(r"![rsa]\s*").match(x, self.i).end()
+            else:
+                self.t.note(self.i, "f-string: bad conversion")
+                while self.i < self.n and x[self.i] not in "}:\n\r" and not x.startswith(q, self.i):
+                    self.i += 1
         if x.startswith(":", self.i):
             self.i += 1
             self.t.add("fs_:", self.i - 1, self.i, 0)
             self.literal(at, q, raw, True)
-        if not x.startswith("}", self.i):
-            raise LexFault(self.i, "f-string: expected }")
-        self.i += 1
+        if x.startswith("}", self.i):
+            self.i += 1
         self.t.add("fs_}", self.i - 1, self.i, 0)
 
 
@@ -271,9 +332,6 @@ class Python(Parser):
     def recover(self, fault, began: int, until: tuple) -> None:
         """Panic mode: go on after the end of the logical line, over an indented block that belongs to it."""
         self.faults.append((self.t.start[min(fault.at, self.last)], fault.what))
-        if len(self.faults) > 50:
-            self.p = self.last
-            return
         self.p = max(self.p, began)
         while self.p < self.last and self.k[self.p] not in ("NEWLINE", "DEDENT", "INDENT"):
             self.p += 1

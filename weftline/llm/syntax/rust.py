@@ -25,6 +25,7 @@ TOKEN = re.compile(
     ))
 )
 NESTED = re.compile(r"/\*|\*/")
+CLOSED = re.compile(r"[bc]?\"(?:[^\"\\]|\\[\s\S])*\"")
 
 
 def lex(text: str) -> Tokens:
@@ -38,7 +39,12 @@ def lex(text: str) -> Tokens:
             c = text[i]
             t.faults.append((i, "unterminated or bad literal" if c in "\"'bc" and '"' in text[i : i + 2] or c == "'" else f"unexpected character {c!r}"))
             if c == '"' or text.startswith(('b"', 'c"'), i):
-                break  # an open string runs to the end
+                closed = CLOSED.match(text, i)
+                if not closed:
+                    break  # an open string runs to the end
+                add("str", i, closed.end(), nl)
+                nl, i = 0, closed.end()
+                continue
             i += 1
             continue
         kind, s = m.lastgroup, m.group()

@@ -28,6 +28,9 @@ REGEX = re.compile(r"/(?![*/])(?:[^/\\\[\n\r]|\\[^\n\r]|\[(?:[^\]\\\n\r]|\\[^\n\
 TEMPLATE = re.compile(r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*")
 TAG_NAME = re.compile(r"%s(?:%s|-)*(?:[.:]%s(?:%s|-)*)*" % (NAME, PART, NAME, PART))
 BLANK = re.compile(r"(?:\s+|//[^\n]*|/\*(?:[^*]|\*(?!/))*\*/)*")
+JUNK = re.compile(r"[^\s>{][^\s>{/]*")
+# lengths of the text that may be read in vain for elements without an end
+MOST_LOST = 20
 HEX_OR_ANY = re.compile(r"\\(?:x(?![0-9a-fA-F]{2})|u(?![0-9a-fA-F]{4}|\{[0-9a-fA-F]+\}))")
 
 
@@ -35,6 +38,8 @@ class Lexer:
     def __init__(self, text: str, jsx: bool, typed: bool):
         self.x, self.n, self.t, self.jsx, self.typed = text, len(text), Tokens(), jsx, typed
         self.i = 0
+        self.names: list[str] = []
+        self.inside = self.lost = 0
 
     def run(self) -> Tokens:
         if self.x.startswith("#!"):
@@ -84,7 +89,11 @@ class Lexer:
             if c == "/" and self.value_follows():
                 m = REGEX.match(x, i)
                 if not m:
-                    raise LexFault(i, "unterminated comment" if x.startswith("/*", i) else "bad regular expression")
+                    self.t.note(i, "unterminated comment" if x.startswith("/*", i) else "bad regular expression")
+                    line = x.find("\n", i)
+                    self.i = self.n if line < 0 or x.startswith("/*", i) else line
+                    add("regex", i, self.i, nl)
+                    continue
                 if len(set(m["flags"])) != len(m["flags"]) or set(m["flags"]) - set("dgimsuvy"):
                     self.t.faults.append((i, "bad flags of a regular expression"))
                 add("regex", i, m.end(), nl)
@@ -163,13 +172,31 @@ class Lexer:
         self.i += 1
 
     def element(self, nl: int) -> None:
-        at = self.i
-        self.t.add("jsx_open", at, at + 1, nl)
-        self.tag()
-        self.t.add("jsx_close", self.i - 1, self.i, 0)
+        t, at, names = self.t, self.i, self.names
+        n, faults = len(t.kind), len(t.faults)
+        t.add("jsx_open", at, at + 1, nl)
+        self.names = []
+        self.inside += 1
+        try:
+            self.tag()
+        except LexFault as f:
+            if self.inside > 1:
+                raise
+            # it ran to the end of the text: go on after its first line
+            self.lost += self.n - at
+            self.jsx = self.lost < MOST_LOST * self.n  # beyond, `<` is an operator and the parser notes it
+            line = self.x.find("\n", at)
+            self.i = self.n if line < 0 else line
+            t.undo(n + 1, faults, self.i)
+            t.note(f.offset if f.offset < self.i else at, f.what)
+        finally:
+            self.names = names
+            self.inside -= 1
+        t.add("jsx_close", self.i - 1, self.i, 0)
 
     def tag(self) -> None:
-        x, at = self.x, self.i
+        """An element to its end. What does not belong there is noted and passed; only the end of the text is raised."""
+        x, at, note = self.x, self.i, self.t.note
         self.i += 1
         m = TAG_NAME.match(x, self.i)
         name = ""
@@ -189,7 +216,9 @@ class Lexer:
                     break
                 m = TAG_NAME.match(x, self.i)
                 if not m:
-                    raise LexFault(self.i, "bad attribute")
+                    note(self.i, "bad attribute")
+                    self.i = JUNK.match(x, self.i).end()
+                    continue
                 self.i = m.end()
                 self.skip()
                 if self.i < self.n and x[self.i] == "=":
@@ -199,35 +228,48 @@ class Lexer:
                     if c in ('"', "'") and c:
                         end = x.find(c, self.i + 1)
                         if end < 0:
-                            raise LexFault(self.i, "unterminated attribute")
+                            note(self.i, "unterminated attribute")
+                            line = x.find("\n", self.i)
+                            end = self.n - 1 if line < 0 else line
                         self.i = end + 1
                     elif c == "{":
                         self.braced()
                     elif c == "<":
                         self.tag()
                     else:
-                        raise LexFault(self.i, "bad attribute")
+                        note(self.i, "bad attribute")
+                        m = JUNK.match(x, self.i)
+                        self.i = m.end() if m else self.i
         elif not x.startswith(">", self.i):
-            raise LexFault(self.i, "bad element")
+            note(self.i, "bad element")
+            return
         self.i += 1
+        self.names.append(name)
         while True:
             while self.i < self.n and x[self.i] not in "<{":
                 if x[self.i] in ">}":
-                    raise LexFault(self.i, f"unexpected {x[self.i]} in an element")
+                    note(self.i, f"unexpected {x[self.i]} in an element")
                 self.i += 1
             if self.i >= self.n:
                 raise LexFault(at, "unterminated element")
             if x[self.i] == "{":
                 self.braced()
             elif x.startswith("</", self.i):
+                began = self.i
                 self.i += 2
                 self.skip()
                 m = TAG_NAME.match(x, self.i)
                 closes = m.group() if m else ""
                 self.i = m.end() if m else self.i
                 self.skip()
+                self.names.pop()
                 if closes != name or not x.startswith(">", self.i):
-                    raise LexFault(self.i, "closing tag does not match")
+                    note(self.i, "closing tag does not match")
+                    if closes != name and closes in self.names:
+                        self.i = began  # it closes an outer element
+                        return
+                    if not x.startswith(">", self.i):
+                        return
                 self.i += 1
                 return
             else:
