@@ -1,6 +1,6 @@
 """What changed between consecutive full snapshots of a keyed table.
 
-Keys get persistent ordinals; each snapshot is a compressed bitmap of ordinals. AND-NOT of neighbouring bitmaps gives
+Keys get ordinals, local to a partition (operators/ordinals.py keeps persistent ones); each snapshot is a compressed bitmap of ordinals. AND-NOT of neighbouring bitmaps gives
 the added and the removed keys, AND gives the common ones, and vectors of each field aligned on the ordinals show which
 fields of common keys differ.
 
