@@ -64,6 +64,12 @@ def test_python_facts():
     assert len(long[0][0]) == 256
 
 
+def test_a_long_callee_keeps_its_name():
+    chain = "q" + "".join(f".where(column_{i} == {i})" for i in range(40))
+    (long,) = [r[1] for r in facts("a.py", f"def f():\n    {chain}.finish()\n") if r[0] == "call" and len(r[1]) > 600 and r[1].endswith(".finish")]
+    assert long == chain + ".finish"
+
+
 def test_script_facts():
     text = """import { A, B } from "./a"; // import "x"
 export * from './all';

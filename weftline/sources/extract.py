@@ -88,7 +88,7 @@ class _Python(ast.NodeVisitor):
 
     def visit_Call(self, node):
         if isinstance(node.func, (ast.Name, ast.Attribute)):
-            self.rows.append(row("call", ast.unparse(node.func)[:LITERAL_CAP], "call", node.lineno, owner=self.owner()))
+            self.rows.append(row("call", ast.unparse(node.func), "call", node.lineno, owner=self.owner()))
         self.generic_visit(node)
 
     def visit_Constant(self, node):
