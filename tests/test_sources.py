@@ -138,6 +138,21 @@ def test_stream_state_equals_batch(spark, tmp_path):
     assert os.path.isdir(tmp_path / "cp")
 
 
+def test_an_older_record_in_a_later_batch_does_not_win(spark, tmp_path):
+    schema = "path string, content_hash string, o int"
+    src = str(tmp_path / "in")
+    state = ContentState(spark, scratch(spark, "stream"), ["path"])
+    run = lambda: I.keep_up(I.file_stream(spark, src, spark.createDataFrame([], schema).schema, 1), state, ["path"], "o", str(tmp_path / "cp"), "s").awaitTermination()
+    for rows in ([("a", "1", 1), ("b", "9", 9)], [("a", "1", 5), ("b", "8", 8)], [("a", "3", 3), ("b", None, 10)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        run()
+    assert {tuple(r) for r in state.state().collect()} == {("a", "1"), ("b", None)}
+    state.compact()
+    spark.createDataFrame([("a", "4", 4), ("b", "7", 7)], schema).coalesce(1).write.mode("append").parquet(src)
+    run()
+    assert {tuple(r) for r in state.state().collect()} == {("a", "1"), ("b", None)}
+
+
 def test_event_windows(spark, tmp_path):
     src = str(tmp_path / "ev")
     rows = [("u", "2025-01-01 00:00:10"), ("u", "2025-01-01 00:00:50"), ("u", "2025-01-01 00:05:00"), ("v", "2025-01-01 00:00:20"), ("v", "2025-01-02 00:00:00")]

@@ -32,6 +32,13 @@ class ContentState:
             [T.StructField(k, T._parse_datatype_string(kinds.get(k, "string"))) for k in self.keys]
             + [T.StructField("content_hash", T.StringType()), T.StructField("version", T.LongType())]
         )
+        self.ordered = False
+
+    def order_by(self, kind: T.DataType) -> None:
+        """Keep an order with each hash: runs may come in any order, and of a key's records the one greatest in (order, hash) counts."""
+        if not self.ordered:
+            self.schema = T.StructType([*self.schema.fields, T.StructField("order", kind)])
+            self.ordered = True
 
     def manifest(self) -> dict:
         """The newest published manifest."""
@@ -50,27 +57,36 @@ class ContentState:
 
     def state(self, manifest: dict | None = None) -> DataFrame:
         """(keys, content_hash) as of the newest version."""
-        rows = self._read((manifest or self.manifest())["segments"])
-        return rows.groupBy(*self.keys).agg(F.max_by("content_hash", "version").alias("content_hash"))
+        return self._newest(manifest or self.manifest()).select(*self.keys, "content_hash")
+
+    def _newest(self, manifest: dict) -> DataFrame:
+        kept = ["content_hash", "order"] if self.ordered else ["content_hash"]
+        rows = self._read(manifest["segments"])
+        return rows.groupBy(*self.keys).agg(F.max_by(F.struct(*kept), "version").alias("_r")).select(*self.keys, "_r.*")
 
     def process(self, current: DataFrame, run: str) -> DataFrame:
         """Keys of `current` (keys, content_hash; one row per key) whose hash differs from the state, then commit.
 
         Returns (keys, content_hash, version) of the changed keys; a null hash is kept in the state, so that the key
-        counts as different once it has a hash again. Keys missing from `current` keep their state.
+        counts as different once it has a hash again. Keys missing from `current` keep their state. With order_by(),
+        `current` has a column order too, and the keys are those whose (order, hash) is greater than the state's.
         """
         manifest = self.manifest()
         done = {r["run"]: r for r in manifest["runs"]}
         if run in done:
             return self._read([done[run]["segment"]])
         version = manifest["version"] + 1
-        known = self.state(manifest).withColumnRenamed("content_hash", "_known").withColumn("_there", F.lit(True))
+        known = self._newest(manifest).withColumnsRenamed({"content_hash": "_known", "order": "_order"}).withColumn("_there", F.lit(True))
+        kept = ["content_hash"]
+        differs = ~F.col("content_hash").eqNullSafe(F.col("_known"))
+        if self.ordered:
+            kept, differs = ["content_hash", "order"], F.struct("order", "content_hash") > F.struct("_order", "_known")
         segment = f"segment-{version:012d}-{uuid.uuid4().hex}"
         changed = (
-            current.select(*self.keys, "content_hash")
+            current.select(*self.keys, *kept)
             .join(known, self.keys, "left")
-            .filter(F.col("_there").isNull() | ~F.col("content_hash").eqNullSafe(F.col("_known")))
-            .select(*self.keys, "content_hash", F.lit(version).cast("long").alias("version"))
+            .filter(F.col("_there").isNull() | differs)
+            .select(*self.keys, *kept, F.lit(version).cast("long").alias("version"))
         )
         changed.write.parquet(f"{self.path}/{segment}")
         runs = [*manifest["runs"], {"run": run, "segment": segment, "version": version}]
@@ -84,7 +100,7 @@ class ContentState:
         manifest = self.manifest()
         version = manifest["version"] + 1
         segment = f"base-{version:012d}-{uuid.uuid4().hex}"
-        merged = self.state(manifest).withColumn("version", F.lit(version).cast("long"))
+        merged = self._newest(manifest).withColumn("version", F.lit(version).cast("long"))
         merged.sortWithinPartitions(*self.keys).write.parquet(f"{self.path}/{segment}")
         self._publish({"version": version, "segments": [segment], "runs": manifest["runs"]})
 

@@ -12,12 +12,14 @@ def keep_up(stream: DataFrame, state: ContentState, keys: list[str], order: str,
     """Feed micro-batches of (keys, content_hash, order) into a ContentState; each commits once.
 
     A batch is named by its id, so a batch that is played again after a failure is not processed a second time. Of
-    several rows of a key in one batch the last in order counts. Gives the running query; use trigger(availableNow) via
+    several rows of a key the last in order counts, in whichever batch it comes. Gives the running query; use trigger(availableNow) via
     the returned writer's defaults: it ends when the present files are read.
     """
 
+    state.order_by(stream.schema[order].dataType)
+
     def batch(df: DataFrame, number: int) -> None:
-        last = df.groupBy(*keys).agg(F.max(F.struct(order, "content_hash")).alias("l")).select(*keys, F.col("l.content_hash").alias("content_hash"))
+        last = df.groupBy(*keys).agg(F.max(F.struct(order, "content_hash")).alias("l")).select(*keys, F.col("l.content_hash").alias("content_hash"), F.col(f"l.{order}").alias("order"))
         state.process(last, f"{name}-{number}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
