@@ -1,7 +1,8 @@
 """What all parsers share: a token stream, faults, panic-mode recovery and a memory of statement shapes.
 
-Whether a statement is well formed depends on the kinds of its tokens alone, not on its names and literals. A simple
-statement that once parsed without fault is remembered by its kinds; the next one of the same shape is stepped over.
+Whether a statement is well formed depends on the kinds of its tokens and on which signs touch, not on its names and
+literals. A simple statement that once parsed without fault is remembered by these; the next one of the same shape is
+stepped over.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ SHAPES_KEPT = 20_000
 LONGEST_SHAPE = 48
 OPENERS = {"(": ")", "[": "]", "{": "}"}
 CLOSERS = {")", "]", "}"}
+# parsers ask whether these touch the token before them, or follow an @ at once
+TOUCHING = {">", ">=", "@", "("}
 
 
 class Tokens:
@@ -142,6 +145,11 @@ class Parser:
     def shape_context(self):
         return None
 
+    def touching(self, end: int) -> tuple:
+        """Of the tokens up to end at which a parser may ask adjacent(): whether they touch the one before."""
+        k, start, ends = self.k, self.t.start, self.t.end
+        return tuple([start[i] == ends[i - 1] for i in range(self.p + 1, end) if k[i] in TOUCHING or k[i - 1] == "@"])
+
     def statements(self, rule, *until: str) -> None:
         """Statements up to one of `until` (not eaten) or the end, with panic-mode recovery."""
         shapes = self.shapes
@@ -152,7 +160,7 @@ class Parser:
             end = self.simple_end()
             key = None
             if end > 0:
-                key = (self.shape_context(), rule.__name__, bytes(self.nl[p:end]), *self.k[p:end])
+                key = (self.shape_context(), rule.__name__, bytes(self.nl[p:end]), self.touching(end), *self.k[p:end])
                 if key in shapes:
                     self.p = end
                     continue
