@@ -1,13 +1,13 @@
-"""What all parsers share: a token stream, faults, panic-mode recovery and a memory of statement shapes.
+"""What all parsers share: a token stream with its bracket table, faults and panic-mode recovery.
 
-Whether a statement is well formed depends on the kinds of its tokens and on which signs touch, not on its names and
-literals. A simple statement that once parsed without fault is remembered by these; the next one of the same shape is
-stepped over.
+Every statement of every file is parsed; nothing is remembered from one file to the next, so a verdict is a function of
+the file alone. Recursion is bounded by the tokens of the file only (see deep()), so no depth of nesting is refused.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 
 
 class Fault(Exception):
@@ -27,12 +27,8 @@ class LexFault(Exception):
 
 
 EOF = "EOF"
-SHAPES_KEPT = 20_000
-LONGEST_SHAPE = 48
 OPENERS = {"(": ")", "[": "]", "{": "}"}
 CLOSERS = {")", "]", "}"}
-# parsers ask whether these touch the token before them, or follow an @ at once
-TOUCHING = {">", ">=", "@", "("}
 
 
 class Tokens:
@@ -70,19 +66,39 @@ class Tokens:
         return self
 
 
+def closers(kinds: list[str], last: int) -> dict[int, int]:
+    """Opening bracket -> the bracket that ends its group, both as token numbers, in one pass."""
+    open_, out = [], {}
+    for i in range(last):
+        k = kinds[i]
+        if k in OPENERS:
+            open_.append(i)
+        elif k in CLOSERS and open_:
+            out[open_.pop()] = i
+    return out
+
+
+FRAMES_A_TOKEN = 64
+
+
+def deep(n: int) -> None:
+    """Let calls nest as deep as n tokens or characters can ask for. Calls of Python by Python use no C stack."""
+    need = FRAMES_A_TOKEN * n + 10_000
+    if sys.getrecursionlimit() < need:
+        sys.setrecursionlimit(min(need, (1 << 31) - 1))
+
+
 class Parser:
     """Base of the languages' parsers. A subclass gives lex(text) and program()."""
 
-    STOPS = frozenset((";", "{", "}", EOF))
-    shapes: set = set()
-
     def __init__(self, tokens: Tokens):
         self.t = tokens
         self.k, self.nl = tokens.kind, tokens.nl
         self.p = 0
         self.last = len(self.k) - 4
         self.faults: list[tuple[int, str]] = list(tokens.faults)
-        self.depth = 0
+        self.close_of = closers(self.k, self.last)
+        deep(self.last)
 
     # stream
     def at(self, *kinds: str) -> bool:
@@ -122,55 +138,19 @@ class Parser:
 
     def closing(self, p: int) -> int:
         """The token number of the bracket that closes the one at p, or that of the end."""
-        depth = 0
-        for i in range(p, self.last):
-            k = self.k[i]
-            if k in OPENERS:
-                depth += 1
-            elif k in CLOSERS:
-                depth -= 1
-                if not depth:
-                    return i
-        return self.last
+        return self.close_of.get(p, self.last)
 
     # statements
-    def simple_end(self) -> int:
-        """Where a simple statement would end: after a `;` before any brace; -1 if there is none near."""
-        stops, k = self.STOPS, self.k
-        for i in range(self.p, min(self.p + LONGEST_SHAPE, self.last + 1)):
-            if k[i] in stops:
-                return i + 1 if k[i] == ";" else -1
-        return -1
-
-    def shape_context(self):
-        return None
-
-    def touching(self, end: int) -> tuple:
-        """Of the tokens up to end at which a parser may ask adjacent(): whether they touch the one before."""
-        k, start, ends = self.k, self.t.start, self.t.end
-        return tuple([start[i] == ends[i - 1] for i in range(self.p + 1, end) if k[i] in TOUCHING or k[i - 1] == "@"])
-
     def statements(self, rule, *until: str) -> None:
         """Statements up to one of `until` (not eaten) or the end, with panic-mode recovery."""
-        shapes = self.shapes
         while self.k[self.p] not in until:
             if self.p >= self.last:
                 return
             p = self.p
-            end = self.simple_end()
-            key = None
-            if end > 0:
-                key = (self.shape_context(), rule.__name__, bytes(self.nl[p:end]), self.touching(end), *self.k[p:end])
-                if key in shapes:
-                    self.p = end
-                    continue
-            n = len(self.faults)
             try:
                 rule()
                 if self.p == p:
                     self.fail("unexpected")
-                if key is not None and self.p == end and len(self.faults) == n and len(shapes) < SHAPES_KEPT:
-                    shapes.add(key)
             except Fault as f:
                 self.recover(f, p, until)
 
@@ -226,8 +206,6 @@ class Parser:
             self.program()
         except Fault as f:
             self.faults.append((self.t.start[min(f.at, self.last)], f.what))
-        except RecursionError:
-            self.faults.append((self.t.start[min(self.p, self.last)], "nested too deep"))
         return sorted(self.faults)
 
 

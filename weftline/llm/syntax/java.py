@@ -83,8 +83,6 @@ VALUE, TARGET, EFFECT = 0, 1, 2
 
 
 class Java(Parser):
-    shapes: set = set()
-    SOFT = words("record sealed non permits yield var when module open requires exports opens uses provides with to transitive")
 
     def __init__(self, tokens: Tokens, text: str):
         super().__init__(tokens)
@@ -94,14 +92,6 @@ class Java(Parser):
         j = self.p + i
         return self.x[self.t.start[j] : self.t.end[j]] if j < len(self.k) and self.k[j] == "id" else ""
 
-    def simple_end(self) -> int:
-        end = super().simple_end()
-        if end > 0:
-            for i in range(self.p, end):
-                if self.k[i] == "id" and self.t.end[i] - self.t.start[i] < 11 and self.x[self.t.start[i] : self.t.end[i]] in self.SOFT:
-                    return -1
-        return end
-
     def program(self) -> None:
         self.statements(self.top)
 

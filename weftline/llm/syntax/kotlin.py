@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from weftline.llm.syntax.base import EOF, Fault, Parser, Tokens, punctuation, words
+from weftline.llm.syntax.base import EOF, Fault, Parser, Tokens, deep, punctuation, words
 
 RESERVED = words(
     "as break class continue do else false for fun if in interface is null object package return super this throw true try "
@@ -39,6 +39,7 @@ class Lexer:
         if self.x.startswith("#!"):
             cut = self.x.find("\n")
             self.i = self.n if cut < 0 else cut
+        deep(self.n)
         self.code(False)
         return self.t.close(self.n)
 
@@ -166,10 +167,6 @@ DECLARE = words("class interface object fun val var typealias")
 
 
 class Kotlin(Parser):
-    STOPS = frozenset(("NL", ";", "{", "}", EOF))
-    shapes: set = set()
-    SOFT = MODIFIERS | words("by where constructor init get set field import file catch finally dynamic receiver param property delegate setparam out")
-
     def __init__(self, tokens: Tokens, text: str):
         super().__init__(tokens)
         self.x = text
@@ -179,18 +176,6 @@ class Kotlin(Parser):
         j = self.p + i
         return self.x[self.t.start[j] : self.t.end[j]] if j < len(self.k) and self.k[j] == "id" else ""
 
-    def simple_end(self) -> int:
-        k = self.k
-        for i in range(self.p, min(self.p + 48, self.last + 1)):
-            if k[i] in self.STOPS:
-                if k[i] not in ("NL", ";"):
-                    return -1
-                for j in range(self.p, i):
-                    if k[j] == "id" and self.x[self.t.start[j] : self.t.end[j]] in self.SOFT:
-                        return -1
-                return i + 1
-        return -1
-
     def breaks(self) -> None:
         while self.at("NL"):
             self.p += 1

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from weftline.llm.syntax.base import CLOSERS, EOF, OPENERS, LexFault, Parser, Tokens, punctuation, words
+from weftline.llm.syntax.base import CLOSERS, EOF, OPENERS, LexFault, Parser, Tokens, deep, punctuation, words
 
 RESERVED = words(
     "False None True and as assert async await break class continue def del elif else except finally for from global if "
@@ -48,6 +48,7 @@ class Lexer:
         t = self.t
         if "\x00" in self.x:
             t.faults.append((self.x.index("\x00"), "null byte"))
+        deep(self.n)
         self.lines()
         return t.close(self.n)
 
@@ -194,10 +195,9 @@ class Lexer:
         self.nested += 1
         try:
             self.literal(at, q, raw, False)
-        except (LexFault, RecursionError) as e:
+        except LexFault as f:
             if self.nested > 1:
                 raise
-            f = e if isinstance(e, LexFault) else LexFault(at, "nested too deep")
             # a field ran to the end of the text: go on after the string's quote or first line; from here on no field passes these
             end = self.x.find(q, body) if len(q) == 3 else LINE.match(self.x, body).end()
             self.i = self.n if end < 0 else end + len(q) * (len(q) == 3)
@@ -309,8 +309,6 @@ NO, ONE, MANY, STARRED = 0, 1, 2, 3
 
 
 class Python(Parser):
-    shapes: set = set()
-    SOFT = words("match case type _")
 
     def __init__(self, tokens: Tokens, text: str):
         super().__init__(tokens)
@@ -320,15 +318,6 @@ class Python(Parser):
         j = self.p + i
         return self.x[self.t.start[j] : self.t.end[j]] if j < len(self.k) and self.k[j] == "id" else ""
 
-    def simple_end(self) -> int:
-        k = self.k
-        if k[self.p] in COMPOUND or k[self.p] in ("INDENT", "DEDENT") or self.word() in self.SOFT:
-            return -1
-        for i in range(self.p, min(self.p + 48, self.last + 1)):
-            if k[i] == "NEWLINE":
-                return i + 1
-        return -1
-
     def recover(self, fault, began: int, until: tuple) -> None:
         """Panic mode: go on after the end of the logical line, over an indented block that belongs to it."""
         self.faults.append((self.t.start[min(fault.at, self.last)], fault.what))

@@ -96,8 +96,6 @@ BLOCK_LIKE = words("if match while loop for unsafe {")
 
 
 class Rust(Parser):
-    shapes: set = set()
-    SOFT = words("union macro_rules auto default safe raw")
 
     def __init__(self, tokens: Tokens, text: str):
         super().__init__(tokens)
@@ -108,14 +106,6 @@ class Rust(Parser):
         j = self.p + i
         return self.x[self.t.start[j] : self.t.end[j]] if j < len(self.k) and self.k[j] == "id" else ""
 
-    def simple_end(self) -> int:
-        end = super().simple_end()
-        if end > 0:
-            for i in range(self.p, end):
-                if self.k[i] == "id" and self.x[self.t.start[i] : self.t.end[i]] in self.SOFT:
-                    return -1
-        return end
-
     def program(self) -> None:
         while self.at("#") and self.peek() == "!" and self.peek(2) == "[":
             self.p += 2
@@ -823,10 +813,19 @@ class Rust(Parser):
         return False
 
     # expressions
-    def free(self, rule, *args) -> None:
+    def free(self, rule) -> None:
         held, self.no_struct = self.no_struct, False
-        rule(*args)
+        rule()
+        self.no_struct = held
+
+    def attempt(self, rule) -> bool:
+        held = self.no_struct
+        done = super().attempt(rule)
         self.no_struct = held
+        return done
+
+    def arguments(self) -> None:
+        self.listed(self.argument, ")")
 
     def expression(self, least: int = 0) -> None:
         if self.at("..", "..="):
@@ -927,7 +926,7 @@ class Rust(Parser):
 
     def call(self) -> None:
         self.need("(")
-        self.free(self.listed, self.argument, ")")
+        self.free(self.arguments)
 
     def argument(self) -> None:
         self.attributes()
@@ -941,7 +940,7 @@ class Rust(Parser):
             self.path_expression()
         elif k == "(":
             self.p += 1
-            self.free(self.listed, self.argument, ")")
+            self.free(self.arguments)
         elif k == "[":
             self.p += 1
             held, self.no_struct = self.no_struct, False

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from weftline.llm.syntax.base import EOF, LexFault, Parser, Tokens, punctuation, words
+from weftline.llm.syntax.base import EOF, LexFault, Parser, Tokens, deep, punctuation, words
 
 RESERVED = words(
     "break case catch class const continue debugger default delete do else export extends false finally for function if "
@@ -45,13 +45,12 @@ class Lexer:
         if self.x.startswith("#!"):
             cut = self.x.find("\n")
             self.i = self.n if cut < 0 else cut
+        deep(self.n)
         try:
             while self.code(False):
                 pass
         except LexFault as f:
             self.t.faults.append((f.offset, f.what))
-        except RecursionError:
-            self.t.faults.append((self.i, "nested too deep"))
         return self.t.close(self.n)
 
     def value_follows(self) -> bool:
@@ -286,8 +285,6 @@ TARGET, PATTERN, OTHER = 2, 1, 0
 
 
 class Script(Parser):
-    STOPS = frozenset((";", "{", "}", EOF, "tmpl_open", "jsx_open"))
-    shapes: set = set()
     typed = False
 
     def __init__(self, tokens: Tokens, text: str):
@@ -295,28 +292,11 @@ class Script(Parser):
         self.x = text
         self.functions = 0
 
-    def shape_context(self):
-        return (self.typed, self.functions > 0)
-
     def word(self, i: int = 0) -> str:
         """The text of a name token, else ''."""
         j = self.p + i
         return self.x[self.t.start[j] : self.t.end[j]] if j < len(self.k) and self.k[j] == "id" else ""
 
-    SOFT = words(
-        "async await abstract as asserts declare from get global infer interface is keyof let module namespace of override "
-        "private protected public readonly require satisfies set static type unique using yield accessor implements"
-    )
-
-    def simple_end(self) -> int:
-        # shapes must tell soft words from names: statements with one are parsed each time
-        end = super().simple_end()
-        if end > 0:
-            for i in range(self.p, end):
-                if self.k[i] == "id" and self.x[self.t.start[i] : self.t.end[i]] in self.SOFT:
-                    return -1
-        return end
-
     def semi(self) -> None:
         if self.eat(";"):
             return
