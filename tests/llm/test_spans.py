@@ -88,12 +88,56 @@ def test_append_gives_what_older_runs_hold(spark):
     frame = lambda *r: spark.createDataFrame(list(r), "doc_id bigint, text string")
     index = S.SpanIndex(spark, scratch(spark, "index"), 4)
     assert index.append(frame((1, common), (2, make(rnd, 300)))).count() == 0
-    assert {r.doc for r in index.append(frame((3, "new" + common), (4, make(rnd, 300)))).collect()} == {3}
-    before = {tuple(r) for r in index.prints().collect()}
-    index.compact()
-    assert index.manifest()["runs"] == [3] and {tuple(r) for r in index.prints().collect()} == before
-    assert {r.doc for r in index.append(frame((5, common + "z"))).collect()} == {5}
-    index.drop()
+    assert {r.doc for r in index.append(frame((3, "new" + common), (4, make(rnd, 300)))).collect()} == {1, 3}
+    plan = index.append(frame((6, make(rnd, 300))))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Bucketed: true" in plan  # the new run is merge-joined with the older ones
+    runs = index.manifest()["runs"]
+    assert len(runs) == 2 and runs[0]["rows"] > runs[1]["rows"]  # the first two became one
+    again = S.SpanIndex(spark, index.path, 99)  # opened again: same buckets, same rows
+    assert again.buckets == 4 and {r.doc for r in again.append(frame((5, common + "z"))).collect()} == {1, 3, 5}
+    index.close()
+    again.close()
+
+
+def test_a_later_batch_against_a_kept_index(spark):
+    docs = corpus()
+    old = {k: v for k, v in docs.items() if k % 3}
+    frame = lambda d: spark.createDataFrame(list(d.items()), "doc_id bigint, text string")
+    index = S.SpanIndex(spark, scratch(spark, "index"), 4)
+    got = {tuple(r) for r in S.shared_spans(spark, frame(old), 2, index).collect()}
+    assert got == brute(old)
+    new = {k: v for k, v in docs.items() if not k % 3}
+    more = {tuple(r) for r in S.shared_spans(spark, frame(new), 1, index, frame(docs)).collect()}
+    index.close()
+    cover = lambda spans: {(d, i) for d, a, n in spans for i in range(a, a + n)}
+    assert cover(got) | cover(more) == cover(brute(docs))
+
+
+def test_hash_of_many_texts_in_differing_surroundings(spark):
+    """A header too short to be shared, and pairs that share a little more than it: hot rows meet by their stretches."""
+    rnd = random.Random(11)
+    head = make(rnd, 160)
+    docs = {}
+    for i in range(80):
+        docs[i] = make(rnd, rnd.randrange(0, 60)) + head + make(rnd, 90 + i)
+    for i in range(0, 40, 2):
+        tail = make(rnd, 60)
+        docs[100 + i] = "p" + head + tail + make(rnd, 50)
+        docs[101 + i] = "q" + head + tail + make(rnd, 50)
+    rows = [(d, d, t) for d, t in docs.items()]
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows]) for i in range(3)], names=["doc_id", "kin", "text"])
+    first = pa.RecordBatch.from_arrays([c.slice(0, 60) for c in batch.columns], names=batch.schema.names)
+    states = [s for b in S._print(iter([first, batch.slice(60)])) for s in b["state"].to_pylist()]
+    assert S.HOT in states and S.MARK in states
+    df = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "30")
+    try:
+        for batches in (1, 3):
+            assert {tuple(r) for r in S.shared_spans(spark, df, batches).collect()} == brute(docs)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
 
 
 def test_empty(spark):
