@@ -38,6 +38,7 @@ POS_BITS = 26
 SALTS = 256
 HOT_ROWS = 16
 SEEN_BITS = 18
+FILTER_BITS = 20
 
 _U = np.uint64
 # fixed values: the finalizer of splitmix64
@@ -319,7 +320,7 @@ class SpanIndex:
         self._publish(manifest | {"runs": [*manifest["runs"], {"run": run, "rows": size}]})
         new = self.rows(table, [run])
         if not old:
-            return _status(new)
+            return _status(new.filter(F.col("state") != KNOWN)).unionByName(_known(new))
         slots = new.filter(F.col("state") != KNOWN).select("slot").distinct()
         older = self.rows(table, old).filter(F.col("state") != KNOWN)
         met = self.rows(table, [*old, run]).join(slots.hint("merge"), "slot", "left_semi")
@@ -329,8 +330,7 @@ class SpanIndex:
         salts = hot.join(fresh, "h", "left_semi").select("h", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
         salts = salts.select(_salted(F.col("h"), F.col("salt")).alias("slot"))
         spread = self.rows(table, [*old, run]).filter(F.col("state") == HOT).join(salts, "slot", "left_semi")
-        known = new.filter(F.col("state") == KNOWN)
-        return _status(met.filter(F.col("state") != KNOWN)).unionByName(_status(known)).unionByName(_status(spread))
+        return _status(met.filter(F.col("state") != KNOWN)).unionByName(_known(new)).unionByName(_status(spread))
 
     def compact(self) -> None:
         """Merge the newest runs of like size into one, without repeated rows, in a new table.
@@ -366,18 +366,22 @@ def _distinct(rows: DataFrame) -> DataFrame:
     return rows.groupBy("slot", "h", "around", "kin", "pos", "n", "state").agg(F.min("doc").alias("doc")).select("slot", "h", "around", "kin", "doc", "pos", "n", "state")
 
 
+def _known(rows: DataFrame) -> DataFrame:
+    """The rows that their task knew to be shared."""
+    no = F.lit(False)
+    return rows.filter(F.col("state") == KNOWN).select("kin", "doc", "pos", "n", no.alias("single"), no.alias("asked"))
+
+
 def _status(rows: DataFrame) -> DataFrame:
     """Which rows are shared as a whole and which are to be compared by stretches; the others are left out."""
-    slot, around = Window.partitionBy("slot"), Window.partitionBy("slot", "around")
-    known, hot = F.col("state") == KNOWN, F.col("state") >= HOT
+    slot, around, hot = Window.partitionBy("slot"), Window.partitionBy("slot", "around"), F.col("state") >= HOT
     return (
-        _distinct(rows)
-        .withColumn("mixed", hot | (F.min("kin").over(slot) != F.max("kin").over(slot)))
-        .filter(F.col("mixed") | known)
-        .withColumn("single", (F.min("kin").over(around) == F.max("kin").over(around)) & ~known)
+        rows.withColumn("mixed", hot | (F.min("kin").over(slot) != F.max("kin").over(slot)))
+        .filter("mixed")
+        .withColumn("single", F.min("kin").over(around) == F.max("kin").over(around))
         .withColumn("rank", F.row_number().over(around.orderBy("kin", "pos")))
         .withColumn("ends", F.max(F.col("single") | hot).over(slot))
-        .select("kin", "doc", "pos", "n", "single", (~known & F.col("ends") & (F.col("single") | (F.col("rank") == 1))).alias("asked"))
+        .select("kin", "doc", "pos", "n", "single", (F.col("ends") & (F.col("single") | (F.col("rank") == 1))).alias("asked"))
     )
 
 
@@ -465,13 +469,18 @@ def shared_spans(spark: SparkSession, docs: DataFrame, batches: int = 3, index:
     ).distinct()
     # near a span's end: each text of its own surroundings, and one for all texts of common surroundings
     asked = (
-        met.filter("asked").groupBy("doc", "kin")
+        met.filter("asked").groupBy("kin")
         .agg(
+            F.min("doc").alias("doc"),
             F.collect_set(F.when(F.col("single"), F.col("pos"))).alias("own"),
             F.collect_set(F.when(~F.col("single"), F.col("pos"))).alias("many"),
         )
     )
-    texts = every.select(F.col("doc_id").alias("doc"), _kin().alias("_k"), "text").join(asked, "doc")
+    # a filter before the texts move: at most 2^FILTER_BITS rows of one number, whatever the input
+    place = F.pmod(F.xxhash64("doc", F.lit(5)), F.lit(1 << FILTER_BITS)).cast("int").alias("place")
+    places = met.filter("asked").select(place).distinct()
+    texts = every.select(F.col("doc_id").alias("doc"), _kin().alias("_k"), "text").withColumn("place", place)
+    texts = texts.join(F.broadcast(places), "place", "left_semi").join(asked, "doc")
     texts = texts.filter(F.col("_k") == F.col("kin")).select("doc", "kin", "text", "own", "many")
     parts_n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     hashed = texts.mapInArrow(_stretches, STRETCH).repartition(max(parts_n, buckets), "wh")
