@@ -85,6 +85,10 @@ class Bitmap:
     def __len__(self) -> int:
         return sum(int(np.unpackbits(c).sum()) if _dense(c) else c.size for c in self.chunks.values())
 
+    def split(self) -> list[tuple[int, bytes]]:
+        """(high part, bytes of the low parts) of each chunk; see to_bytes()."""
+        return [(k, Bitmap({0: c}).to_bytes()) for k, c in sorted(self.chunks.items())]
+
     def to_bytes(self) -> bytes:
         """Chunks in order: high part, form and size as int32, then the data."""
         out = []

@@ -21,7 +21,7 @@ from weftline.session import list_names, read_text, write_text_atomic
 
 CHUNK_BITS = 16
 KEYS = "shard int, grp string, key string, ordinal bigint"
-CHUNKS = "shard int, grp string, snapshot_no int, chunk bigint, bits binary"
+CHUNKS = "shard int, slice int, grp string, snapshot_no int, chunk bigint, bits binary"
 
 
 class KeyOrdinals:
@@ -36,10 +36,18 @@ class KeyOrdinals:
         return json.loads(read_text(self.spark, f"{self.path}/{names[-1]}")) if names else {"version": 0, "segments": []}
 
     def table(self) -> DataFrame:
-        segments = self.manifest()["segments"]
-        if not segments:
+        keys = self.manifest().get("keys", [])
+        if not keys:
             return self.spark.createDataFrame([], KEYS)
-        return self.spark.read.schema(KEYS).parquet(*[f"{self.path}/{s}" for s in segments])
+        return self.spark.read.schema(KEYS).parquet(*[f"{self.path}/{s}/part=key" for s in keys])
+
+    def publish(self, segment: str) -> None:
+        """Make a written segment part of the store. Its keys stand under part=key."""
+        manifest = self.manifest()
+        version = manifest["version"] + 1
+        keys = manifest.get("keys", []) + [segment] * ("part=key" in list_names(self.spark, f"{self.path}/{segment}"))
+        body = json.dumps({"version": version, "segments": [*manifest["segments"], segment], "keys": keys, "shards": self.shards})
+        write_text_atomic(self.spark, f"{self.path}/manifest-{version:012d}.json", body)
 
     def shard(self):
         return F.pmod(F.xxhash64("grp", "key"), F.lit(self.shards)).cast("int")
@@ -55,17 +63,15 @@ class KeyOrdinals:
         top = known.groupBy("shard").agg((F.max("ordinal") + 1).alias("base"))
         n = F.row_number().over(Window.partitionBy("shard").orderBy("grp", "key")) - 1
         rows = fresh.withColumn("n", n).join(top, "shard", "left")
-        manifest = self.manifest()
         segment = f"segment-{uuid.uuid4().hex}"
-        rows.select("shard", "grp", "key", (F.coalesce("base", F.lit(0)) + F.col("n")).alias("ordinal")).write.parquet(f"{self.path}/{segment}")
-        version = manifest["version"] + 1
-        body = json.dumps({"version": version, "segments": [*manifest["segments"], segment], "shards": self.shards})
-        write_text_atomic(self.spark, f"{self.path}/manifest-{version:012d}.json", body)
+        out = rows.select("shard", "grp", "key", (F.coalesce("base", F.lit(0)) + F.col("n")).alias("ordinal"), F.lit("key").alias("part"))
+        out.write.partitionBy("part").parquet(f"{self.path}/{segment}")
+        self.publish(segment)
         return self.table()
 
 
 def membership(rows: DataFrame, ordinals: DataFrame) -> DataFrame:
-    """(shard, grp, snapshot_no, chunk, bits): the keys of each snapshot as compressed chunks.
+    """The keys of each snapshot as compressed chunks; see CHUNKS. slice, which parts a shard's keys, is 0.
 
     `rows` has grp, snapshot_no, key; repeated rows are one. Each group of the aggregation holds at most 2^16 ordinals.
     """
@@ -77,9 +83,9 @@ def membership(rows: DataFrame, ordinals: DataFrame) -> DataFrame:
 
     def pack(key: tuple, t: pa.Table) -> pa.Table:
         bits = Bitmap.of(t["low"].to_numpy()).to_bytes()
-        cells = [[k.as_py()] for k in key] + [[bits]]
-        types = (pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.binary())
-        return pa.table([pa.array(c, ty) for c, ty in zip(cells, types)], names=["shard", "grp", "snapshot_no", "chunk", "bits"])
+        shard, grp, no, chunk = (k.as_py() for k in key)
+        types = (pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.binary())
+        return pa.table([pa.array([c], ty) for c, ty in zip((shard, 0, grp, no, chunk, bits), types)], names=["shard", "slice", "grp", "snapshot_no", "chunk", "bits"])
 
     return placed.groupBy("shard", "grp", "snapshot_no", "chunk").applyInArrow(pack, CHUNKS)
 
@@ -91,9 +97,10 @@ def membership_changes(chunks: DataFrame, snapshots: DataFrame) -> DataFrame:
     without a predecessor gives no row.
     """
     pairs = snapshots.filter(F.col("prev_no").isNotNull()).select("grp", "snapshot_no", "prev_no")
-    now = pairs.join(chunks, ["grp", "snapshot_no"]).select("grp", "snapshot_no", "shard", "chunk", F.col("bits").alias("now"))
-    old = pairs.join(chunks.withColumnRenamed("snapshot_no", "prev_no"), ["grp", "prev_no"]).select("grp", "snapshot_no", "shard", "chunk", F.col("bits").alias("old"))
-    both = now.join(old, ["grp", "snapshot_no", "shard", "chunk"], "full_outer").select("grp", "snapshot_no", "now", "old")
+    place = ["grp", "snapshot_no", "shard", "slice", "chunk"]
+    now = pairs.join(chunks, ["grp", "snapshot_no"]).select(*place, F.col("bits").alias("now"))
+    old = pairs.join(chunks.withColumnRenamed("snapshot_no", "prev_no"), ["grp", "prev_no"]).select(*place, F.col("bits").alias("old"))
+    both = now.join(old, place, "full_outer").select("grp", "snapshot_no", "now", "old")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -1,35 +1,40 @@
 """What changed between consecutive full snapshots of a keyed table.
 
-Keys get ordinals, local to a partition (operators/ordinals.py keeps persistent ones); each snapshot is a compressed bitmap of ordinals. AND-NOT of neighbouring bitmaps gives
-the added and the removed keys, AND gives the common ones, and vectors of each field aligned on the ordinals show which
-fields of common keys differ.
-
-Work is split by key hash, so a snapshot of one very large group spreads over all tasks. One shuffle moves the rows;
-before it every input batch is cut to one row for each key and snapshot, so a key with very many rows stays small.
+Keys get persistent ordinals, kept in a store (operators/ordinals.py) from one run to the next; each snapshot is a
+compressed bitmap of ordinals. AND-NOT of neighbouring bitmaps gives the added and the removed keys, AND gives the common
+ones, and vectors of each field aligned on the ordinals show which fields of common keys differ.
+
+Work is split by key hash into the store's shards, so a snapshot of one very large group spreads over all tasks. One
+shuffle moves the rows; before it every input batch is cut to one row for each key and snapshot, so a key with very many
+rows stays small. A task reads its shard sorted by key, merges the known ordinals in as it goes, and works on slices of
+whole keys, so its memory does not follow the size of the shard. What a pass finds (new ordinals, bitmaps, changes) is
+written once and published with the store's next manifest.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.functions.bitmap import Bitmap
 from weftline.functions.jsonvalue import canonical
-from weftline.session import partitions_for
+from weftline.operators.ordinals import CHUNKS, KeyOrdinals
+from weftline.session import partitions_for, scratch
 
-OUT = "grp string, snapshot_no int, key string, change_kind string, field_name string, before string, after string"
+SLICE_ROWS = 150_000
+CHANGE = "grp string, snapshot_no int, key string, change_kind string, field_name string, before string, after string"
+OUT = "part string, shard int, slice int, ordinal bigint, chunk bigint, bits binary, " + CHANGE
 
 
 def existing_snapshots(deliveries: DataFrame) -> DataFrame:
     """(grp, snapshot_no, delivery_no, prev_no, next_no) of the snapshots that have a complete delivery."""
-    from pyspark.sql import Window
-
     best = (
         deliveries.filter(F.col("status") == "complete")
         .groupBy("grp", "snapshot_no")
@@ -97,25 +102,70 @@ class _Vectors:
         return picked.cast(pa.string())
 
 
+def _arrow(name: str) -> pa.DataType:
+    return {"shard": pa.int32(), "slice": pa.int32(), "snapshot_no": pa.int32(), "ordinal": pa.int64(), "chunk": pa.int64(), "bits": pa.binary()}.get(name, pa.string())
+
+
+_NAMES = [c.split()[0] for c in OUT.split(", ")]
+_SCHEMA = pa.schema([(n, _arrow(n)) for n in _NAMES])
+
+
+def _rows(n: int, **cells) -> pa.RecordBatch:
+    """Rows of OUT; a column is an array, one value for all rows, or null."""
+
+    def column(name: str) -> pa.Array:
+        v, kind = cells.get(name), _arrow(name)
+        if isinstance(v, (pa.Array, pa.ChunkedArray)):
+            v = v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v
+            return v.cast(kind)
+        if isinstance(v, np.ndarray):
+            return pa.array(v, kind)
+        return pa.nulls(n, kind) if v is None else pa.repeat(pa.scalar(v, kind), n)
+
+    return pa.RecordBatch.from_arrays([column(c) for c in _NAMES], schema=_SCHEMA)
+
+
+def _text(t: pa.Table, name: str) -> pa.Array:
+    c = t[name]
+    return c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
+
+
 def _differ(fields: list[str], json_fields: set[str], with_values: bool):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        if not held:
-            return
-        t = pa.Table.from_batches(held)
-        t = t.take(pa.array(_newest(t)))
-        if not t.num_rows:
-            return
-        # ordinals: dense numbers of (grp, key) in this partition's key space; rows are sorted by them
-        g, k = _codes(t["grp"]), _codes(t["key"])
-        first = np.ones(t.num_rows, bool)
-        first[1:] = (g[1:] != g[:-1]) | (k[1:] != k[:-1])
-        ordinal = np.cumsum(first) - 1
-        snap = t["snapshot_no"].to_numpy()
-        prev = t["prev_no"].combine_chunks().fill_null(-1 << 31).to_numpy(zero_copy_only=False).astype(np.int64)
-        nxt = t["next_no"].combine_chunks().fill_null(-1 << 31).to_numpy(zero_copy_only=False).astype(np.int64)
-        vectors = _Vectors(t, fields, json_fields)
-        group_key, key = t["grp"].combine_chunks(), t["key"].combine_chunks()
+    """A pass over shards sorted by (shard, grp, key): rows of snapshots, known ordinals, and first the next free ordinal."""
+
+    def slice_rows(t: pa.Table, shard: int, number: int, free: int) -> tuple[int, list[pa.RecordBatch]]:
+        """One slice of whole keys: its results, and the next free ordinal."""
+        out: list[pa.RecordBatch] = []
+        is_row = np.asarray(_text(t, "snapshot_no").is_valid())
+        rows_t = t.filter(pa.array(is_row))
+        rows_t = rows_t.take(pa.array(_newest(rows_t)))
+        if not rows_t.num_rows:
+            return free, out
+        both = pa.concat_tables([t.filter(pa.array(~is_row)).select(["grp", "key", "_known"]), rows_t.select(["grp", "key", "_known"])])
+        g, k = _codes(both["grp"]), _codes(both["key"])
+        _, number_of = np.unique(np.stack([g, k], axis=1), axis=0, return_inverse=True)
+        number_of = number_of.ravel()
+        m = both.num_rows - rows_t.num_rows
+        ordinal_of = np.full(int(number_of.max()) + 1, -1, np.int64)
+        ordinal_of[number_of[:m]] = both["_known"].slice(0, m).combine_chunks().to_numpy(zero_copy_only=False)
+        mine = number_of[m:]
+        grp, key = _text(rows_t, "grp"), _text(rows_t, "key")
+        # keys without an ordinal get the next free ones, in order of their first row
+        fresh, first = np.unique(mine[ordinal_of[mine] < 0], return_index=True)
+        if fresh.size:
+            at = np.flatnonzero(ordinal_of[mine] < 0)[first]
+            order = np.argsort(at, kind="stable")
+            ordinal_of[fresh[order]] = free + np.arange(fresh.size)
+            at = pa.array(at[order])
+            out.append(_rows(fresh.size, part="key", shard=shard, grp=grp.take(at), key=key.take(at), ordinal=free + np.arange(fresh.size)))
+            free += fresh.size
+        ordinal = ordinal_of[mine]
+        g = g[m:]
+        snap = rows_t["snapshot_no"].to_numpy()
+        none_no = -1 << 31
+        prev = _text(rows_t, "prev_no").fill_null(none_no).to_numpy(zero_copy_only=False).astype(np.int64)
+        nxt = _text(rows_t, "next_no").fill_null(none_no).to_numpy(zero_copy_only=False).astype(np.int64)
+        vectors = _Vectors(rows_t, fields, json_fields)
 
         of_snapshot: dict[tuple[int, int], np.ndarray] = {}
         order = np.lexsort((ordinal, snap, g))
@@ -127,29 +177,26 @@ def _differ(fields: list[str], json_fields: set[str], with_values: bool):
         none = Bitmap()
 
         def emit(rows, no, kind, field="", before=None, after=None):
-            n = rows.size
-            blank = pa.nulls(n, pa.string())
-            return pa.RecordBatch.from_arrays(
-                [
-                    group_key.take(pa.array(rows)), pa.array(np.broadcast_to(no, n).astype(np.int32)),
-                    key.take(pa.array(rows)), pa.array([kind] * n, pa.string()), pa.array([field] * n, pa.string()),
-                    before if before is not None else blank, after if after is not None else blank,
-                ],
-                names=["grp", "snapshot_no", "key", "change_kind", "field_name", "before", "after"],
-            )
+            at = pa.array(rows)
+            out.append(_rows(rows.size, part="change", grp=grp.take(at), snapshot_no=int(no), key=key.take(at),
+                             change_kind=kind, field_name=field, before=before, after=after))
 
         def rows_of(rows: np.ndarray, wanted: Bitmap) -> np.ndarray:
             return rows[np.searchsorted(ordinal[rows], wanted.ordinals())]
 
-        for (grp, no), rows in of_snapshot.items():
-            here, before_no, after_no = maps[grp, no], int(prev[rows[0]]), int(nxt[rows[0]])
-            if before_no != -1 << 31:
-                added = here.and_not(maps.get((grp, before_no), none))
+        for (of, no), rows in of_snapshot.items():
+            here, before_no, after_no = maps[of, no], int(prev[rows[0]]), int(nxt[rows[0]])
+            chunks = here.split()
+            name = grp[int(rows[0])].as_py()
+            out.append(_rows(len(chunks), part="bits", shard=shard, slice=number, grp=name, snapshot_no=no,
+                             chunk=np.array([c for c, _ in chunks], np.int64), bits=pa.array([b for _, b in chunks], pa.binary())))
+            if before_no != none_no:
+                added = here.and_not(maps.get((of, before_no), none))
                 if len(added):
-                    yield emit(rows_of(rows, added), no, "added")
-                old = of_snapshot.get((grp, before_no))
+                    emit(rows_of(rows, added), no, "added")
+                old = of_snapshot.get((of, before_no))
                 if old is not None:
-                    common = here.and_(maps[grp, before_no])
+                    common = here.and_(maps[of, before_no])
                     if len(common):
                         b, a = rows_of(old, common), rows_of(rows, common)
                         for f in fields:
@@ -157,31 +204,65 @@ def _differ(fields: list[str], json_fields: set[str], with_values: bool):
                             d = np.flatnonzero(c[b] != c[a])
                             if d.size:
                                 texts = (vectors.text(f, b[d]), vectors.text(f, a[d])) if with_values else (None, None)
-                                yield emit(a[d], no, "changed", f, *texts)
-            if after_no != -1 << 31:
-                removed = here.and_not(maps.get((grp, after_no), none))
+                                emit(a[d], no, "changed", f, *texts)
+            if after_no != none_no:
+                removed = here.and_not(maps.get((of, after_no), none))
                 if len(removed):
-                    yield emit(rows_of(rows, removed), after_no, "removed")
+                    emit(rows_of(rows, removed), after_no, "removed")
+        return free, out
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size, shard, number, free = 0, -1, 0, 0
+
+        def work(t: pa.Table) -> list[pa.RecordBatch]:
+            """Slices of one shard's rows; the shard's first row may be the next free ordinal."""
+            nonlocal shard, number, free
+            out: list[pa.RecordBatch] = []
+            for of in t["shard"].unique().to_pylist():
+                part = t.filter(pc.equal(t["shard"], of))
+                if of != shard:
+                    shard, number, free = of, 0, 0
+                base = part.filter(pc.is_null(part["key"]))
+                if base.num_rows:
+                    free = pc.max(base["_known"]).as_py()
+                    part = part.filter(pc.is_valid(part["key"]))
+                if part.num_rows:
+                    free, got = slice_rows(part, of, number, free)
+                    number += 1
+                    out += got
+            return out
+
+        for b in batches:
+            held.append(b)
+            size += b.num_rows
+            if size < SLICE_ROWS:
+                continue
+            t = pa.Table.from_batches(held)
+            # the last key may go on: it stays for the next slice
+            tail = t.slice(t.num_rows - 1)
+            same = [pc.equal(t[c], tail[c][0]) for c in ("shard", "grp", "key")]
+            goes_on = pc.fill_null(pc.and_(pc.and_(same[0], same[1]), same[2]), False)
+            cut = t.num_rows - int(pc.sum(goes_on).as_py() or 0)
+            rest = t.slice(cut)
+            if cut:
+                yield from work(t.slice(0, cut))
+            elif rest.num_rows:  # one key alone fills the slice
+                is_row = pc.is_valid(rest["snapshot_no"])
+                rows = rest.filter(is_row)
+                rest = pa.concat_tables([rest.filter(pc.invert(is_row)), rows.take(pa.array(np.sort(_newest(rows))))])
+            held, size = rest.to_batches(), rest.num_rows
+        if size:
+            yield from work(pa.Table.from_batches(held))
 
     return run
 
 
-def snapshot_changes(
-    spark: SparkSession, rows: DataFrame, deliveries: DataFrame, *, group: str, key: str, fields: list[str],
+def changes_pass(
+    spark: SparkSession, rows: DataFrame, deliveries: DataFrame, store: KeyOrdinals, *, group: str, key: str, fields: list[str],
     json_fields: Iterable[str] = (), stamp: str = "created_at", with_values: bool = True,
 ) -> DataFrame:
-    """Added, removed and changed keys of each snapshot against the preceding existing one.
-
-    `rows` has group, snapshot_no, delivery_no, key, the fields and a stamp; `deliveries` has group, snapshot_no,
-    delivery_no and status. Returns (group, snapshot_no, key, change_kind, field_name, before, after): one row for an
-    added or removed key with field_name '', one row for each differing field of a changed key.
-
-    Defined results. Null differs from any value and from an empty array; two nulls are equal. Rows with a null group
-    or key have no identity and are left out. A null stamp is older than any other; among rows of equal stamp the one
-    of the greatest content hash counts, so repeated rows do no harm. A snapshot with a complete delivery but no rows
-    counts as empty. Columns of `rows` that are not named are never read, so clashing names do no harm.
-    Empty tables give no rows.
-    """
+    """The rows of one pass, not yet stored; see OUT. part is `key`, `bits` or `change`."""
     known = existing_snapshots(deliveries.select(F.col(group).alias("grp"), "snapshot_no", "delivery_no", "status"))
 
     def plain(f: str):
@@ -199,12 +280,48 @@ def snapshot_changes(
     )
     joined = base.join(known, ["grp", "snapshot_no", "delivery_no"]).drop("delivery_no")
     joined = joined.withColumn("_row", F.xxhash64(*names))
-    parts = partitions_for(spark, rows.select(group, key, *fields))
     combined = joined.mapInArrow(_combine, joined.schema)
-    spread = combined.repartition(parts, F.xxhash64("grp", "key"))
-    out = spread.mapInArrow(_differ(names, {f"f_{f}" for f in json_fields}, with_values), OUT)
-    # the vectors' row numbers have no meaning outside; only the linked result leaves
-    return out.select(
+    placed = combined.withColumn("shard", store.shard()).withColumn("_known", F.lit(None).cast("bigint"))
+    held = store.table().select("shard", "grp", "key", F.col("ordinal").alias("_known"))
+    free = held.groupBy("shard").agg((F.max("_known") + 1).alias("_known"))
+    both = placed.unionByName(held, allowMissingColumns=True).unionByName(free, allowMissingColumns=True)
+    # one partition for each shard; nulls come first, so the next free ordinal does
+    spread = both.repartitionById(store.shards, "shard").sortWithinPartitions("shard", "grp", "key")
+    return spread.mapInArrow(_differ(names, {f"f_{f}" for f in json_fields}, with_values), OUT)
+
+
+def snapshot_changes(
+    spark: SparkSession, rows: DataFrame, deliveries: DataFrame, *, group: str, key: str, fields: list[str],
+    json_fields: Iterable[str] = (), stamp: str = "created_at", with_values: bool = True, store: str | None = None,
+) -> DataFrame:
+    """Added, removed and changed keys of each snapshot against the preceding existing one.
+
+    `rows` has group, snapshot_no, delivery_no, key, the fields and a stamp; `deliveries` has group, snapshot_no,
+    delivery_no and status. Returns (group, snapshot_no, key, change_kind, field_name, before, after): one row for an
+    added or removed key with field_name '', one row for each differing field of a changed key. `store` is the folder of
+    the persistent ordinals; without one, a fresh folder is made. Keys known there keep their ordinals.
+
+    Defined results. Null differs from any value and from an empty array; two nulls are equal. Rows with a null group
+    or key have no identity and are left out. A null stamp is older than any other; among rows of equal stamp the one
+    of the greatest content hash counts, so repeated rows do no harm. A snapshot with a complete delivery but no rows
+    counts as empty. Columns of `rows` that are not named are never read, so clashing names do no harm.
+    Empty tables give no rows.
+    """
+    parts = partitions_for(spark, rows.select(group, key, *fields))
+    ordinals = KeyOrdinals(spark, store or scratch(spark, "snapshots"), parts)
+    found = changes_pass(spark, rows, deliveries, ordinals, group=group, key=key, fields=fields, json_fields=json_fields, stamp=stamp, with_values=with_values)
+    segment = f"pass-{uuid.uuid4().hex}"
+    found.write.partitionBy("part").parquet(f"{ordinals.path}/{segment}")
+    ordinals.publish(segment)
+    change = spark.read.schema("part string, " + CHANGE).parquet(f"{ordinals.path}/{segment}").filter(F.col("part") == "change")
+    return change.select(
         F.col("grp").alias(group), "snapshot_no", F.col("key").alias(key), "change_kind",
         F.regexp_replace("field_name", "^f_", "").alias("field_name"), "before", "after",
     )
+
+
+def stored_chunks(spark: SparkSession, store: str) -> DataFrame:
+    """The bitmaps that the last pass over a store wrote; see CHUNKS."""
+    ordinals = KeyOrdinals(spark, store, 1)
+    last = ordinals.manifest()["segments"][-1]
+    return spark.read.schema("part string, " + CHUNKS).parquet(f"{ordinals.path}/{last}").filter(F.col("part") == "bits").drop("part")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators import incremental, nested, ordinals, references, snapshot_diff
 from weftline.plans.change_sql import SQL  # noqa: F401
-from weftline.session import materialize, partitions_for, scratch, ship, table
+from weftline.session import scratch, ship, table
 
 NODE_FIELDS = [
     "kind", "label", "path", "symbol_name", "symbol_kind", "language", "line", "exported", "classification_roles",
@@ -15,13 +15,17 @@ NODE_FIELDS = [
 ]
 
 
-def _changes(spark: SparkSession, d: str, with_values: bool) -> DataFrame:
+NODES = {"group": "repo", "key": "node_id", "fields": NODE_FIELDS, "json_fields": ["route_metadata"]}
+
+
+def _snapshots(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     ship(spark)
     rows = table(spark, d, "node_snapshots", "repo", "snapshot_no", "delivery_no", "node_id", *NODE_FIELDS, "created_at")
-    return snapshot_diff.snapshot_changes(
-        spark, rows, table(spark, d, "snapshot_deliveries"), group="repo", key="node_id", fields=NODE_FIELDS,
-        json_fields=["route_metadata"], with_values=with_values,
-    )
+    return rows, table(spark, d, "snapshot_deliveries", "repo", "snapshot_no", "delivery_no", "status")
+
+
+def _changes(spark: SparkSession, d: str, with_values: bool, store: str | None = None) -> DataFrame:
+    return snapshot_diff.snapshot_changes(spark, *_snapshots(spark, d), **NODES, with_values=with_values, store=store)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -34,15 +38,12 @@ def p1_changed_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_membership(spark: SparkSession, d: str) -> DataFrame:
-    """How many nodes each snapshot adds, removes and keeps, from stored ordinals and bitmaps."""
-    ship(spark)
-    rows = table(spark, d, "node_snapshots", "repo", "snapshot_no", "delivery_no", "node_id").withColumnsRenamed({"repo": "grp", "node_id": "key"})
+    """How many nodes each snapshot adds, removes and keeps, from the bitmaps that p1_found's pass stores."""
+    store = scratch(spark, "snapshots")
+    _changes(spark, d, False, store)
     deliveries = table(spark, d, "snapshot_deliveries", "repo", "snapshot_no", "delivery_no", "status")
     known = snapshot_diff.existing_snapshots(deliveries.withColumnRenamed("repo", "grp"))
-    held = rows.join(known.select("grp", "snapshot_no", "delivery_no"), ["grp", "snapshot_no", "delivery_no"])
-    store = ordinals.KeyOrdinals(spark, scratch(spark, "ordinals"), partitions_for(spark, rows))
-    chunks = materialize(spark, ordinals.membership(held, store.extend(held)), "bitmaps")
-    return ordinals.membership_changes(chunks, known).withColumnRenamed("grp", "repo")
+    return ordinals.membership_changes(snapshot_diff.stored_chunks(spark, store), known).withColumnRenamed("grp", "repo")
 
 
 def _references(spark: SparkSession, d: str) -> DataFrame:
