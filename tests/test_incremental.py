@@ -49,9 +49,9 @@ def test_a_failed_run_is_done_again_and_a_done_run_is_not(spark, monkeypatch):
 
 def test_two_writers_cannot_publish_one_version(spark):
     s = state_of(spark)
-    s._publish({"version": 1, "segments": [], "runs": []})
+    s._publish({"version": 1, "segments": [], "runs": {}})
     with pytest.raises(FileExistsError):
-        s._publish({"version": 1, "segments": [], "runs": []})
+        s._publish({"version": 1, "segments": [], "runs": {}})
 
 
 def test_compaction_keeps_the_state(spark):
@@ -63,6 +63,15 @@ def test_compaction_keeps_the_state(spark):
     assert rows(s.state()) == [("a", "2"), ("b", "1")]
     assert rows(s.process(batch(spark, ("a", "2"), ("c", "1")), "r3")) == [("c", "1", 4)]
     assert len(list_names(spark, s.path)) >= 5
+    assert rows(s.process(batch(spark, ("z", "9")), "r1")) == [("a", "1", 1), ("b", "1", 1)]  # still told after the compaction
+
+
+def test_a_run_moves_no_state(spark):
+    s = state_of(spark)
+    s.process(batch(spark, ("a", "1")), "r1")
+    m = s.manifest()
+    plan = s._known(m)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "Exchange" not in plan and "HashAggregate" in plan
 
 
 def test_replay(spark):

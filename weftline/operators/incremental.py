@@ -2,9 +2,13 @@
 
 The state maps a key to the hash it had at the last committed run. A run hashes (or takes the hash of) the current rows,
 joins them with the state, and writes what is new or different as an immutable segment. A numbered manifest names the
-segments that make up the state; publishing the next manifest by one rename is the only commit. A run that fails before
-that leaves nothing visible, so the next run selects the same rows again; a run number that is already in the manifest
-is not processed a second time.
+segments that make up the state; publishing the next manifest is the only commit. A run that fails before that leaves
+nothing visible, so the next run selects the same rows again; a run number that is already in the manifest is not
+processed a second time.
+
+The segments are files of one table, bucketed and sorted by two hashes of the key, so a run is merged with the state
+bucket by bucket and the state never moves. A segment's rows carry the hash in two numbers with the version above it, so
+the newest row of a key is found by a maximum of numbers. Segments are merged into a base when there are many.
 """
 
 from __future__ import annotations
@@ -13,56 +17,91 @@ import json
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.session import list_names, read_text, write_text_atomic
+from weftline.session import list_names, partitions_for, read_text, write_text_atomic
 
-COMPACT_AFTER = 24
+COMPACT_AFTER = 8
+HASH_BITS = 40  # of a content hash, twice: 80 bits tell two contents of a key apart; the version has the other 23 bits
 
 
 class ContentState:
     """Versioned key -> content hash state in a folder shared by all executors."""
 
-    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], types: dict[str, str] | None = None):
+    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], types: dict[str, str] | None = None, buckets: int = 8):
         self.spark, self.path, self.keys = spark, path.rstrip("/"), list(keys)
         kinds = types or {}
-        self.schema = T.StructType(
-            [T.StructField(k, T._parse_datatype_string(kinds.get(k, "string"))) for k in self.keys]
-            + [T.StructField("content_hash", T.StringType()), T.StructField("version", T.LongType())]
-        )
-        self.ordered = False
+        self.key_fields = [T.StructField(k, T._parse_datatype_string(kinds.get(k, "string"))) for k in self.keys]
+        self.order_kind: T.DataType | None = None
+        self.buckets = self.manifest().get("buckets", buckets)  # fixed once made
 
     def order_by(self, kind: T.DataType) -> None:
         """Keep an order with each hash: runs may come in any order, and of a key's records the one greatest in (order, hash) counts."""
-        if not self.ordered:
-            self.schema = T.StructType([*self.schema.fields, T.StructField("order", kind)])
-            self.ordered = True
+        self.order_kind = kind
+
+    @property
+    def schema(self) -> T.StructType:
+        numbers = [T.StructField(n, T.LongType()) for n in ("version", "k1", "k2", "v1", "v2")]
+        order = [T.StructField("order", self.order_kind)] if self.order_kind else []
+        return T.StructType([*self.key_fields, T.StructField("content_hash", T.StringType()), *order, *numbers, T.StructField("segment", T.LongType())])
 
     def manifest(self) -> dict:
         """The newest published manifest."""
         names = [n for n in list_names(self.spark, self.path) if n.startswith("manifest-") and n.endswith(".json")]
         if not names:
-            return {"version": 0, "segments": [], "runs": []}
+            return {"version": 0, "table": f"state_{uuid.uuid4().hex}", "segments": [], "runs": {}}
         return json.loads(read_text(self.spark, f"{self.path}/{names[-1]}"))
 
     def _publish(self, manifest: dict) -> None:
-        write_text_atomic(self.spark, f"{self.path}/manifest-{manifest['version']:012d}.json", json.dumps(manifest))
-
-    def _read(self, segments: list[str]) -> DataFrame:
-        if not segments:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/{s}" for s in segments])
+        body = json.dumps(manifest | {"buckets": self.buckets})
+        write_text_atomic(self.spark, f"{self.path}/manifest-{manifest['version']:012d}.json", body)
+
+    def key_hashes(self) -> list[Column]:
+        """The two numbers by which rows are bucketed."""
+        return [F.xxhash64(*self.keys, F.lit(n)).alias(f"k{n}") for n in (1, 2)]
+
+    def _hashes(self) -> list[Column]:
+        """The content hash as two numbers of HASH_BITS bits; a null hash is 0."""
+        low = F.lit((1 << HASH_BITS) - 1)
+        one = lambda n: F.xxhash64("content_hash", F.lit(n)).bitwiseAND(low)
+        return [F.when(F.col("content_hash").isNull(), F.lit(0)).otherwise(F.greatest(one(n), F.lit(1))) for n in (1, 2)]
+
+    def _rows(self, table: str, segments: list[int]) -> DataFrame:
+        name = f"weftline_{table}"
+        if not self.spark.catalog.tableExists(name):
+            columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.schema.fields)
+            self.spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (k1, k2) SORTED BY (k1, k2) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{table}'")
+        return self.spark.table(name).filter(F.col("segment").isin(segments))
+
+    def _write(self, rows: DataFrame, table: str) -> int:
+        """A segment of rows that stand in their buckets' tasks; its name."""
+        segment = uuid.uuid4().int >> 66
+        (
+            rows.withColumn("segment", F.lit(segment).cast("long")).write.mode("append").bucketBy(self.buckets, "k1", "k2")
+            .sortBy("k1", "k2").option("path", f"{self.path}/{table}").saveAsTable(f"weftline_{table}")
+        )
+        return segment
+
+    def close(self) -> None:
+        """Forget the table's name; its files stay."""
+        self.spark.sql(f"DROP TABLE IF EXISTS weftline_{self.manifest()['table']}")
 
     def state(self, manifest: dict | None = None) -> DataFrame:
         """(keys, content_hash) as of the newest version."""
         return self._newest(manifest or self.manifest()).select(*self.keys, "content_hash")
 
     def _newest(self, manifest: dict) -> DataFrame:
-        kept = ["content_hash", "order"] if self.ordered else ["content_hash"]
-        rows = self._read(manifest["segments"])
-        return rows.groupBy(*self.keys).agg(F.max_by(F.struct(*kept), "version").alias("_r")).select(*self.keys, "_r.*")
+        """The newest row of each key, whole."""
+        kept = ["content_hash", "version", "v1", "v2"] + (["order"] if self.order_kind else [])
+        rows = self._rows(manifest["table"], manifest["segments"])
+        return rows.groupBy("k1", "k2", *self.keys).agg(F.max_by(F.struct(*kept), "version").alias("_r")).select("k1", "k2", *self.keys, "_r.*")
+
+    def _known(self, manifest: dict) -> DataFrame:
+        """(k1, k2, v1, v2) of each key: numbers alone, in the buckets' tasks."""
+        rows = self._rows(manifest["table"], manifest["segments"])
+        return rows.groupBy("k1", "k2").agg(F.max("v1").alias("v1"), F.max("v2").alias("v2"))
 
     def process(self, current: DataFrame, run: str) -> DataFrame:
         """Keys of `current` (keys, content_hash; one row per key) whose hash differs from the state, then commit.
@@ -72,37 +111,44 @@ class ContentState:
         `current` has a column order too, and the keys are those whose (order, hash) is greater than the state's.
         """
         manifest = self.manifest()
-        done = {r["run"]: r for r in manifest["runs"]}
-        if run in done:
-            return self._read([done[run]["segment"]])
-        version = manifest["version"] + 1
-        known = self._newest(manifest).withColumnsRenamed({"content_hash": "_known", "order": "_order"}).withColumn("_there", F.lit(True))
-        kept = ["content_hash"]
-        differs = ~F.col("content_hash").eqNullSafe(F.col("_known"))
-        if self.ordered:
-            kept, differs = ["content_hash", "order"], F.struct("order", "content_hash") > F.struct("_order", "_known")
-        segment = f"segment-{version:012d}-{uuid.uuid4().hex}"
-        changed = (
-            current.select(*self.keys, *kept)
-            .join(known, self.keys, "left")
-            .filter(F.col("_there").isNull() | differs)
-            .select(*self.keys, *kept, F.lit(version).cast("long").alias("version"))
-        )
-        changed.write.parquet(f"{self.path}/{segment}")
-        runs = [*manifest["runs"], {"run": run, "segment": segment, "version": version}]
-        self._publish({"version": version, "segments": [*manifest["segments"], segment], "runs": runs})
+        out = [*self.keys, "content_hash", *(["order"] if self.order_kind else []), "version"]
+        if run in manifest["runs"]:
+            return self._of_run(manifest["runs"][run], out)
+        version, low = manifest["version"] + 1, (1 << HASH_BITS) - 1
+        kept = [*self.keys, "content_hash"] + (["order"] if self.order_kind else [])
+        there = current.select(*kept, *([] if "k1" in current.columns else self.key_hashes()), *[c for c in ("k1", "k2") if c in current.columns])
+        h1, h2 = self._hashes()
+        base = F.lit(version << HASH_BITS)
+        new = there.withColumn("version", F.lit(version).cast("long")).withColumn("v1", base + h1).withColumn("v2", base + h2)
+        if self.order_kind:
+            known = self._newest(manifest).select("k1", "k2", F.col("content_hash").alias("_known"), F.col("order").alias("_order"), F.lit(True).alias("_there"))
+            differs = F.col("_there").isNull() | (F.struct("order", "content_hash") > F.struct("_order", "_known"))
+        else:
+            known = self._known(manifest).select("k1", "k2", F.col("v1").alias("_1"), F.col("v2").alias("_2"))
+            other = [F.col(f"v{n}").bitwiseAND(F.lit(low)) != F.col(f"_{n}").bitwiseAND(F.lit(low)) for n in (1, 2)]
+            differs = F.col("_1").isNull() | other[0] | other[1]
+        joined = new.join(known, ["k1", "k2"], "left") if manifest["segments"] else new.withColumns({"_1": F.lit(None).cast("long"), "_2": F.lit(None).cast("long"), "_there": F.lit(None).cast("boolean"), "_order": F.lit(None), "_known": F.lit(None)})
+        changed = joined.filter(differs).select(*[f.name for f in self.schema.fields[:-1]])
+        if "k1" not in current.columns:
+            changed = changed.repartition(self.buckets, "k1", "k2")
+        segment = self._write(changed, manifest["table"])
+        self._publish(manifest | {"version": version, "segments": [*manifest["segments"], segment], "runs": manifest["runs"] | {run: [manifest["table"], segment]}})
         if len(manifest["segments"]) + 1 >= COMPACT_AFTER:
             self.compact()
-        return self._read([segment])
+        return self._of_run([manifest["table"], segment], out)
+
+    def _of_run(self, where: list, columns: list[str]) -> DataFrame:
+        table, segment = where
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{table}").filter(F.col("segment") == segment).select(*columns)
 
     def compact(self) -> None:
-        """Merge all segments of the state into one, sorted by key; run segments stay for repeated reads."""
+        """Merge all segments of the state into one in a new table, bucket by bucket; run segments stay for repeated reads."""
         manifest = self.manifest()
-        version = manifest["version"] + 1
-        segment = f"base-{version:012d}-{uuid.uuid4().hex}"
-        merged = self._newest(manifest).withColumn("version", F.lit(version).cast("long"))
-        merged.sortWithinPartitions(*self.keys).write.parquet(f"{self.path}/{segment}")
-        self._publish({"version": version, "segments": [segment], "runs": manifest["runs"]})
+        table = f"state_{uuid.uuid4().hex}"
+        segment = self._write(self._newest(manifest).select(*[f.name for f in self.schema.fields[:-1]]), table)
+        old = manifest["table"]
+        self._publish(manifest | {"version": manifest["version"] + 1, "table": table, "segments": [segment]})
+        self.spark.sql(f"DROP TABLE IF EXISTS weftline_{old}")
 
 
 def plain_path(c):
@@ -145,26 +191,31 @@ def replay_runs(spark: SparkSession, records: DataFrame, runs: DataFrame, state_
         .filter(F.col("run").isNotNull())
     )
     newest = F.max(F.struct("arrived_at", "arrival_no", "content_hash")).alias("last")
+    state = ContentState(spark, f"{state_dir}/state", ["repo", "path"], buckets=partitions_for(spark, records))
     current = (
         placed.groupBy("repo", "path", F.col("run.step").alias("step"), F.col("run.run_no").alias("run_no"))
         .agg(newest)
-        .select("repo", "path", "step", "run_no", F.col("last.content_hash").alias("content_hash"))
+        .select("repo", "path", "step", "run_no", F.col("last.content_hash").alias("content_hash"), *state.key_hashes())
     )
+    # the rows of each step, bucketed as the state is: a step moves nothing
     prepared = f"{state_dir}/current"
-    current.write.partitionBy("step").parquet(prepared)
+    name = f"weftline_current_{uuid.uuid4().hex}"
+    (
+        current.repartition(state.buckets, "k1", "k2").write.partitionBy("step").bucketBy(state.buckets, "k1", "k2").sortBy("k1", "k2")
+        .option("path", prepared).saveAsTable(name)
+    )
     steps = sorted(int(n.split("=", 1)[1]) for n in list_names(spark, prepared) if n.startswith("step="))
-    schema = "repo string, path string, run_no int, content_hash string"
-    state = ContentState(spark, f"{state_dir}/state", ["repo", "path"])
     parts = []
     for step in steps:
-        batch = spark.read.schema(schema).parquet(f"{prepared}/step={step}")
-        got = state.process(batch, f"step-{step}").filter(F.col("content_hash").isNotNull())
-        parts.append(got.withColumn("step", F.lit(step)))
+        batch = spark.table(name).filter(F.col("step") == step)
+        parts.append(state.process(batch, f"step-{step}").filter(F.col("content_hash").isNotNull()).select("repo", "path", "content_hash", F.lit(step).alias("step")))
     if not parts:
         return spark.createDataFrame([], "run_no int, path string, content_sha256 string")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
+    state.close()
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
     return out.join(ordered.select("repo", "step", "run_no"), ["repo", "step"]).select(
         "run_no", "path", F.col("content_hash").alias("content_sha256")
     )

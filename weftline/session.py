@@ -55,10 +55,12 @@ def partitions_for(spark: SparkSession, df: DataFrame, target: int = TARGET_PART
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. Only where it is unset (tests), a local one is set."""
+    """The folder all executors share: spark.checkpoint.dir. Only where it is unset and the master is local (tests), one is made."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="weftline-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
@@ -83,19 +85,31 @@ def _fs(spark: SparkSession, path: str):
 
 
 def write_text_atomic(spark: SparkSession, path: str, text: str) -> None:
-    """Write a small file so that readers see all of it or nothing: written aside, then renamed.
+    """Write a small file so that readers see all of it or nothing: written aside, then given its name.
 
-    Refuses to replace an existing file, so two writers cannot both publish one version.
+    The name is given only if nobody has it (a hard link, or a rename without overwriting), so of two writers that
+    publish one version the second is refused with FileExistsError.
     """
     fs, final = _fs(spark, path)
-    if fs.exists(final):
-        raise FileExistsError(path)
     _, aside = _fs(spark, f"{path}.{uuid.uuid4().hex}.tmp")
-    out = fs.create(aside, True)
+    out = fs.create(aside, False)
     out.write(bytearray(text.encode("utf-8")))
     out.close()
-    if not fs.rename(aside, final):
-        raise FileExistsError(path)
+    jvm = spark.sparkContext._jvm
+    try:
+        if fs.getScheme() == "file":
+            os.link(aside.toUri().getPath(), final.toUri().getPath())
+        else:
+            context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+            options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+            options[0] = getattr(jvm.org.apache.hadoop.fs.Options.Rename, "NONE")
+            context.rename(aside, final, options)
+    except Exception as e:
+        if isinstance(e, FileExistsError) or fs.exists(final):
+            raise FileExistsError(path) from e
+        raise
+    finally:
+        fs.delete(aside, False)
 
 
 def read_text(spark: SparkSession, path: str) -> str:
