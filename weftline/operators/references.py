@@ -8,16 +8,17 @@ over many tasks; each slice sees the whole range.
 
 from __future__ import annotations
 
-
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.session import partitions_for
 
 SLICE_ROWS = 200_000
+MOST_BITS = 30
+HOT_RANGES = 1 << 20
 FAR = np.int64(1) << 62
 OUT = "ref_table string, ref_no bigint, ref_field string, ref_value string, reason string, observed_us bigint"
 
@@ -30,13 +31,14 @@ def _range_of(h, bits: int):
 def parent_index(parents: DataFrame, bits: int) -> DataFrame:
     """(range_no, parents): per range the parents' life spans (h, key, born, gone), sorted. Times in microseconds.
 
-    Overlapping spans of a key are merged first, by a window that streams over the key's rows; so a key that was
-    recorded very often is a few spans, not a long array. A key with an unknown birth keeps one span with a null birth.
+    Overlapping spans of a key are merged first: rows of one birth in each task before they move, then by a window that
+    streams over the key's births; so a key that was recorded very often is a few spans, not a long array. A key with an
+    unknown birth keeps one span with a null birth.
     """
     w = Window.partitionBy("key").orderBy("born")
     born, far = F.col("born"), F.lit(int(FAR))
     end = F.when(born.isNotNull(), F.greatest(F.coalesce("gone", far), born))
-    spans = parents.filter(F.col("key").isNotNull()).select("key", "born", end.alias("gone"))
+    spans = parents.filter(F.col("key").isNotNull()).select("key", "born", end.alias("gone")).groupBy("key", "born").agg(F.max("gone").alias("gone"))
     reach = F.max("gone").over(w.rowsBetween(Window.unboundedPreceding, -1))
     opens = spans.withColumn("_new", F.when(born <= reach, 0).when(born.isNull(), 0).otherwise(1))
     island = opens.withColumn("_i", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -50,15 +52,15 @@ class _Range:
     """Sorted arrays of one range of parents, ready for binary search."""
 
     def __init__(self, parents: pa.StructArray):
-        h, key = parents.field("h").to_numpy(zero_copy_only=False), np.asarray(parents.field("key").to_pylist(), object)
+        h, key = parents.field("h").to_numpy(zero_copy_only=False), parents.field("key")
         born_null = np.asarray(parents.field("born").is_null())
         born = parents.field("born").fill_null(0).to_numpy(zero_copy_only=False)
         gone = parents.field("gone").fill_null(int(FAR)).to_numpy(zero_copy_only=False)
         n = h.size
         new = np.ones(n, bool)
-        new[1:] = (h[1:] != h[:-1]) | (key[1:] != key[:-1])
+        new[1:] = (h[1:] != h[:-1]) | np.asarray(pc.not_equal(key.slice(1), key.slice(0, max(0, n - 1))))
         number = np.cumsum(new) - 1
-        self.hashes, self.keys = h[new], key[new]
+        self.hashes, self.keys = h[new], key.filter(pa.array(new))
         m = self.hashes.size
         # `late` needs every row of the key to be recorded later
         self.first_born = np.full(m, FAR)
@@ -80,7 +82,7 @@ class _Range:
         self.code = i * (self.times.size + 1) + np.searchsorted(self.times, b) + 1
         self.of, self.reach = i, reach
 
-    def verdict(self, h: np.ndarray, key: np.ndarray, when: np.ndarray, known: np.ndarray) -> np.ndarray:
+    def verdict(self, h: np.ndarray, key: pa.Array, when: np.ndarray, known: np.ndarray) -> np.ndarray:
         """0 found, 1 missing, 2 late, 3 deleted."""
         m = self.hashes.size
         out = np.full(h.size, 1, np.int8)
@@ -92,7 +94,7 @@ class _Range:
         while idx.size:  # more than one step only where different keys share a hash
             idx = idx[(probe[idx] < m)]
             idx = idx[self.hashes[probe[idx]] == h[idx]]
-            same = self.keys[probe[idx]] == key[idx]
+            same = np.asarray(pc.equal(self.keys.take(pa.array(probe[idx])), key.take(pa.array(idx))))
             hit[idx[same]] = True
             at[idx[same]] = probe[idx[same]]
             idx = idx[~same]
@@ -125,7 +127,7 @@ def _probe(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
     else:
         when = left["observed_us"].combine_chunks()
         verdict = _Range(flat).verdict(
-            left["h"].to_numpy(), np.asarray(left["ref_value"].to_pylist(), object),
+            left["h"].to_numpy(), left["ref_value"].combine_chunks(),
             when.fill_null(0).to_numpy(zero_copy_only=False), np.asarray(when.is_valid()),
         )
     miss = np.flatnonzero(verdict)
@@ -148,7 +150,7 @@ def orphan_references(spark: SparkSession, refs: DataFrame, parents: DataFrame)
     there, so the reason is not `missing`, nor `late`. Empty and very long keys are keys like any other. Repeated rows
     give one row. Empty parents make every reference missing.
     """
-    bits = max(4, min(20, (partitions_for(spark, parents, target=4 << 20, expand=6.0) - 1).bit_length()))
+    bits = max(4, min(MOST_BITS, (partitions_for(spark, parents, target=4 << 20, expand=6.0) - 1).bit_length()))
     index = parent_index(
         parents.select(
             F.col("key"), F.unix_micros(F.col("born").cast("timestamp")).alias("born"),
@@ -161,16 +163,14 @@ def orphan_references(spark: SparkSession, refs: DataFrame, parents: DataFrame)
         _range_of(h, bits).alias("range_no"), h.alias("h"), "ref_table", "ref_no", "ref_field", "ref_value",
         F.unix_micros(F.col("observed_at").cast("timestamp")).alias("observed_us"),
     )
-    # rows per range decide how many slices it gets: one number per range, at most 2^bits
+    # ranges with many references are cut into slices. A hot range holds more than one part in HOT_RANGES of all
+    # references, so at most HOT_RANGES rows of two ints are broadcast, whatever the input
     load = probes.groupBy("range_no").agg(F.count("*").alias("n"))
-    slices = load.select("range_no", F.ceil(F.col("n") / SLICE_ROWS).cast("int").alias("slices"))
-    # 2^bits <= 2^20 rows of two ints: the broadcast stays under 16 MiB whatever the input
-    cut = probes.join(F.broadcast(slices), "range_no").withColumn(
-        "slice", F.pmod(F.xxhash64("ref_table", "ref_no"), F.col("slices")).cast("int")
-    )
-    copies = index.join(F.broadcast(slices), "range_no").withColumn(
-        "slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))
-    )
+    most = F.greatest(F.lit(SLICE_ROWS), load.agg(F.ceil(F.sum("n") / HOT_RANGES)).scalar())
+    hot = load.filter(F.col("n") > most).select("range_no", F.ceil(F.col("n") / most).cast("int").alias("slices"))
+    one = F.coalesce("slices", F.lit(1))
+    cut = probes.join(F.broadcast(hot), "range_no", "left").withColumn("slice", F.pmod(F.xxhash64("ref_table", "ref_no"), one).cast("int"))
+    copies = index.join(F.broadcast(hot), "range_no", "left").withColumn("slice", F.explode(F.sequence(F.lit(0), one - 1)))
     out = (
         cut.select("range_no", "slice", "h", "ref_table", "ref_no", "ref_field", "ref_value", "observed_us")
         .groupBy("range_no", "slice")
