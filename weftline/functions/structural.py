@@ -2,8 +2,8 @@
 
 All texts of a batch stand in one byte buffer. Bitmaps mark quotes, escapes, brackets and delimiters; parity of quotes
 gives what lies in strings; prefix sums of brackets give the nesting depth; one pass over tokens sorted by depth links
-every token to the bracket that holds it. From that come validity (RFC 8259) and the spans of all values, with no loop
-over characters or tokens.
+every token to the bracket that holds it. From that come validity (RFC 8259) and the spans of all values without a loop
+over characters or brackets; numbers and literals are checked, and key names and wanted values read, one by one.
 """
 
 from __future__ import annotations
