@@ -26,7 +26,7 @@ def test_bundles_keep_every_declaration_of_a_name(spark):
 def test_mounts(spark):
     routes = spark.createDataFrame([("f", "r", "GET", "/x"), ("f", "app", "GET", "/top"), ("f", "self", "GET", "/loop"), ("g", "r", "GET", "/x")], "scope string, router string, method string, path string")
     joins = spark.createDataFrame([("f", "app", "/api/", "r"), ("f", "mid", "/m", "r"), ("f", "app", "/v", "mid"), ("f", "self", "/s", "self")], "scope string, router string, prefix string, child string")
-    assert rows(B.mounts(routes, joins)) == [("f", "GET", "/api/x"), ("f", "GET", "/top"), ("f", "GET", "/v/m/x"), ("g", "GET", "/x")]
+    assert rows(B.mounts(spark, routes, joins)) == [("f", "GET", "/api/x"), ("f", "GET", "/top"), ("f", "GET", "/v/m/x"), ("g", "GET", "/x")]
 
 
 def test_modules(spark):

@@ -163,3 +163,124 @@ def test_event_windows(spark, tmp_path):
         q.awaitTermination()
         got = sorted((r.u, r.n) for r in spark.table(f"win_{name}").collect())
         assert got == [("u", 1), ("u", 2), ("v", 1)]  # the last window is still open
+
+
+def test_script_bindings_and_exports():
+    rows = facts("a.ts", """import d, { x as y, type T } from './m';
+import * as ns from './n';
+import type { U } from './t';
+const { a, b: c } = require('./r'), z = 1;
+export { y as out, d };
+export default d;
+export const f = async (p: string): Promise<{ q: number }> => { return y(p); };
+export * as all from './all';
+module.exports.k = c;
+""")
+    assert set(names(rows, "binding", "kind", "owner", "detail")) == {
+        ("d", "import", "default", "./m"), ("y", "import", "x", "./m"), ("T", "type", "T", "./m"), ("ns", "import", "*", "./n"), ("U", "type", "U", "./t"),
+        ("a", "require", "a", "./r"), ("c", "require", "b", "./r"),
+    }
+    assert set(names(rows, "export", "kind", "owner")) == {
+        ("out", "alias", "y"), ("d", "alias", "d"), ("default", "default", "d"), ("f", "direct", "f"), ("all", "re-export", "*"), ("k", "commonjs", "c")}
+    assert ("y", "call", "f") in names(rows, "call", "kind", "owner")
+    assert ("f", "const", True) in names(rows, "symbol", "kind", "exported")
+    cjs = facts("b.js", "function g() {}\nmodule.exports = { g, h: g };\n")
+    assert set(names(cjs, "export", "owner")) == {("g", "g"), ("h", "g")}
+
+
+def test_a_name_declared_or_written_nearby_hides_an_import():
+    text = """import { f, g, h, k, m } from './x';
+function one(f) { f(); g(); }
+function two() { const q = () => { h(); }; h = 1; }
+function three() { { let k = 2; } k(); if (a) { m(); } }
+function four() { try { g() } catch (g) { } }
+class C { five() { new f(); this.f(); m.deep.call(1); } }
+"""
+    got = {(r[1], r[6]): r[2] for r in facts("a.js", text) if r[0] == "call"}
+    assert got[("f", "one")] == "shadowed" and got[("g", "one")] == "call"
+    assert got[("h", "q")] == "shadowed" and got[("k", "three")] == "shadowed" and got[("m", "three")] == "call"
+    assert got[("g", "four")] == "shadowed" and got[("f", "five")] == "new" and got[("<computed>.f", "five")] == "call" and ("m.deep.call", "five") in got
+
+
+def test_script_syntax_that_lines_do_not_show():
+    text = '''const re = /function no() {}[/]"/g, t = `function no() { ${inner(`class No {}`)} }`;
+export default class extends Base<{ a: string }> {
+  #p = 1; static s?: Map<string, number> = new Map();
+  constructor(private readonly dep: Dep, n = () => ({ x: 1 })) { super(); }
+  get v(): { a: number } { return use(1); }
+  async *gen<T extends { k: string }>(this: C, ...rest: T[]): AsyncGenerator<T> { yield go(); }
+  arrow = (e: Event): void => { handle(e); };
+  last() {}
+}
+type M = { readonly [K in keyof X]: string };
+type O = { a: string; b?: { c: number }[] };
+type F = (a: string) => void
+type U = | "a" | "b";
+namespace N { export function inside() { call(); } }
+enum E { A = 1 }
+const load = url => fetch(url, { method: 'POST' });
+function page() { load('/api/items'); }
+if (a < b && c > (d)) { after(); }
+'''
+    rows = facts("a.ts", text)
+    assert names(rows, "symbol", "kind", "owner") == [
+        ("re", "const", ""), ("default", "class", ""), ("constructor", "method", "default"), ("v", "method", "default"), ("gen", "method", "default"), ("last", "method", "default"),
+        ("M", "type", ""), ("O", "type", ""), ("F", "type", ""), ("U", "type", ""), ("N", "namespace", ""), ("inside", "function", "N"), ("E", "enum", ""), ("load", "const", ""), ("page", "function", "")]
+    called = {(n, o) for n, o in names(rows, "call", "owner")}
+    assert {("inner", ""), ("use", "v"), ("go", "gen"), ("handle", "arrow"), ("call", "inside"), ("load", "page"), ("after", "")} <= called
+    assert {("M", "mapped"), ("F", "function"), ("U", "union")} == set(names(rows, "model_unsupported", "kind"))
+    assert {("a", "O", "string"), ("b", "O", "{ c: number }[]"), ("s", "default", "Map<string, number>"), ("dep", "default", "Dep"), ("#p", "default", "")} <= set(names(rows, "model_field", "owner", "detail"))
+    assert set(names(rows, "request", "kind", "detail")) == {("url", "POST", "dynamic"), ("/api/items", "POST", "wrapper")}
+    jsx = facts("b.jsx", "export function P() { return <ul>{xs.map(x => <Li key={x} onTap={() => tap(x)}>it's {x} <b>done</b></Li>)}</ul>; }\nfunction q() { return 1 }\n")
+    assert names(jsx, "symbol") == [("P",), ("q",)] and ("tap", "P") in names(jsx, "call", "owner") and set(names(jsx, "ui_string")) == {("it's",), ("done",)}
+
+
+def test_jvm_and_rust_syntax():
+    java = facts("A.java", """package p.q;
+@Deprecated public final class A<T extends Comparable<T>> extends B implements C {
+  private final Map<String, List<T>> m = make(1);
+  public A(int x) { super(x); }
+  @Override public <R> R run(Function<T, R> f) throws E { if (x) { return f.apply(t); } Runnable r = () -> go(); class L { void in() {} } return null; }
+  enum K { ONE(1), TWO { void z() {} }; int n() { return 1; } }
+  record R(int a, List<String> b) { int s() { return a(); } }
+  @interface Ann { String value() default ""; }
+}
+""")
+    assert [x[:2] + x[3:] for x in names(java, "symbol", "kind", "exported", "owner")] == [
+        ("A", "class", ""), ("A", "constructor", "A"), ("run", "method", "A"), ("L", "class", "A.run"), ("in", "method", "A.run.L"), ("K", "enum", "A"), ("n", "method", "A.K"),
+        ("R", "record", "A"), ("s", "method", "A.R"), ("Ann", "interface", "A"), ("value", "method", "A.Ann")] or names(java, "symbol")
+    assert {("m", "A", "Map<String, List<T>>"), ("a", "R", "int"), ("b", "R", "List<String>")} <= {(n, o, d.replace("private final ", "")) for n, o, d in names(java, "model_field", "owner", "detail")}
+    assert {("f.apply", "run"), ("go", "run"), ("make", "")} <= set(names(java, "call", "owner"))
+    kt = facts("a.kt", """package p
+/* outer /* class No */ fun no() */
+sealed interface S
+data class D(val a: List<Int>, var b: String = f("x")) : Base(1), S by impl {
+  companion object { const val K = 1 }
+  val c: Int by lazy { g() }
+  fun <T> T.ext(x: Int): Map<String, T> = when (x) { 1 -> h(); else -> mapOf() }
+  enum class E { A, B; fun z() = 1 }
+}
+fun top(block: () -> Unit) { block(); "fun no() {}" }
+object O { fun m() {} }
+""")
+    assert names(kt, "symbol", "kind", "owner") == [
+        ("S", "interface", ""), ("D", "class", ""), ("Companion", "object", "D"), ("ext", "method", "D"), ("E", "enum", "D"), ("z", "method", "D.E"), ("top", "fun", ""), ("O", "object", ""), ("m", "method", "O")]
+    assert {("a", "D", "List<Int>"), ("b", "D", "String"), ("c", "D", "Int")} <= set(names(kt, "model_field", "owner", "detail"))
+    assert {("g", ""), ("h", "ext"), ("block", "top"), ("f", "")} <= set(names(kt, "call", "owner"))
+    rs = facts("a.rs", """#[derive(Debug)] pub struct P<T> { pub x: Vec<T>, y: [u8; 4] }
+pub trait T: Base + Send { fn must(&self); fn may(&self) { self.must() } }
+impl<X: Clone> T for P<X> where X: Send { fn must(&self) { crate::a::go(1); x.iter().map(|v| v + 1); } }
+impl P<u8> { const Z: u8 = 1; pub async fn n<'a>(s: &'a str) -> Result<(), E> { r#"fn no() {}"#; '{'; Self::q(s) } }
+enum E { A(u8), B { c: u8 } }
+mod inner { pub fn deep() {} }
+pub mod filed;
+use a::{b as c, d::*};
+macro_rules! mac { () => { fn no() {} } }
+""")
+    assert names(rs, "symbol", "kind", "owner") == [
+        ("P", "struct", ""), ("T", "trait", ""), ("must", "method", "T"), ("may", "method", "T"), ("P", "impl", ""), ("must", "method", "P"), ("P", "impl", ""), ("Z", "const", "P"), ("n", "method", "P"),
+        ("E", "enum", ""), ("inner", "module", ""), ("deep", "function", "inner"), ("filed", "module", ""), ("mac", "macro", "")]
+    assert set(names(rs, "relation", "kind", "owner")) == {("T", "implements", "P"), ("Base", "supertrait", "T"), ("Send", "supertrait", "T")}
+    assert names(rs, "module") == [("filed",)] and names(rs, "import", "kind", "detail") == [("a::b", "use", "c"), ("a::d::*", "wildcard", "")]
+    assert ("crate::a::go", "must") in names(rs, "call", "owner") and ("Self::q", "n") in names(rs, "call", "owner")
+    assert {("x", "P"), ("y", "P"), ("A", "E"), ("B", "E")} <= set(names(rs, "model_field", "owner"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.text import lines
+from weftline.session import materialize
 
 # fixed values: limits of a bundle and of a capsule
 MOST_LINES, MOST_BLOCKS = 300, 20
@@ -81,21 +82,29 @@ def capsule(ranked: DataFrame, docs: DataFrame, key: str, text: str, path: str)
     )
 
 
-def mounts(routes: DataFrame, joins: DataFrame, depth: int = 3) -> DataFrame:
+def mounts(spark: SparkSession, routes: DataFrame, joins: DataFrame) -> DataFrame:
     """(scope, method, path): full paths of routes through the routers that mount them.
 
     `routes` has scope, router, method, path; `joins` scope, router (the one that mounts), prefix, child. A router that
-    nothing mounts is a root; mounting is followed `depth` levels, so a router that mounts itself ends there.
+    nothing mounts is a root. Mounting is followed to the roots at any depth; a router that is reached again on its own
+    way is not followed further, so routers that mount each other end there.
     """
     parents = joins.select("scope", F.col("child").alias("router"), F.col("router").alias("up"), "prefix").distinct()
     mounted = parents.select("scope", "router").distinct()
-    level = routes.select("scope", "router", "method", "path").distinct()
-    done = level.join(mounted, ["scope", "router"], "left_anti").select("scope", "method", "path")
-    for _ in range(depth):
+    level = routes.select("scope", "router", "method", "path", F.array("router").alias("way")).distinct()
+    done = []
+    while True:
+        level = materialize(spark, level, "mounts")
+        done.append(level.join(mounted, ["scope", "router"], "left_anti").select("scope", "method", "path"))
         full = F.regexp_replace(F.concat_ws("/", "prefix", "path"), "/+", "/")
-        level = level.join(parents, ["scope", "router"]).select("scope", F.col("up").alias("router"), "method", full.alias("path")).distinct()
-        done = done.unionByName(level.join(mounted, ["scope", "router"], "left_anti").select("scope", "method", "path"))
-    return done.distinct()
+        up = level.join(parents, ["scope", "router"]).filter(~F.array_contains("way", F.col("up")))
+        level = up.select("scope", F.col("up").alias("router"), "method", full.alias("path"), F.array_append("way", F.col("up")).alias("way")).distinct()
+        if level.isEmpty():
+            break
+    out = done[0]
+    for x in done[1:]:
+        out = out.unionByName(x)
+    return out.distinct()
 
 
 def module_files(declarations: DataFrame, inventory: DataFrame, scope: list[str]) -> DataFrame:

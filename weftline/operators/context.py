@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from weftline.functions.text import basename, dirname, is_docs_path, is_test_path
+from weftline.session import partitions_for
 
 # fixed values: margins, penalties and boosts
-GENERIC_NAMES = r"(?i)^(readme(\..*)?|license(\..*)?|changelog(\..*)?|package\.json|package-lock\.json|tsconfig.*\.json|\.gitignore|\.npmignore)$"
+GENERIC_NAMES = r"(?i)^(readme(\.\w+)?|license(\.\w+)?|changelog(\.\w+)?|package\.json|package-lock\.json|tsconfig.*\.json|\.gitignore|\.npmignore)$"
 GENERIC_PENALTY = -20
 FOCUS_ABSOLUTE, FOCUS_RELATIVE, FOCUS_MEDIUM, NEAR_TIE = 8, 0.25, 4, 8
 BOOSTS = {
@@ -94,48 +98,90 @@ def allocate(groups: DataFrame) -> DataFrame:
     return rows.withColumn("granted", F.col("base") + extra).select("grp", "available", "granted")
 
 
+def _in_order(rows: DataFrame, group: str, order: str, schema: str, start, step) -> DataFrame:
+    """A fold over each group's rows in order: one pass over sorted partitions, holding one state and no group.
+
+    `rows` has the group, the order, then the values. start() gives a group's state, step(state, values) what to emit;
+    a state's rest() is emitted when the group ends. The sort is Spark's and spills.
+    """
+    fields = T._parse_datatype_string(schema)
+    names = [f.name for f in fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        present, state = None, None
+        arrow = to_arrow_schema(fields)
+        for b in batches:
+            out: list[tuple] = []
+            for key, *values in zip(*(c.to_pylist() for c in b.columns)):
+                if state is None or key != present:
+                    if state is not None:
+                        out += [(present, *r) for r in state.rest()]
+                    present, state = key, start()
+                out += [(key, *r) for r in step(state, values)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * len(names), arrow)], schema=arrow)
+        if state is not None:
+            rest = [(present, *r) for r in state.rest()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rest) if rest else [[]] * len(names), arrow)], schema=arrow)
+
+    parts = partitions_for(rows.sparkSession, rows)
+    return rows.repartition(parts, group).sortWithinPartitions(group, order, *[c for c in rows.columns if c not in (group, order)]).mapInArrow(run, schema)
+
+
+class _Packed:
+    def __init__(self):
+        self.used = self.n = 0
+
+    def rest(self):
+        return []
+
+
+class _Kept:
+    def __init__(self):
+        self.ranges: list[list[int]] = []
+
+    def rest(self):
+        return [tuple(r) for r in self.ranges]
+
+
 def pack(blocks: DataFrame, bundle: str, order: str, size: str, most_size: int, most_blocks: int) -> DataFrame:
     """(bundle, order, size, included): greedy packing in a fixed order; a block that does not fit is skipped.
 
-    A fold over the blocks of one bundle, inside the JVM: a bundle's blocks are one array. Bundles are bounded by their
-    makers (a file's blocks), not by the table. Null sizes are taken as 0.
+    A fold over each bundle's blocks as they come, so a bundle may be of any size. Null sizes are taken as 0.
     """
-    cells = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("s"))))
-    zero = F.struct(
-        F.lit(0).cast("long").alias("used"), F.lit(0).cast("long").alias("n"),
-        F.array().cast(f"array<struct<o:{blocks.schema[order].dataType.simpleString()},s:bigint,included:boolean>>").alias("out"),
-    )
 
-    def step(acc, b):
-        fits = (acc["used"] + b["s"] <= most_size) & (acc["n"] < most_blocks)
-        one = F.array(F.struct(b["o"].alias("o"), b["s"].alias("s"), fits.alias("included")))
-        return F.struct(
-            (acc["used"] + F.when(fits, b["s"]).otherwise(0)).alias("used"), (acc["n"] + F.when(fits, 1).otherwise(0)).alias("n"),
-            F.concat(acc["out"], one).alias("out"),
-        )
+    def step(state: _Packed, values: list) -> list[tuple]:
+        at, s = values
+        fits = state.used + s <= most_size and state.n < most_blocks
+        if fits:
+            state.used, state.n = state.used + s, state.n + 1
+        return [(at, s, fits)]
 
-    packed = blocks.groupBy(bundle).agg(F.aggregate(cells, zero, step)["out"].alias("out"))
-    one = packed.select(bundle, F.explode("out").alias("_block"))
-    return one.select(bundle, F.col("_block.o").alias(order), F.col("_block.s").alias(size), "_block.included")
+    rows = blocks.select(bundle, order, F.coalesce(F.col(size), F.lit(0)).cast("long").alias(size))
+    kinds = [blocks.schema[c].dataType.simpleString() for c in (bundle, order)]
+    return _in_order(rows, bundle, order, f"`{bundle}` {kinds[0]}, `{order}` {kinds[1]}, `{size}` bigint, included boolean", _Packed, step)
 
 
 def merge_in_order(ranges: DataFrame, group: str, order: str, start: str, end: str) -> DataFrame:
     """(group, start, end): line ranges merged as they arrive: each joins the first kept range it overlaps.
 
-    The result depends on the order, so a group is one fold inside the JVM; groups are the files of a bundle. Rows with
-    a null are left out.
+    The result depends on the order, so a group is one fold over its rows as they come; only the kept ranges of one
+    group are held. Rows with a null are left out.
     """
-    clean = ranges.filter(F.col(group).isNotNull() & F.col(start).isNotNull() & F.col(end).isNotNull())
-    cell = F.struct(F.col(order).alias("o"), F.col(start).cast("long").alias("a"), F.col(end).cast("long").alias("b"))
-    span = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
 
-    def step(kept, r):
-        at = F.array_position(F.transform(kept, lambda k: (r["a"] <= k["b"]) & (r["b"] >= k["a"])), F.lit(True))
-        grown = F.transform(kept, lambda k, i: F.when(i + 1 == at, span(F.least(k["a"], r["a"]), F.greatest(k["b"], r["b"]))).otherwise(k))
-        return F.when(at > 0, grown).otherwise(F.concat(kept, F.array(span(r["a"], r["b"]))))
+    def step(state: _Kept, values: list) -> list[tuple]:
+        _, a, b = values
+        for r in state.ranges:
+            if a <= r[1] and b >= r[0]:
+                r[0], r[1] = min(a, r[0]), max(b, r[1])
+                break
+        else:
+            state.ranges.append([a, b])
+        return []
 
-    folded = F.aggregate(F.array_sort(F.collect_list(cell)), F.array().cast("array<struct<a:bigint,b:bigint>>"), step)
-    return clean.groupBy(group).agg(folded.alias("_kept")).select(group, F.explode("_kept").alias("_r")).select(group, F.col("_r.a").alias(start), F.col("_r.b").alias(end))
+    clean = ranges.filter(F.col(group).isNotNull() & F.col(start).isNotNull() & F.col(end).isNotNull())
+    rows = clean.select(group, order, F.col(start).cast("long").alias(start), F.col(end).cast("long").alias(end))
+    kind = ranges.schema[group].dataType.simpleString()
+    return _in_order(rows, group, order, f"`{group}` {kind}, `{start}` bigint, `{end}` bigint", _Kept, step)
 
 
 def merge_sorted(ranges: DataFrame, group: str, start: str, end: str) -> DataFrame:

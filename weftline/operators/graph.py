@@ -78,6 +78,8 @@ def reach(spark: SparkSession, edges: DataFrame, seeds: DataFrame, depth: int, d
     the shared folder, so no level is computed twice and the plan does not grow. Ids that are null are not followed.
     """
     steps = neighbours(edges, direction)
+    if depth > 1:  # a composed edge table is made once, not at each level
+        steps = materialize(spark, steps, "steps")
     frontier = seeds.select("id").filter(F.col("id").isNotNull()).distinct()
     visited = frontier.withColumn("level", F.lit(0))
     for level in range(1, depth + 1):
@@ -88,19 +90,26 @@ def reach(spark: SparkSession, edges: DataFrame, seeds: DataFrame, depth: int, d
     return visited
 
 
-def closure(spark: SparkSession, edges: DataFrame, seeds: DataFrame, direction: str = "outgoing", most: int = 64) -> DataFrame:
-    """(id, level): all nodes the seeds reach, level by level until nothing new appears; `most` levels guard cycles of bugs."""
-    steps = neighbours(edges, direction)
+def closure(spark: SparkSession, edges: DataFrame, seeds: DataFrame, direction: str = "outgoing") -> DataFrame:
+    """(id, level): all nodes the seeds reach, level by level until nothing new appears.
+
+    Every level adds nodes that were not visited, so it ends in a cycle too, at any depth. The visited nodes are written
+    anew every few levels, so the plan does not grow with the depth.
+    """
+    steps = materialize(spark, neighbours(edges, direction), "steps")
     frontier = seeds.select("id").filter(F.col("id").isNotNull()).distinct()
     visited = frontier.withColumn("level", F.lit(0))
-    for level in range(1, most + 1):
+    level = 0
+    while True:
+        level += 1
         nxt = steps.join(frontier.withColumnRenamed("id", "here"), "here", "left_semi").select(F.col("there").alias("id"))
         nxt = nxt.filter(F.col("id").isNotNull())
         frontier = materialize(spark, nxt.distinct().join(visited.select("id"), "id", "left_anti"), f"closure{level}")
         if frontier.isEmpty():
             return visited
         visited = visited.unionByName(frontier.withColumn("level", F.lit(level)))
-    raise RuntimeError(f"no fixpoint after {most} levels")
+        if level % 16 == 0:
+            visited = materialize(spark, visited, f"visited{level}")
 
 
 def lookup(spark: SparkSession, nodes: DataFrame, edges: DataFrame, node: str, depth: int) -> dict[str, DataFrame]:

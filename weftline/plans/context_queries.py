@@ -9,6 +9,7 @@ from weftline.functions import text as X
 from weftline.operators import context as C
 from weftline.operators import resolve as V
 from weftline.operators import rules as R
+from weftline.plans.diff_queries import _RULES
 from weftline.session import ship, table
 
 
@@ -82,7 +83,7 @@ def interval_merge_in_order(spark: SparkSession, d: str) -> DataFrame:
     ship(spark)
     refs = table(spark, d, "lineage_edges", "edge_no", "evidence_refs").distinct().select("edge_no", F.explode("evidence_refs").alias("e"))
     rows = refs.select(F.col("e.file_path").alias("path"), F.col("e.line").cast("long").alias("line"), "edge_no").filter(F.col("line").isNotNull() & F.col("path").isNotNull())
-    ordered = rows.withColumn("o", F.col("edge_no") * 10_000 + F.col("line"))
+    ordered = rows.withColumn("o", F.struct("edge_no", "line"))
     return C.merge_in_order(ordered.select("path", "o", (F.col("line") - 5).alias("a"), (F.col("line") + 5).alias("b")), "path", "o", "a", "b")
 
 
@@ -131,12 +132,13 @@ def import_resolution(spark: SparkSession, d: str) -> DataFrame:
 
 
 def import_name_resolution(spark: SparkSession, d: str) -> DataFrame:
-    """A grid of adjectives and nouns against part names: none, one or many."""
+    """Two-word specifiers, the words of part names and the next noun in order, against part names: none, one or many."""
     part = table(spark, d, "part", "p_partkey", "p_name")
-    words = part.select(F.substring_index("p_name", " ", 1).alias("a")).distinct()
-    nouns = part.select(F.substring_index("p_name", " ", -1).alias("n")).agg(F.array_append(F.collect_set("n"), F.lit("cog")).alias("all")).scalar()
-    grid = words.withColumn("all", nouns).select("a", F.explode("all").alias("n")).select(F.concat_ws(" ", "a", "n").alias("specifier"))  # a vocabulary, not rows
-    hits = grid.join(part, grid["specifier"] == part["p_name"], "left").groupBy("specifier").agg(F.count("p_partkey").alias("n"))
+    words = part.select(F.substring_index("p_name", " ", 1).alias("a"), F.substring_index("p_name", " ", -1).alias("n")).distinct()
+    nouns = words.select("n").distinct()
+    after = nouns.withColumn("next", F.coalesce(F.lead("n").over(Window.orderBy("n")), F.lit("cog")))  # a vocabulary, not rows
+    asked = words.join(after, "n").select(F.explode(F.array(F.concat_ws(" ", "a", "n"), F.concat_ws(" ", "a", "next"))).alias("specifier")).distinct()
+    hits = asked.join(part, asked["specifier"] == part["p_name"], "left").groupBy("specifier").agg(F.count("p_partkey").alias("n"))
     return hits.select("specifier", F.when(F.col("n") == 0, "unresolved").when(F.col("n") == 1, "resolved").otherwise("ambiguous").alias("status"), "n")
 
 
@@ -326,9 +328,41 @@ UNION ALL SELECT 'noSuchName', 'not-found', NULL, 0""",
 WITH k AS (SELECT node_id, CASE WHEN label = 'Mapper' THEN 0 WHEN ends_with(string_split(label, '.')[-1], 'Mapper') THEN 1 WHEN contains(label, 'Mapper') THEN 2 END AS r FROM node_registry)
 SELECT node_id, CASE min(r) WHEN 0 THEN 'exact' WHEN 1 THEN 'simple-name' ELSE 'contains' END AS match_kind FROM k WHERE r IS NOT NULL GROUP BY node_id""",
     "import_name_resolution": """
-WITH a AS (SELECT DISTINCT string_split(p_name, ' ')[1] AS a FROM part), n AS (SELECT DISTINCT string_split(p_name, ' ')[-1] AS n FROM part UNION ALL SELECT 'cog'),
-g AS (SELECT a || ' ' || n AS specifier FROM a, n), c AS (SELECT specifier, count(p_partkey) AS n FROM g LEFT JOIN part ON p_name = specifier GROUP BY specifier)
+WITH w AS (SELECT DISTINCT string_split(p_name, ' ')[1] AS a, string_split(p_name, ' ')[-1] AS n FROM part),
+v AS (SELECT n, coalesce(lead(n) OVER (ORDER BY n), 'cog') AS next FROM (SELECT DISTINCT n FROM w)),
+g AS (SELECT a || ' ' || n AS specifier FROM w UNION SELECT a || ' ' || next FROM w JOIN v USING (n)),
+c AS (SELECT specifier, count(p_partkey) AS n FROM g LEFT JOIN part ON p_name = specifier GROUP BY specifier)
 SELECT specifier, CASE n WHEN 0 THEN 'unresolved' WHEN 1 THEN 'resolved' ELSE 'ambiguous' END AS status, n FROM c""",
+    "candidate_adjusted_scores": _RULES.replace("coalesce(content, '')", "''") + r"""
+, g AS (SELECT f.file_no, coalesce(string_agg(role, ',') , '') AS roles, bool_or(confidence = 'possible') AS possible FROM f LEFT JOIN res USING (file_no) GROUP BY f.file_no),
+u AS (SELECT file_no, CASE WHEN contains(roles, 'generated-file') THEN 'generated-do-not-edit' WHEN contains(roles, 'configuration-file') THEN 'inspect-before-edit'
+  WHEN contains(roles, 'internal-planning-docs') THEN 'read-only-reference' WHEN contains(roles, 'public-docs') THEN 'docs-only' WHEN contains(roles, 'test-fixture') THEN 'test-only'
+  WHEN roles = '' THEN 'uncertain' WHEN possible THEN 'inspect-before-edit' WHEN regexp_matches(roles, 'command-handler|analyzer|validator') THEN 'safe-primary-edit-target'
+  ELSE 'inspect-before-edit' END AS says FROM g),
+h AS (SELECT f.file_no, f.path, string_split(f.path, '/')[-1] AS base, CAST(coalesce((length(content) - length(replace(content, 'Router', ''))) // 6, 0) AS INTEGER) AS hits, says FROM f JOIN u USING (file_no)),
+k AS (SELECT *, hits + CASE WHEN regexp_matches(base, '^(readme(\.\w+)?|license(\.\w+)?|changelog(\.\w+)?|package\.json|package-lock\.json|tsconfig.*\.json|\.gitignore|\.npmignore)$', 'i') THEN -20 ELSE 0 END AS score FROM h)
+SELECT file_no, CAST(score + CASE says WHEN 'safe-primary-edit-target' THEN 6 WHEN 'inspect-before-edit' THEN 3 ELSE 0 END
+    + CASE WHEN says = 'docs-only' OR regexp_matches(path, '(^|/)docs?/|\.mdx?$|(^|/)readme[^/]*$', 'i') THEN -4 ELSE 0 END
+    + CASE WHEN says = 'test-only' OR regexp_matches(path, '(^|/)(tests?|__tests__|spec)/|\.(test|spec)\.[a-z]+$|(^|/)test_[^/]*\.py$|_test\.(py|go|rs)$', 'i') THEN 2 ELSE 0 END AS INTEGER) AS feature_score,
+  CAST(score + CASE WHEN regexp_replace(path, '/[^/]*$', '') = 'src' AND contains(path, '/') THEN 4 ELSE 0 END AS INTEGER) AS subsystem_score FROM k""".replace("\\\\", "\\"),
+    "greedy_packing": """
+WITH RECURSIVE b AS MATERIALIZED (SELECT l_orderkey, l_partkey, CAST(max(l_quantity) AS BIGINT) AS lines, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey) AS i
+  FROM lineitem WHERE l_orderkey IS NOT NULL GROUP BY l_orderkey, l_partkey),
+r AS (SELECT l_orderkey, l_partkey, lines, i, lines <= 100 AS included, CASE WHEN lines <= 100 THEN lines ELSE 0 END AS used, CASE WHEN lines <= 100 THEN 1 ELSE 0 END AS n FROM b WHERE i = 1
+  UNION ALL SELECT b.l_orderkey, b.l_partkey, b.lines, b.i, r.used + b.lines <= 100 AND r.n < 5,
+    r.used + CASE WHEN r.used + b.lines <= 100 AND r.n < 5 THEN b.lines ELSE 0 END, r.n + CASE WHEN r.used + b.lines <= 100 AND r.n < 5 THEN 1 ELSE 0 END
+  FROM r JOIN b ON b.l_orderkey = r.l_orderkey AND b.i = r.i + 1)
+SELECT l_orderkey, l_partkey, lines, included FROM r""",
+    "interval_merge_in_order": """
+WITH RECURSIVE e AS (SELECT DISTINCT edge_no, evidence_refs FROM lineage_edges), x AS (SELECT edge_no, unnest(evidence_refs) AS v FROM e),
+b AS MATERIALIZED (SELECT v.file_path AS path, CAST(v.line AS BIGINT) - 5 AS a, CAST(v.line AS BIGINT) + 5 AS z, row_number() OVER (PARTITION BY v.file_path ORDER BY edge_no, v.line) AS i
+  FROM x WHERE v.line IS NOT NULL AND v.file_path IS NOT NULL),
+r AS (SELECT path, i, [{'a': a, 'z': z}] AS kept FROM b WHERE i = 1
+  UNION ALL SELECT r.path, b.i, CASE WHEN len(list_filter(r.kept, lambda k: b.a <= k.z AND b.z >= k.a)) = 0 THEN list_append(r.kept, {'a': b.a, 'z': b.z})
+    ELSE list_transform(r.kept, lambda k, n: CASE WHEN n = list_position(list_transform(r.kept, lambda m: b.a <= m.z AND b.z >= m.a), true) THEN {'a': least(k.a, b.a), 'z': greatest(k.z, b.z)} ELSE k END) END
+  FROM r JOIN b ON b.path = r.path AND b.i = r.i + 1),
+f AS (SELECT path, unnest(arg_max(kept, i)) AS k FROM r GROUP BY path)
+SELECT path, k.a AS a, k.z AS b FROM f""",
     "alias_resolution": """
 SELECT DISTINCT '@part/' || p_name AS specifier, CASE WHEN p_name = 'red ring' THEN 'lib/red-ring' WHEN starts_with(p_name, 'small') THEN 'lib/small/' || substr(p_name, 6) ELSE 'lib/part/' || p_name END AS target FROM part
 UNION ALL SELECT DISTINCT p_brand, 'any/' || p_brand FROM part""",

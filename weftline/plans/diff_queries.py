@@ -218,7 +218,14 @@ _BAG_ID = "concat_ws('/', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quan
 
 SQL = {
     "diff_nodes": _AB + " SELECT o_orderkey, change, CASE WHEN change = 'changed' THEN fs END AS changed_fields FROM n WHERE change IS NOT NULL",
-    "diff_changed_fields": _AB + " SELECT o_orderkey, 'o_orderstatus' AS field, bs AS before, sa AS after FROM n WHERE change = 'changed' AND contains(fs, 'o_orderstatus')",
+    "diff_changed_fields": _AB + """
+, c AS (SELECT b.o_orderkey, unnest([
+  {'field': 'o_custkey', 'before': CAST(b.o_custkey AS VARCHAR), 'after': CAST(a.o_custkey AS VARCHAR)},
+  {'field': 'o_orderpriority', 'before': b.o_orderpriority, 'after': a.o_orderpriority},
+  {'field': 'o_orderstatus', 'before': b.o_orderstatus, 'after': a.o_orderstatus},
+  {'field': 'o_totalprice', 'before': CAST(b.o_totalprice AS VARCHAR), 'after': CAST(a.o_totalprice AS VARCHAR)}], recursive := true)
+  FROM b JOIN a ON a.o_orderkey = b.o_orderkey)
+SELECT o_orderkey, field, before, after FROM c WHERE before IS DISTINCT FROM after""",
     "diff_edges": _AB + """
 , eb AS (SELECT 'order:' || o_orderkey || '--placed-by-->customer:' || o_custkey AS id FROM b), ea AS (SELECT 'order:' || o_orderkey || '--placed-by-->customer:' || o_custkey AS id FROM a)
 SELECT id, 'added' AS change FROM ea WHERE id NOT IN (SELECT id FROM eb) UNION ALL SELECT id, 'removed' FROM eb WHERE id NOT IN (SELECT id FROM ea)""",

@@ -212,7 +212,7 @@ e0 AS (
   UNION ALL SELECT 'order:' || o_orderkey, 'placed-by', 'customer:' || o_custkey FROM orders
   UNION ALL SELECT DISTINCT 'order:' || l_orderkey, 'contains', 'part:' || l_partkey FROM lineitem
   UNION ALL SELECT DISTINCT 'part:' || l_partkey, 'supplied-by', 'supplier:' || l_suppkey FROM lineitem),
-edges AS (SELECT source, kind, target, source || '--' || kind || '-->' || target AS id FROM e0)"""
+edges AS MATERIALIZED (SELECT source, kind, target, source || '--' || kind || '-->' || target AS id FROM e0)"""
 _STEPS = {
     "outgoing": "SELECT source AS here, target AS there FROM edges", "incoming": "SELECT target AS here, source AS there FROM edges",
     "both": "SELECT source AS here, target AS there FROM edges UNION ALL SELECT target, source FROM edges",
@@ -223,10 +223,10 @@ def _reach(seeds: str, depth: int, direction: str, name: str = "reached", kinds:
     """Level by level CTEs; `name` has (id, level)."""
     only = f" WHERE kind IN ({', '.join(repr(k) for k in kinds)})" if kinds else ""
     steps = _STEPS[direction].replace("FROM edges", f"FROM edges{only}")
-    out = f",\n{name}_s AS ({steps}),\n{name}_0 AS (SELECT DISTINCT id, 0 AS level FROM ({seeds}))"
+    out = f",\n{name}_s AS MATERIALIZED ({steps}),\n{name}_0 AS MATERIALIZED (SELECT DISTINCT id, 0 AS level FROM ({seeds}))"
     for i in range(1, depth + 1):
         out += (
-            f",\n{name}_{i} AS (SELECT * FROM {name}_{i - 1} UNION ALL SELECT DISTINCT there, {i} FROM {name}_s"
+            f",\n{name}_{i} AS MATERIALIZED (SELECT * FROM {name}_{i - 1} UNION ALL SELECT DISTINCT there, {i} FROM {name}_s"
             f" WHERE here IN (SELECT id FROM {name}_{i - 1} WHERE level = {i - 1}) AND there NOT IN (SELECT id FROM {name}_{i - 1}))"
         )
     return out + f",\n{name} AS (SELECT * FROM {name}_{depth})"
@@ -256,7 +256,7 @@ SELECT source, target, kind, source || '--' || kind || '-->' || target || CASE W
     "slice_d1_out": _G + _reach(_ids("order:42"), 1, "outgoing") + " SELECT id, level FROM reached",
     "slice_d2_both": _G + _reach(_ids("order:42", "part:5"), 2, "both") + " SELECT id, level FROM reached",
     "slice_d3_in": _G + _reach(_ids("region:1"), 3, "incoming") + " SELECT id, level FROM reached",
-    "slice_induced_edges": _G + _reach(_ids("order:42"), 2, "outgoing") + " SELECT id FROM edges WHERE source IN (SELECT id FROM reached) AND target IN (SELECT id FROM reached)",
+    "slice_induced_edges": _G + _reach(_ids("order:42"), 2, "outgoing") + ", k AS MATERIALIZED (SELECT DISTINCT id FROM reached), o AS MATERIALIZED (SELECT e.* FROM edges e JOIN k ON k.id = e.source) SELECT o.id FROM o JOIN k ON k.id = o.target",
     "slice_kind_pass": _G + _reach(_ids("order:42"), 1, "outgoing") + _reach("SELECT id FROM reached", 3, "outgoing", "kinded", ["supplied-by", "in-nation", "in-region"]) + " SELECT id FROM kinded",
     "slice_summary": _G + _reach(_ids(ROOT), 2, "both") + " SELECT kind, count(*) AS n FROM nodes WHERE id IN (SELECT id FROM reached) GROUP BY kind",
     "slice_capped_dataflow": _G + """
@@ -267,7 +267,7 @@ SELECT id, CAST(row_number() OVER (ORDER BY edge, id) AS INTEGER) AS rank FROM n
     "reachability_edges": """
 WITH p AS (SELECT DISTINCT 'customer:' || o_custkey AS customer, 'part:' || l_partkey AS part FROM orders JOIN lineitem ON l_orderkey = o_orderkey)
 SELECT customer, part, customer || '--reaches-->' || part AS id FROM p""",
-    "reachability_traverse": _G + _reach(_ids("order:42", "order:43"), 1, "both") + " SELECT id FROM edges WHERE source IN (SELECT id FROM reached) OR target IN (SELECT id FROM reached)",
+    "reachability_traverse": _G + _reach(_ids("order:42", "order:43"), 1, "both") + ", k AS MATERIALIZED (SELECT DISTINCT id FROM reached), s AS (SELECT e.* FROM edges e JOIN k ON k.id = e.source) SELECT id FROM s UNION ALL SELECT e.id FROM edges e JOIN k ON k.id = e.target WHERE e.source NOT IN (SELECT id FROM k)",
     "view_projection": _G + ", k AS (SELECT id FROM nodes WHERE kind = 'nation'), near AS (SELECT * FROM edges WHERE source IN (SELECT id FROM k) OR target IN (SELECT id FROM k))"
     " SELECT id, kind FROM nodes WHERE id IN (SELECT id FROM k UNION SELECT source FROM near UNION SELECT target FROM near)",
     "view_edges": _G + ", k AS (SELECT id FROM nodes WHERE kind = 'nation') SELECT id FROM edges WHERE source IN (SELECT id FROM k) OR target IN (SELECT id FROM k)",

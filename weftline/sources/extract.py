@@ -1,14 +1,13 @@
 """Facts of source files: symbols, imports, calls, routes, requests, interface facts, models and literals.
 
 An extractor is a plain function (path, text) -> rows; extractors are registered by extension and run in one pass over
-the files. Python is read by its own parser; the other languages by line scanners that follow braces, so their facts
-are lexical: what a scanner cannot see is left out, not guessed.
+the files. Python is read by its own parser, scripts by script_facts.py, Java, Kotlin and Rust by braces_facts.py, both
+from tokens with brackets.
 """
 
 from __future__ import annotations
 
 import ast
-import hashlib
 import re
 import warnings
 from collections.abc import Callable, Iterator
@@ -18,11 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.text import extension
+from weftline.sources.braces_facts import extract_java, extract_kotlin, extract_rust
+from weftline.sources.rows import FIELDS, LITERAL_CAP, OUT, Row, literal, row
+from weftline.sources.script_facts import extract_script
 
-LITERAL_CAP = 256
-FIELDS = ("record", "name", "kind", "line", "end_line", "exported", "owner", "detail")
-OUT = "record string, name string, kind string, line int, end_line int, exported boolean, owner string, detail string"
-Row = tuple
 _registry: dict[str, Callable[[str, str], list[Row]]] = {}
 
 
@@ -31,15 +29,6 @@ def register_extractor(ext: str, function: Callable[[str, str], list[Row]]) -> N
     _registry.setdefault(ext.lower(), function)
 
 
-def row(record, name, kind="", line=0, end_line=None, exported=False, owner="", detail="") -> Row:
-    return (record, name, kind, line, end_line, exported, owner, detail)
-
-
-def literal(value: str, line: int, owner: str = "") -> Row:
-    """A literal, capped; the hash is of the whole value."""
-    return row("literal", value[:LITERAL_CAP], "string", line, owner=owner, detail=hashlib.sha256(value.encode("utf-8", "replace")).hexdigest())
-
-
 # Python
 class _Python(ast.NodeVisitor):
     def __init__(self):
@@ -132,236 +121,6 @@ def extract_python(path: str, text: str) -> list[Row]:
     return v.rows
 
 
-# languages with braces
-_STRIP = re.compile(r'"""(?:.|\n)*?"""|`(?:\\.|[^`\\])*`|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'|//[^\n]*|/\*(?:.|\n)*?\*/')
-
-
-def blanked(text: str) -> str:
-    """The text with comments and strings made blank, line breaks kept, so that offsets and lines stay."""
-    return _STRIP.sub(lambda m: re.sub(r"[^\n]", " ", m.group()), text)
-
-
-def _line_starts(text: str) -> list[int]:
-    return [0, *[m.end() for m in re.finditer("\n", text)]]
-
-
-class _Braces:
-    """Line of an offset, end of a body, and the declaration that holds an offset."""
-
-    def __init__(self, text: str):
-        import bisect
-
-        self.code, self.starts, self.bisect = blanked(text), _line_starts(text), bisect.bisect_right
-        self.close: dict[int, int] = {}
-        stack = []
-        for m in re.finditer(r"[{}]", self.code):
-            if m.group() == "{":
-                stack.append(m.start())
-            elif stack:
-                self.close[stack.pop()] = m.start()
-
-    def line(self, at: int) -> int:
-        return self.bisect(self.starts, at)
-
-    def end(self, at: int) -> tuple[int, int | None]:
-        """(offset, line) of the end of the body that begins after `at`; without one the end of the statement."""
-        m = re.compile(r"[{;]").search(self.code, at)
-        if m and m.group() == "{" and m.start() in self.close:
-            e = self.close[m.start()]
-            return e, self.line(e)
-        return (m.end(), self.line(m.start())) if m else (at, None)
-
-
-def _declarations(b: _Braces, patterns: list[tuple[str, re.Pattern]], exported: Callable[[str], bool]) -> list[Row]:
-    """Symbols with owners: a declaration inside the body of another belongs to it."""
-    found = []
-    for kind, pattern in patterns:
-        for m in pattern.finditer(b.code):
-            e, line = b.end(m.end())
-            found.append((m.start("name"), e, m.group("name"), kind, line, m.group().strip()))
-    found.sort()
-    rows, open_ = [], []
-    for at, e, name, kind, end_line, head in found:
-        while open_ and open_[-1][0] < at:
-            open_.pop()
-        if kind in ("function", "fun") and open_ and open_[-1][2] in ("class", "interface", "object", "impl", "trait", "enum", "record"):
-            kind = "method"
-        owner = ".".join(x[1] for x in open_)
-        rows.append(row("symbol", name, kind, b.line(at), end_line, exported(head), owner, re.sub(r"\s+", " ", head)[:LITERAL_CAP]))
-        if kind not in ("const", "type", "property", "field"):
-            open_.append((e, name, kind))
-    return rows
-
-
-_ID = r"[A-Za-z_$][\w$]*"
-_SCRIPT = [
-    ("function", re.compile(r"(?:\bexport\s+(?:default\s+)?)?(?:\basync\s+)?\bfunction\s*\*?\s*(?P<name>%s)" % _ID)),
-    ("class", re.compile(r"(?:\bexport\s+(?:default\s+)?)?(?:\babstract\s+)?\bclass\s+(?P<name>%s)" % _ID)),
-    ("interface", re.compile(r"(?:\bexport\s+)?\binterface\s+(?P<name>%s)" % _ID)),
-    ("type", re.compile(r"(?:\bexport\s+)?\btype\s+(?P<name>%s)\s*(?:<[^=]*>)?\s*=" % _ID)),
-    ("enum", re.compile(r"(?:\bexport\s+)?\b(?:const\s+)?enum\s+(?P<name>%s)" % _ID)),
-    ("const", re.compile(r"^(?:export\s+)?(?:const|let|var)\s+(?P<name>%s)\b" % _ID, re.M)),
-    ("method", re.compile(r"^[ \t]+(?:(?:public|private|protected|static|async|readonly|override|get|set)\s+)*(?P<name>(?!if\b|for\b|while\b|switch\b|catch\b|return\b|function\b)%s)\s*(?:<[^>\n]*>)?\([^;{}]*\)\s*(?::[^;{}=]+)?\{" % _ID, re.M)),
-]
-_IMPORT = re.compile(r"""\bimport\s+(?:type\s+)?(?P<what>[^'";]*?)\s*(?:from\s*)?["'](?P<from>[^"']+)["']|(?P<req>(?:const|let|var)\s+(?P<names>[^=;]+)=\s*)?\brequire\(\s*["'](?P<r>[^"']+)["']\s*\)|\bexport\s+(?P<re>\*(?:\s+as\s+\w+)?|\{[^}]*\})\s*from\s*["'](?P<x>[^"']+)["']""")
-_ROUTE = re.compile(r"""\b(?P<on>(?!(?:axios|https?|client|request)\b)%s)\.(?P<verb>get|post|put|patch|delete|all|use)\(\s*["'`](?P<path>/[^"'`]*)["'`]""" % _ID)
-_NEST = re.compile(r"""@(?P<verb>Get|Post|Put|Patch|Delete|Controller)\(\s*(?:["'`](?P<path>[^"'`]*)["'`])?\s*\)""")
-_FETCH = re.compile(r"""\b(?:(?P<fetch>fetch)|(?P<client>axios)(?:\.(?P<verb>get|post|put|patch|delete))?)\(\s*(?P<arg>["'`][^"'`]*["'`]|[^,)]+)""")
-_STORAGE = re.compile(r"""\b(?P<kind>localStorage|sessionStorage)\.(?P<verb>getItem|setItem|removeItem)\(\s*["'`](?P<key>[^"'`]*)["'`]""")
-_HOOK = re.compile(r"\b(?P<name>use[A-Z]\w*)\s*(?:<[^>(]*>)?\(")
-_JSDOC = re.compile(r"/\*\*(?P<body>(?:[^*]|\*(?!/))*)\*/\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?(?:function\s*\*?|class|const|interface|type)?\s*(?P<name>%s)?" % _ID)
-_TEST = re.compile(r"""\b(?P<kind>describe|it|test)\(\s*["'`](?P<title>[^"'`]*)["'`]""")
-_LOCATOR = re.compile(r"""\b(?P<kind>getBy(?:Role|Text|TestId|Label|LabelText|Placeholder)|locator)\(\s*["'`](?P<value>[^"'`]*)["'`]""")
-_TAG = re.compile(r"<(?P<name>[A-Z][\w.]*)[\s/>]")
-_HANDLER = re.compile(r"\b(?P<name>on[A-Z]\w*)=\{(?P<value>[^}]*)\}")
-_UI = re.compile(r">\s*(?P<text>[^<>{}\n]*[A-Za-z][^<>{}\n]*?)\s*</")
-_MEMBER = re.compile(r"(?:^|(?<=[;,{]))\s*(?:readonly\s+)?(?P<name>%s)(?P<opt>\?)?\s*:\s*(?P<type>[^;,\n}]+)" % _ID, re.M)
-_CALL = re.compile(r"(?<![\w$.])(?P<name>%s(?:\.%s)*)\s*\(" % (_ID, _ID))
-_WORDS = frozenset("if for while switch catch return function typeof new await super import constructor when fun fn match loop in as else throw".split())
-
-
-def extract_script(path: str, text: str) -> list[Row]:
-    """TypeScript and JavaScript."""
-    b = _Braces(text)
-    rows = _declarations(b, _SCRIPT, lambda head: head.startswith("export"))
-    at = lambda m: b.line(m.start())
-    visible = lambda m: b.code[m.start()] != " "
-    symbols = [(r[3], r[4] or r[3], r[1]) for r in rows if r[2] in ("function", "method", "class")]
-
-    def owner(line: int) -> str:
-        held = [s for s in symbols if s[0] <= line <= s[1]]
-        return max(held)[2] if held else ""
-
-    for m in _IMPORT.finditer(text):
-        if not visible(m):
-            continue
-        if m["from"] is not None:
-            rows.append(row("import", m["from"], "import", at(m), detail=re.sub(r"\s+", " ", m["what"] or "")))
-        elif m["r"] is not None:
-            rows.append(row("import", m["r"], "require", at(m), detail=re.sub(r"\s+", " ", (m["names"] or "").strip())))
-        else:
-            rows.append(row("import", m["x"], "export-all" if m["re"].startswith("*") else "re-export", at(m), detail=m["re"]))
-    for m in _ROUTE.finditer(text):
-        if visible(m):
-            kind = "MOUNT" if m["verb"] == "use" else m["verb"].upper()
-            rows.append(row("route", m["path"], kind, at(m), owner=m["on"], detail="express"))
-    for m in _NEST.finditer(text):
-        if visible(m):
-            rows.append(row("route", m["path"] or "", m["verb"].upper(), at(m), detail="nest"))
-    for m in _FETCH.finditer(text):
-        if visible(m):
-            arg = m["arg"].strip()
-            static = arg[:1] in "\"'" or (arg[:1] == "`" and "${" not in arg)
-            rows.append(row("request", arg.strip("\"'`")[:LITERAL_CAP], (m["verb"] or "get").upper(), at(m), owner=owner(at(m)), detail="static" if static else "dynamic"))
-    for m in _STORAGE.finditer(text):
-        if visible(m):
-            rows.append(row("storage", m["key"], m["kind"], at(m), owner=owner(at(m)), detail=m["verb"]))
-    for m in _HOOK.finditer(b.code):
-        rows.append(row("hook", m["name"], "", at(m), owner=owner(at(m))))
-    for m in _JSDOC.finditer(text):
-        body = " ".join(x.strip(" *\t") for x in m["body"].split("\n")).strip()
-        rows.append(row("doc", m["name"] or "", "jsdoc", at(m), detail=body[:LITERAL_CAP]))
-    for m in _CALL.finditer(b.code):
-        if m["name"].split(".")[0] not in _WORDS and not re.search(r"\bfunction\s*\*?\s*$", b.code[max(0, m.start() - 12) : m.start()]):
-            rows.append(row("call", m["name"], "call", at(m), owner=owner(at(m))))
-    for m in _TEST.finditer(text):
-        if visible(m):
-            rows.append(row("test", m["title"], m["kind"], at(m)))
-    for m in _LOCATOR.finditer(text):
-        if visible(m):
-            rows.append(row("locator", m["value"], m["kind"], at(m)))
-    if path.endswith("x"):
-        for m in _TAG.finditer(b.code):
-            rows.append(row("component", m["name"], "use", at(m), owner=owner(at(m))))
-        for m in _HANDLER.finditer(b.code):
-            rows.append(row("handler", m["name"], "", at(m), owner=owner(at(m)), detail=m["value"][:LITERAL_CAP]))
-        for m in _UI.finditer(text):
-            rows.append(row("ui_string", m["text"].strip(), "jsx", at(m), owner=owner(at(m))))
-    for r in [r for r in rows if r[0] == "symbol" and r[2] in ("interface", "class")]:
-        start = b.starts[r[3] - 1]
-        opening = b.code.find("{", start)
-        if r[2] == "interface" and opening in b.close:
-            rows.append(row("model", r[1], "interface", r[3], r[4], r[5]))
-            for m in _MEMBER.finditer(b.code, opening + 1, b.close[opening]):
-                rows.append(row("model_field", m["name"], "optional" if m["opt"] else "required", b.line(m.start("name")), owner=r[1], detail=m["type"].strip()))
-    for m in re.finditer(r'"((?:\\.|[^"\\\n])*)"|\'((?:\\.|[^\'\\\n])*)\'', text):
-        value = m[1] if m[1] is not None else m[2]
-        rows.append(literal(value, at(m), owner(at(m))))
-    return rows
-
-
-_KOTLIN = [
-    ("class", re.compile(r"(?:(?:public|private|internal|protected|open|abstract|sealed|data|enum|annotation|inner|value)\s+)*\bclass\s+(?P<name>\w+)")),
-    ("interface", re.compile(r"(?:(?:public|private|internal|sealed|fun)\s+)*\binterface\s+(?P<name>\w+)")),
-    ("object", re.compile(r"(?:(?:public|private|internal|companion|data)\s+)*\bobject\s+(?P<name>\w+)")),
-    ("fun", re.compile(r"(?:(?:public|private|internal|protected|open|override|abstract|suspend|inline|operator|infix|tailrec)\s+)*\bfun\s+(?:<[^>]*>\s*)?(?:[\w.<>?]+\.)?(?P<name>\w+)\s*(?=\()")),
-    ("property", re.compile(r"^(?:(?:public|private|internal|const|lateinit|override)\s+)*(?:val|var)\s+(?P<name>\w+)", re.M)),
-]
-_JAVA = [
-    ("class", re.compile(r"(?:(?:public|private|protected|static|final|abstract|sealed)\s+)*\bclass\s+(?P<name>\w+)")),
-    ("interface", re.compile(r"(?:(?:public|private|protected|static|sealed)\s+)*\binterface\s+(?P<name>\w+)")),
-    ("enum", re.compile(r"(?:(?:public|private|protected|static)\s+)*\benum\s+(?P<name>\w+)")),
-    ("record", re.compile(r"(?:(?:public|private|protected|static|final)\s+)*\brecord\s+(?P<name>\w+)\s*(?=\()")),
-    ("method", re.compile(r"^[ \t]+(?:(?:public|private|protected|static|final|abstract|synchronized|native|default)\s+)*(?:<[^>]*>\s*)?(?!return\b|new\b|throw\b|else\b)[\w.<>\[\],? ]+?\s+(?P<name>\w+)\s*\([^;{}()]*\)\s*(?:throws\s+[\w., ]+)?(?=[{;])", re.M)),
-]
-_RUST = [
-    ("struct", re.compile(r"(?:\bpub(?:\([^)]*\))?\s+)?\bstruct\s+(?P<name>\w+)")),
-    ("enum", re.compile(r"(?:\bpub(?:\([^)]*\))?\s+)?\benum\s+(?P<name>\w+)")),
-    ("trait", re.compile(r"(?:\bpub(?:\([^)]*\))?\s+)?(?:unsafe\s+)?\btrait\s+(?P<name>\w+)")),
-    ("impl", re.compile(r"\bimpl\b(?:<[^>{]*>)?\s+(?:[\w:<>, ]+\s+for\s+)?(?P<name>\w+)")),
-    ("function", re.compile(r"(?:\bpub(?:\([^)]*\))?\s+)?(?:(?:const|async|unsafe)\s+)*\bfn\s+(?P<name>\w+)")),
-    ("module", re.compile(r"(?:\bpub(?:\([^)]*\))?\s+)?\bmod\s+(?P<name>\w+)")),
-    ("const", re.compile(r"(?:\bpub(?:\([^)]*\))?\s+)?\b(?:const|static)\s+(?:mut\s+)?(?P<name>[A-Z_][A-Z0-9_]*)\s*:")),
-]
-
-
-def _lexical(patterns, imports: re.Pattern, exported: Callable[[str], bool], suffix: str = ""):
-    def extract(path: str, text: str) -> list[Row]:
-        del path
-        b = _Braces(text)
-        rows = _declarations(b, patterns, exported)
-        for m in imports.finditer(b.code):
-            rows.append(row("import", m["name"] + suffix, "wildcard" if m["name"].endswith("*") else "named", b.line(m.start()), detail=(m.groupdict().get("alias") or "")))
-        for m in _CALL.finditer(b.code):
-            before = b.code[max(0, m.start() - 8) : m.start()]
-            if m["name"].split(".")[0] not in _WORDS and not re.search(r"\b(?:fun|fn|new|class|record)\s+$", before):
-                rows.append(row("call", m["name"], "call", b.line(m.start())))
-        return rows
-
-    return extract
-
-
-extract_kotlin = _lexical(_KOTLIN, re.compile(r"^\s*import\s+(?P<name>\w+(?:\.\w+)*(?:\.\*)?)(?:\s+as\s+(?P<alias>\w+))?", re.M), lambda h: not re.match(r"private|internal", h))
-extract_java = _lexical(_JAVA, re.compile(r"^\s*import\s+(?:static\s+)?(?P<name>\w+(?:\.\w+)*(?:\.\*)?)\s*;", re.M), lambda h: h.startswith("public"))
-_rust_items = _lexical(_RUST, re.compile(r"^(?!)(?P<name>x)"), lambda h: h.startswith("pub"))
-
-
-def extract_rust(path: str, text: str) -> list[Row]:
-    rows = _rust_items(path, text)
-    b = _Braces(text)
-    for m in re.finditer(r"\buse\s+(?P<tree>[^;]+);", b.code):
-        for name in use_paths(re.sub(r"\s+", " ", m["tree"].strip())):
-            rows.append(row("import", name, "wildcard" if name.endswith("*") else "use", b.line(m.start())))
-    return rows
-
-
-def use_paths(tree: str) -> list[str]:
-    """The paths of a Rust use tree."""
-    tree = tree.strip()
-    at = tree.find("{")
-    if at < 0:
-        return [re.sub(r"\s+as\s+\w+$", "", tree)] if tree else []
-    prefix, body = tree[:at], tree[at + 1 : tree.rfind("}")]
-    parts, depth, last = [], 0, 0
-    for i, c in enumerate(body):
-        depth += (c == "{") - (c == "}")
-        if c == "," and not depth:
-            parts.append(body[last:i])
-            last = i + 1
-    parts.append(body[last:])
-    return [prefix + p for part in parts for p in use_paths(part)]
-
-
 # project files
 def extract_xml(path: str, text: str) -> list[Row]:
     """Android manifests, resources and navigation graphs: elements with a name or id."""
@@ -423,8 +182,10 @@ for _ext, _fn in (
     register_extractor(_ext, _fn)
 
 
-def extract_files(files: DataFrame, keys: list[str], path: str = "path", content: str = "content") -> DataFrame:
-    """One row for each fact: the key columns, the path and the fields of OUT.
+def extract_files(files: DataFrame, keys: list[str], path: str = "path", content: str = "content", records: tuple[str, ...] = (), number: str = "") -> DataFrame:
+    """One row for each fact: the key columns, the path and the fields of OUT; only the named records, if any are named.
+
+    `number` names one more column, the place of a fact among those of its file: equal files give equal rows.
 
     One pass without a shuffle. Null contents and files of other extensions give no rows; a file that an extractor
     cannot read gives a `warning`.
@@ -433,21 +194,28 @@ def extract_files(files: DataFrame, keys: list[str], path: str = "path", content
     known = F.array(*[F.lit(x) for x in registry])
     picked = files.filter(F.col(content).isNotNull() & F.array_contains(known, extension(F.col(path)))).select(*keys, F.col(path).alias("path"), F.col(content).alias("content"))
     shape = picked.drop("content").schema
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in shape) + ", " + OUT
+    wanted = frozenset(records)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in shape) + ", " + OUT + (f", `{number}` int" if number else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = {"line": pa.int32(), "end_line": pa.int32(), "exported": pa.bool_()}
         for b in batches:
             take: list[int] = []
+            place: list[int] = []
             cells: list[list] = [[] for _ in FIELDS]
             for i, (p, text) in enumerate(zip(b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist())):
                 ext = re.search(r"(\.[^./]+)$", p)
-                for r in registry[ext.group(1).lower()](p, text):
+                for n, r in enumerate(registry[ext.group(1).lower()](p, text)):
+                    if wanted and r[0] not in wanted:
+                        continue
                     take.append(i)
+                    place.append(n)
                     for c, v in zip(cells, r):
                         c.append(v)
             picked_rows = [c.take(pa.array(take, pa.int64())) for c in b.columns[:-1]]
             facts = [pa.array(c, types.get(f, pa.string())) for f, c in zip(FIELDS, cells)]
-            yield pa.RecordBatch.from_arrays([*picked_rows, *facts], names=[*b.schema.names[:-1], *FIELDS])
+            if number:
+                facts.append(pa.array(place, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*picked_rows, *facts], names=[*b.schema.names[:-1], *FIELDS, *([number] if number else [])])
 
     return picked.mapInArrow(run, schema)

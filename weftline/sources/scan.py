@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from weftline.functions.text import extension
 
-# fixed values: folders that are never source, and the languages of extensions
-IGNORED_FOLDERS = (".git", ".hg", ".svn", "node_modules", "dist", "build", "out", "coverage", ".next", ".cache", "target", "vendor", "__pycache__", ".venv", "venv", ".gradle", ".idea")
+# fixed values: folders that are never source, and the languages of extensions. A tool's own output folders are `excludes`
+IGNORED_FOLDERS = ("node_modules", "target", ".next", "dist", "build", "coverage", "playwright-report", "test-results", "output", "out", ".cache", ".turbo", ".vercel", ".git", ".pytest_cache", "__pycache__", ".venv", "venv", ".gradle")
 LANGUAGES = {".ts": "typescript", ".tsx": "typescript", ".mts": "typescript", ".cts": "typescript", ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".cjs": "javascript", ".py": "python", ".kt": "kotlin", ".kts": "kotlin", ".java": "java", ".rs": "rust"}
 SAMPLES, LARGEST = 20, 10
 
@@ -49,7 +49,8 @@ def scan(spark: SparkSession, root: str, excludes: Sequence[str] = ()) -> DataFr
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     where = F.regexp_replace(F.col("path"), "^file:/+", "/")
     base = root.removeprefix("file://").rstrip("/") + "/"
-    rel = F.when(F.instr(where, base) > 0, F.expr(f"substring(regexp_replace(path, '^file:/+', '/'), instr(regexp_replace(path, '^file:/+', '/'), '{base}') + {len(base)})")).otherwise(where)
+    at = F.instr(where, F.lit(base))
+    rel = F.when(at > 0, F.substring(where, at + len(base), F.length(where))).otherwise(where)
     return ledger(raw.select(rel.alias("rel_path"), "content", F.col("length").alias("size_bytes")), excludes)
 
 
