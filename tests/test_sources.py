@@ -284,3 +284,47 @@ macro_rules! mac { () => { fn no() {} } }
     assert names(rs, "module") == [("filed",)] and names(rs, "import", "kind", "detail") == [("a::b", "use", "c"), ("a::d::*", "wildcard", "")]
     assert ("crate::a::go", "must") in names(rs, "call", "owner") and ("Self::q", "n") in names(rs, "call", "owner")
     assert {("x", "P"), ("y", "P"), ("A", "E"), ("B", "E")} <= set(names(rs, "model_field", "owner"))
+
+
+def test_lineage_of_a_script():
+    text = """export interface User { name: string; age: number }
+const user: User = load();
+export function toView(u: User, n: number) { const x = 1; return { title: u.name, n, [k]: u.age, deep: u.a.b, years: u.age }; }
+const card = ({ title, sub: s }: Props) => <div>{title}</div>;
+function Card({ title, sub: s }: Props) { return <div>{title}</div>; }
+export const Row = (props: P) => (<b>{props.label}{props.other.x}</b>);
+const vm = { label: user.name, other: other.name };
+const made = toView(user, 1);
+const page = <Card title={made.title} sub={user.age} other={nothing.x}><Row label={vm.label} /></Card>;
+"""
+    got = {(r[2], r[1], r[6], r[7]) for r in facts("a.tsx", text) if r[0] == "lineage"}
+    assert got == {
+        ("alias", "User", "user", ""), ("output", "User.name", "toView", "title"), ("output", "User.age", "toView", "years"), ("unsupported", "", "toView", ""),
+        ("component", "", "Card", ""), ("rendered", "title", "Card", ""), ("rendered", "sub", "Card", ""), ("component", "", "Row", ""), ("rendered", "label", "Row", ""),
+        ("object", "user.name", "vm", "label"), ("object", "other.name", "vm", "other"), ("derived", "toView", "made", ""), ("used", "", "Card", ""), ("used", "", "Row", ""),
+        ("pass", "made.title", "Card", "title"), ("pass", "user.age", "Card", "sub"), ("pass", "nothing.x", "Card", "other"), ("pass", "vm.label", "Row", "label"),
+    }
+
+
+def test_lineage_graph(spark):
+    from weftline.operators import lineage
+
+    text = """interface User { name: string; age: number }
+const user: User = load();
+function toView(u: User) { return { title: u.name }; }
+function Card({ title }: Props) { return <b>{title}</b>; }
+const made = toView(user);
+const page = <Card title={made.title} years={user.age} />;
+"""
+    df = X.extract_files(spark.createDataFrame([("p.tsx", text), ("p.tsx", text), ("q.ts", "interface Other { name: string }\n")], "path string, content string"), [])
+    nodes, edges = lineage.build(df, lineage.models_of(df))
+    short = lambda s: s.replace("lineage:", "").replace("p.tsx#", "")
+    assert {(r.kind, short(r.source), short(r.target)) for r in edges.collect()} == {
+        ("reads-field", "data-field:User.name", "transformation:toView"), ("creates-view-model", "transformation:toView", "view-model:toView.title"),
+        ("derives-field", "view-model:toView.title", "view-model:made.title"), ("passes-prop", "view-model:made.title", "component-prop:Card.title"),
+        ("passes-prop", "data-field:User.age", "component-prop:Card.years"), ("renders-field", "component-prop:Card.title", "rendered-field:Card.title"),
+    }
+    by = {short(r.id): r for r in nodes.collect()}
+    assert by["component:Card"].confidence == "explicit" and by["component-prop:Card.title"].entity == "User" and "data-field:Other.name" in by
+    empty = lineage.build(df.limit(0), lineage.models_of(df.limit(0)))
+    assert empty[0].count() == empty[1].count() == 0

@@ -118,3 +118,20 @@ def is_generated_path(p: Column) -> Column:
 
 def is_docs_path(p: Column) -> Column:
     return p.rlike(r"(?i)(^|/)docs?/|\.mdx?$|(^|/)readme[^/]*$")
+
+
+def term_kinds(word: Column) -> Column:
+    """term_kind() for a column."""
+    whole = lambda pattern: word.rlike(f"^(?:{pattern})$")
+    return (
+        F.when(whole(r"/[\w\-:/{}\[\].*]*"), "route").when(whole(r"[\w.\-]+(?:/[\w.\-]+)+|[\w\-]+\.(?:tsx?|jsx?|py|kt|java|rs|json|md)"), "path")
+        .when(whole(r"--?[a-z][\w\-]*"), "command").when(whole(r"[\w\-]+\.(?:ya?ml|toml|xml|dot|svg|png)"), "artifact")
+        .when(word.rlike(r"[a-z0-9][A-Z]|_|\w\.\w|\(\)$"), "symbol").otherwise("word")
+    )
+
+
+def without_connectors_column(query: Column) -> Column:
+    """without_connectors() for a column."""
+    parts = F.regexp_extract_all(query, F.lit(r'("[^"]*"|\S+)'), F.lit(1))
+    kept = F.array_join(F.filter(parts, lambda p: ~p.isin(*CONNECTORS)), " ")
+    return F.when((F.size(parts) < 2) | (kept == ""), query).otherwise(kept)

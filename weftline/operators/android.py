@@ -124,3 +124,28 @@ def dependency_edges(classes: DataFrame, imports: DataFrame, files: DataFrame) -
     w = Window.partitionBy("source", "kind", "type")
     best = every.withColumn("best", F.min("tier").over(w)).filter("tier = best").withColumn("candidate", F.count("*").over(w) > 1)
     return best.select("source", "target", "kind", "candidate").distinct().withColumn("id", edge_id(F.col("source"), F.col("kind"), F.col("target")))
+
+
+def gradle_edges(facts: DataFrame) -> DataFrame:
+    """(source, target, kind, status): settings files to the modules they include, modules to what they depend on.
+
+    `facts` are those of Gradle files: `dependency` with kind include, project or a configuration. A module is named by
+    the folder of its settings file and its path; the nearest settings file above a build file is that of its project.
+    """
+    dep = facts.filter(F.col("record") == "dependency").select("path", "name", "kind").distinct()
+    folder = F.regexp_replace("path", r"/?[^/]*$", "")
+    included = dep.filter("kind = 'include'").select(folder.alias("root"), "path", F.regexp_replace("name", "^:", "").alias("module"))
+    node = lambda root, module: F.concat(F.lit("gradle-module:"), root, F.lit(":"), module)
+    a = included.select(F.concat(F.lit("file:"), "path").alias("source"), node(F.col("root"), F.col("module")).alias("target"), F.lit("project-includes-module").alias("kind"), F.lit("resolved").alias("status"))
+    # a build file's own folder and those above it, each a candidate for the project's root
+    parts = F.split(folder, "/")
+    build = dep.filter("kind <> 'include' and kind <> 'id'").withColumn("_p", parts)
+    above = build.select("path", "name", "kind", F.explode(F.sequence(F.lit(0), F.size("_p"))).alias("n"), "_p")
+    tried = above.select("path", "name", "kind", F.array_join(F.slice("_p", 1, F.col("n")), "/").alias("root"), F.array_join(F.slice("_p", F.col("n") + 1, F.size("_p")), ":").alias("module"))
+    roots = included.select("root").distinct()
+    near = tried.join(roots, "root").groupBy("path", "name", "kind").agg(F.max_by(F.struct("root", "module"), F.length("root")).alias("r")).select("name", "kind", "r.*")
+    known = included.select("root", F.col("module").alias("to"), F.lit(True).alias("there")).distinct()
+    own = near.filter("kind = 'project'").withColumn("to", F.regexp_replace("name", "^:", "")).join(known, ["root", "to"], "left")
+    b = own.select(node(F.col("root"), F.col("module")).alias("source"), node(F.col("root"), F.col("to")).alias("target"), F.lit("module-depends-on-module").alias("kind"), F.when(F.col("there"), "resolved").otherwise("unresolved").alias("status"))
+    c = near.filter("kind <> 'project'").select(node(F.col("root"), F.col("module")).alias("source"), F.concat(F.lit("gradle-artifact:"), "name").alias("target"), F.lit("module-depends-on-artifact").alias("kind"), F.lit("external").alias("status"))
+    return a.unionByName(b).unionByName(c).distinct()

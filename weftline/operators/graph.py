@@ -211,3 +211,13 @@ def dot_lines(nodes: DataFrame, edges: DataFrame, name: str = "graph") -> DataFr
                      F.concat(F.lit("  "), quote(F.col("source")), F.lit(" -> "), quote(F.col("target")), F.lit(" [label="), quote(F.col("kind")), F.lit("];")))
     head = nodes.sparkSession.createDataFrame([(0, "", "", f"digraph {name} {{"), (3, "", "", "}")], n.schema)
     return head.union(n).union(e).orderBy("part", "a", "b", "line").select("line")
+
+
+def enrich(nodes: DataFrame, edges: DataFrame, more_nodes: DataFrame, more_edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A graph with the nodes and edges of another source appended: of one id the graph's own row holds.
+
+    Columns that one side lacks are null there. Edges to nodes that neither side has are kept: see dangling().
+    """
+    a = more_nodes.join(nodes.select("id"), "id", "left_anti").dropDuplicates(["id"])
+    b = more_edges.join(edges.select("id"), "id", "left_anti").dropDuplicates(["id"])
+    return nodes.unionByName(a, allowMissingColumns=True), edges.unionByName(b, allowMissingColumns=True)

@@ -12,14 +12,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import text as X
-from weftline.operators import bundle, context, diff, exact_scan, graph, resolve, rules, text_search
+from weftline.operators import bundle, calls, context, diff, exact_scan, graph, resolve, rules, text_search
 from weftline.session import materialize, ship
 from weftline.sources import extract, scan
 from weftline.sources.artifacts import ArtifactStore
 
 VERSION = "1"
-CALLABLE = ("function", "fun", "method")
-MODEL_KINDS = ("interface", "orm")
+CALLABLE = ("function", "fun", "method", "constructor")
+MODEL_KINDS = ("interface", "type", "orm")
 
 
 def symbol_ids(facts: DataFrame) -> DataFrame:
@@ -82,14 +82,14 @@ def build_graph(files: DataFrame, symbols: DataFrame, imports: DataFrame, facts:
     dep = F.when(F.col("kind").isin("re-export", "export-all"), F.col("kind")).otherwise("import")
     deps = imports.filter((F.col("status") == "resolved") & (F.col("target") != F.col("importer")))
     files_on = graph.primary_kind(deps.select(node("importer").alias("source"), node("target").alias("target"), dep.alias("dep")))
-    # a callee is a symbol of the file, or of a file it imports; several matches are dropped
-    calls = facts.filter((F.col("record") == "call") & (F.col("owner") != "")).select("path", F.substring_index("owner", ".", -1).alias("caller"), F.substring_index("name", ".", -1).alias("callee"), "line")
-    able = symbols.filter(F.col("kind").isin(*CALLABLE))
-    local = able.select("path", F.col("name").alias("callee"), "node_id")
-    far = deps.select(F.col("importer").alias("path"), F.col("target").alias("at")).distinct().join(able.filter("exported").select(F.col("path").alias("at"), F.col("name").alias("callee"), "node_id"), "at").select("path", "callee", "node_id")
-    callee = local.unionByName(far).groupBy("path", "callee").agg(F.count_distinct("node_id").alias("n"), F.min("node_id").alias("target")).filter("n = 1")
-    caller = able.groupBy("path", F.col("name").alias("caller")).agg(F.count("*").alias("m"), F.min("node_id").alias("source")).filter("m = 1")
-    called = calls.join(callee, ["path", "callee"]).join(caller, ["path", "caller"]).select("source", F.lit("calls").alias("kind"), "target", "line").distinct()
+    # a callee is what an import binding says, in other languages than scripts a symbol of the file; see calls.edges()
+    able = symbols.filter(F.col("kind").isin(*CALLABLE, "const", "class"))
+    whole = facts.withColumn("repo", F.lit(""))
+    met = calls.edges(whole, files.select(F.lit("").alias("repo"), "path")).filter(F.col("target").isNotNull())
+    callee = able.groupBy(F.col("path").alias("target"), F.col("name").alias("symbol"), F.col("line").alias("symbol_line")).agg(F.count("*").alias("n"), F.min("node_id").alias("to")).filter("n = 1").drop("n")
+    caller = able.groupBy("path", F.col("name").alias("caller")).agg(F.count("*").alias("m"), F.min("node_id").alias("source")).filter("m = 1").drop("m")
+    met = met.withColumn("caller", F.substring_index("caller", ".", -1))
+    called = met.join(callee, ["target", "symbol", "symbol_line"]).join(caller, ["path", "caller"]).select("source", F.lit("calls").alias("kind"), F.col("to").alias("target"), F.col("call_line").alias("line")).distinct()
     called = called.withColumn("id", graph.edge_id(F.col("source"), F.col("kind"), F.col("target"), F.col("line"))).drop("line")
     edges = owned.unionByName(files_on).unionByName(called)
     return nodes, rules.first_of(edges, ["id"], ["kind"])
@@ -131,6 +131,12 @@ class CodeIndex:
         self._publish(led, extract.extract_files(supported, [], "rel_path", "text"))
         return self
 
+    def build_from(self, files: DataFrame) -> "CodeIndex":
+        """Index files that are rows: (rel_path, content as bytes, size_bytes)."""
+        led = materialize(self.spark, scan.ledger(files), "ledger")
+        self._publish(led, extract.extract_files(led.filter(F.col("status") == "supported"), [], "rel_path", "text"))
+        return self
+
     def refresh(self, root: str, excludes: Sequence[str] = ()) -> DataFrame:
         """Index again, extracting only files whose content changed. Gives (path, class) of what differs."""
         led = self._ledger(root, excludes)

@@ -19,11 +19,16 @@ from pyspark.sql import functions as F
 from weftline.functions.text import extension
 from weftline.sources.braces_facts import extract_java, extract_kotlin, extract_rust
 from weftline.sources.rows import FIELDS, LITERAL_CAP, OUT, Row, literal, row
+from weftline.sources.lineage_facts import extract_lineage
 from weftline.sources.script_facts import extract_script
 
 _registry: dict[str, Callable[[str, str], list[Row]]] = {}
 
 
+def _script(path: str, text: str) -> list[Row]:
+    return extract_script(path, text) + extract_lineage(path, text)
+
+
 def register_extractor(ext: str, function: Callable[[str, str], list[Row]]) -> None:
     """Use `function` for files with this extension; the first registration of an extension wins."""
     _registry.setdefault(ext.lower(), function)
@@ -166,17 +171,39 @@ def extract_toml(path: str, text: str) -> list[Row]:
     return rows
 
 
-_GRADLE = re.compile(r"""^\s*(?P<kind>implementation|api|testImplementation|androidTestImplementation|kapt|ksp|id|include)\s*\(?\s*["'](?P<name>[^"']+)["']""", re.M)
+_GRADLE_CALL = re.compile(r"""\b(?P<kind>implementation|api|compileOnly|runtimeOnly|testImplementation|androidTestImplementation|debugImplementation|kapt|ksp|id|include)\b\s*\(?\s*(?=["']|project|platform)""")
+_GRADLE_PROJECT = re.compile(r"""project\s*\(\s*(?:path\s*[:=]\s*)?["'](?P<name>[^"']+)["']""")
+_GRADLE_TEXT = re.compile(r"""["'](?P<name>[^"']+)["']""")
 
 
 def extract_gradle(path: str, text: str) -> list[Row]:
+    """Plugins, included modules and dependencies of Gradle files, several to a line or over lines; comments are blank.
+
+    A dependency on a module of the project has the kind `project`, its configuration as detail.
+    """
     del path
-    return [row("dependency", m["name"], m["kind"], text.count("\n", 0, m.start("kind")) + 1) for m in _GRADLE.finditer(text)]
+    code = re.sub(r"//[^\n]*|/\*[\s\S]*?\*/", lambda m: re.sub(r"[^\n]", " ", m.group()), text) if "//" in text or "/*" in text else text
+    rows = []
+    for m in _GRADLE_CALL.finditer(code):
+        kind, line = m["kind"], code.count("\n", 0, m.start()) + 1
+        project = _GRADLE_PROJECT.match(code, m.end())
+        if project:
+            rows.append(row("dependency", project["name"], "project", line, detail=kind))
+            continue
+        inner = re.compile(r"platform\s*\(\s*").match(code, m.end())
+        at = inner.end() if inner else m.end()
+        while found := _GRADLE_TEXT.match(code, at):
+            rows.append(row("dependency", found["name"], kind, line))
+            more = re.compile(r"\s*,\s*").match(code, found.end()) if kind == "include" else None
+            if not more:
+                break
+            at = more.end()
+    return rows
 
 
 for _ext, _fn in (
-    (".py", extract_python), (".ts", extract_script), (".tsx", extract_script), (".js", extract_script), (".jsx", extract_script),
-    (".mjs", extract_script), (".cjs", extract_script), (".mts", extract_script), (".kt", extract_kotlin), (".java", extract_java),
+    (".py", extract_python), (".ts", _script), (".tsx", _script), (".js", _script), (".jsx", _script),
+    (".mjs", _script), (".cjs", _script), (".mts", _script), (".kt", extract_kotlin), (".java", extract_java),
     (".rs", extract_rust), (".xml", extract_xml), (".toml", extract_toml), (".gradle", extract_gradle), (".kts", extract_gradle),
 ):
     register_extractor(_ext, _fn)
@@ -191,6 +218,10 @@ def extract_files(files: DataFrame, keys: list[str], path: str = "path", content
     cannot read gives a `warning`.
     """
     registry = dict(_registry)
+    if records and "lineage" not in records:
+        registry = {e: extract_script if f is _script else f for e, f in registry.items()}
+    elif set(records) == {"lineage"}:
+        registry = {e: extract_lineage for e, f in registry.items() if f is _script}
     known = F.array(*[F.lit(x) for x in registry])
     picked = files.filter(F.col(content).isNotNull() & F.array_contains(known, extension(F.col(path)))).select(*keys, F.col(path).alias("path"), F.col(content).alias("content"))
     shape = picked.drop("content").schema
