@@ -63,8 +63,15 @@ def lex(text: str) -> Tokens:
                 kind = s if s in RESERVED else "id"
             elif kind == "op":
                 kind = s
-            elif kind == "num" and e < n and (text[e].isalnum() or text[e] == "_"):
-                t.faults.append((i, "bad number"))
+            elif kind == "num":
+                if e < n and (text[e].isalnum() or text[e] == "_"):
+                    t.faults.append((i, "bad number"))
+                elif s.replace("_", "").isdigit():
+                    digits = s.replace("_", "")
+                    if digits[0] == "0" and len(digits) > 1 and ("8" in digits or "9" in digits):
+                        t.faults.append((i, "bad number"))
+                    elif digits[0] != "0" and (len(digits) > 10 or int(digits) > 2147483648):
+                        t.faults.append((i, "number too large"))
             elif kind == "text":
                 kind = "str"
             add(kind, i, e, nl)
@@ -87,6 +94,14 @@ class Java(Parser):
     def __init__(self, tokens: Tokens, text: str):
         super().__init__(tokens)
         self.x = text
+        self.types: list[str] = []
+        self.seen = 0
+
+    def attempt(self, rule) -> bool:
+        held = len(self.types)
+        done = super().attempt(rule)
+        del self.types[held:]
+        return done
 
     def word(self, i: int = 0) -> str:
         j = self.p + i
@@ -101,10 +116,17 @@ class Java(Parser):
         p = self.p
         self.modifiers()
         if self.eat("package"):
+            if self.seen:
+                self.fail("a package declaration comes first")
+            self.seen = 1
             self.qualified()
             self.need(";")
             return
-        if p == self.p and self.eat("import"):
+        if p == self.p and self.at("import"):
+            if self.seen == 2:
+                self.fail("imports come before types")
+            self.seen = 1
+            self.p += 1
             self.eat("static")
             self.name()
             while self.eat("."):
@@ -121,6 +143,7 @@ class Java(Parser):
             self.balanced()
             return
         self.p = p
+        self.seen = 2
         self.type_declaration()
 
     def qualified(self) -> None:
@@ -180,13 +203,14 @@ class Java(Parser):
     def type_declaration(self) -> None:
         self.modifiers()
         if self.eat("class"):
+            name = self.word()
             self.name()
             self.type_parameters()
             if self.eat("extends"):
                 self.type()
             self.type_list("implements")
             self.permits()
-            self.class_body()
+            self.class_body(name)
         elif self.at("interface") or self.at("@"):
             if self.eat("@"):
                 pass
@@ -197,17 +221,19 @@ class Java(Parser):
             self.permits()
             self.class_body()
         elif self.eat("enum"):
+            name = self.word()
             self.name()
             self.type_list("implements")
-            self.enum_body()
+            self.enum_body(name)
         elif self.word() == "record":
             self.p += 1
+            name = self.word()
             self.name()
             self.type_parameters()
             self.need("(")
             self.listed(self.parameter, ")", trailing=False)
             self.type_list("implements")
-            self.class_body()
+            self.class_body(name)
         else:
             self.fail("expected a type declaration")
 
@@ -224,7 +250,7 @@ class Java(Parser):
             while self.eat(","):
                 self.type()
 
-    def enum_body(self) -> None:
+    def enum_body(self, name: str) -> None:
         self.need("{")
         while not self.at("}", ";"):
             while self.at("@"):
@@ -237,14 +263,20 @@ class Java(Parser):
             if not self.eat(","):
                 break
         if self.eat(";"):
-            self.statements(self.member, "}")
+            self.members(name)
         self.need("}")
 
-    def class_body(self) -> None:
+    def class_body(self, name: str = "") -> None:
+        """Members of a type; without a name it has no constructors."""
         self.need("{")
-        self.statements(self.member, "}")
+        self.members(name)
         self.need("}")
 
+    def members(self, name: str) -> None:
+        self.types.append(name)
+        self.statements(self.member, "}")
+        self.types.pop()
+
     def member(self) -> None:
         if self.eat(";"):
             return
@@ -262,6 +294,8 @@ class Java(Parser):
         while self.at("@"):
             self.annotation()
         if self.at("id") and self.peek() in ("(", "{"):  # constructor
+            if self.word() != self.types[-1]:
+                self.fail("a method without a return type")
             self.p += 1
             if self.at("("):
                 self.method_rest()
@@ -383,6 +417,21 @@ class Java(Parser):
         if not self.at("=", ";", ",", ":", "["):
             self.fail("no declaration")
 
+    def embedded(self) -> None:
+        """A statement where a declaration may not stand."""
+        k = self.k[self.p]
+        typed = k in ("id", "@", "final") or k in PRIMITIVE
+        if k in ("class", "interface", "enum", "abstract", "static", "final", "@") or self.class_ahead() or (typed and self.peek() != ":" and self.declares()):
+            self.fail("a declaration may not stand here")
+        self.statement()
+
+    def declares(self) -> bool:
+        """A local variable begins here."""
+        p = self.p
+        done = self.attempt(self.local) and self.at("=", ";", ",", ":", "[")
+        self.p = p
+        return done
+
     def statement(self) -> None:
         k = self.k[self.p]
         if k == "{":
@@ -392,16 +441,16 @@ class Java(Parser):
         elif k == "if":
             self.p += 1
             self.condition()
-            self.statement()
+            self.embedded()
             if self.eat("else"):
-                self.statement()
+                self.embedded()
         elif k == "while":
             self.p += 1
             self.condition()
-            self.statement()
+            self.embedded()
         elif k == "do":
             self.p += 1
-            self.statement()
+            self.embedded()
             self.need("while")
             self.condition()
             self.need(";")
@@ -476,7 +525,7 @@ class Java(Parser):
                 if self.eat(":"):
                     self.expression()
                     self.need(")")
-                    self.statement()
+                    self.embedded()
                     return
                 self.declarators()
             else:
@@ -492,7 +541,7 @@ class Java(Parser):
             while self.eat(","):
                 self.expression()
         self.need(")")
-        self.statement()
+        self.embedded()
 
     def try_(self) -> None:
         self.p += 1

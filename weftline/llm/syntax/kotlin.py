@@ -93,7 +93,7 @@ class Lexer:
                         return
                     if stack:
                         stack.pop()
-            elif kind == "num" and e < n and (x[e].isalnum() or x[e] == "_"):
+            elif kind == "num" and (e < n and (x[e].isalnum() or x[e] == "_") or s[0] == "0" and len(s) > 1 and s.replace("_", "").isdigit()):
                 t.faults.append((i, "bad number"))
             t.add(kind, i, e, 0)
         if embedded:
@@ -210,6 +210,11 @@ class Kotlin(Parser):
         except Fault as f:
             self.recover(f, p, ())
 
+    def declaration_end(self) -> None:
+        """After a declaration of a file or class; one with a body needs no separator."""
+        if self.k[self.p - 1] != "}" or self.at("NL", ";"):
+            self.end()
+
     def package(self) -> None:
         self.need("package")
         self.dotted()
@@ -246,7 +251,7 @@ class Kotlin(Parser):
             self.end()
             return
         self.declaration()
-        self.end()
+        self.declaration_end()
 
     def modifiers(self) -> None:
         while True:
@@ -300,8 +305,10 @@ class Kotlin(Parser):
         if k in ("class", "interface"):
             self.class_()
         elif k == "object":
+            companion = self.word(-1) == "companion"
             self.p += 1
-            self.eat("id")
+            if not self.eat("id") and not companion:
+                self.fail("expected a name")
             self.supertypes()
             self.optional_body()
         elif k == "fun":
@@ -471,7 +478,7 @@ class Kotlin(Parser):
             return
         self.p = p
         self.declaration()
-        self.end()
+        self.declaration_end()
 
     def function(self) -> None:
         self.need("fun")

@@ -195,8 +195,8 @@ class Rust(Parser):
             self.eat("mut")
             self.name()
             self.generics()
-            if self.eat(":"):
-                self.type()
+            self.need(":")
+            self.type()
             if self.eat("="):
                 self.expression()
             self.need(";")
@@ -866,6 +866,8 @@ class Rust(Parser):
                 self.p += 1
                 if self.starts_expression():
                     self.binary(3)
+                if self.at("..", "..="):
+                    self.fail("ranges cannot be chained")
                 continue
             level = BINARY.get(k, 0)
             step = 1
@@ -907,7 +909,10 @@ class Rust(Parser):
                 self.p += 1
                 if self.eat("await"):
                     continue
-                if self.eat("num"):
+                if self.at("num"):
+                    if self.x[self.t.end[self.p] - 1] == ".":
+                        self.fail("expected a field")
+                    self.p += 1
                     continue
                 self.name()
                 if self.at("::"):
@@ -1032,6 +1037,8 @@ class Rust(Parser):
             if self.eat(".."):
                 if not self.at("}"):
                     self.expression()
+                if self.at(","):
+                    self.fail("no comma after the base")
                 return
             if self.eat("num"):
                 self.need(":")

@@ -290,7 +290,14 @@ class Script(Parser):
     def __init__(self, tokens: Tokens, text: str):
         super().__init__(tokens)
         self.x = text
-        self.functions = 0
+        self.functions = self.inside = 0
+
+    def attempt(self, rule) -> bool:
+        held = self.functions, self.inside
+        done = super().attempt(rule)
+        if not done:
+            self.functions, self.inside = held
+        return done
 
     def word(self, i: int = 0) -> str:
         """The text of a name token, else ''."""
@@ -324,9 +331,19 @@ class Script(Parser):
 
     def block(self) -> None:
         self.need("{")
+        self.inside += 1
         self.statements(self.statement, "}")
+        self.inside -= 1
         self.need("}")
 
+    def embedded(self, function: bool = False) -> None:
+        """A statement where a declaration may not stand."""
+        k = self.k[self.p]
+        lexical = self.word() == "let" and (self.peek() == "[" or self.peek() in ("id", "{") and not self.nl[self.p + 1])
+        if k in ("const", "class", "import", "export") and not (k == "import" and self.peek() in ("(", ".")) or lexical or k == "function" and not function:
+            self.fail("a declaration may not stand here")
+        self.statement()
+
     def statement(self) -> None:
         k = self.k[self.p]
         rule = self.RULES.get(k)
@@ -338,7 +355,7 @@ class Script(Parser):
             nxt = self.k[self.p + 1]
             if nxt == ":":
                 self.p += 2
-                self.statement()
+                self.embedded(True)
                 return
             if w == "async" and nxt == "function" and not self.nl[self.p + 1]:
                 self.p += 1
@@ -372,10 +389,13 @@ class Script(Parser):
             self.semi()
         elif w in ("namespace", "module", "global") and nxt in ("id", "str", "{"):
             self.p += 1
+            named = not self.at("str")
             while self.at("id", "str", "."):
                 self.p += 1
-            if self.at("{"):
+            if self.at("{") or named:
+                held, self.inside = self.inside, -1  # its statements are those of a module
                 self.block()
+                self.inside = held
             else:
                 self.semi()
         elif w == "declare" and (nxt in ("id", "class", "function", "const", "var", "enum", "import", "export")):
@@ -396,18 +416,18 @@ class Script(Parser):
     def if_(self) -> None:
         self.p += 1
         self.condition()
-        self.statement()
+        self.embedded(True)
         if self.eat("else"):
-            self.statement()
+            self.embedded(True)
 
     def while_(self) -> None:
         self.p += 1
         self.condition()
-        self.statement()
+        self.embedded()
 
     def do_(self) -> None:
         self.p += 1
-        self.statement()
+        self.embedded()
         self.need("while")
         self.condition()
         self.eat(";")
@@ -423,10 +443,11 @@ class Script(Parser):
             else:
                 self.expression(no_in=True)
             if self.at("in") or self.word() == "of":
+                once = self.word() == "of"
                 self.p += 1
-                self.expression()
+                self.assignment() if once else self.expression()
                 self.need(")")
-                self.statement()
+                self.embedded()
                 return
         self.need(";")
         if not self.at(";"):
@@ -435,7 +456,7 @@ class Script(Parser):
         if not self.at(")"):
             self.expression()
         self.need(")")
-        self.statement()
+        self.embedded()
 
     def jump(self) -> None:
         self.p += 1
@@ -476,9 +497,11 @@ class Script(Parser):
         self.p += 1
         self.condition()
         self.need("{")
+        default = False
         while not self.eat("}"):
-            if self.eat("default"):
-                pass
+            if self.at("default") and not default:
+                self.p += 1
+                default = True
             else:
                 self.need("case")
                 self.expression()
@@ -537,6 +560,8 @@ class Script(Parser):
             self.expression()
             self.semi()
             return
+        if self.inside > 0:
+            self.fail("an import inside a block")
         self.p += 1
         if self.eat("str"):
             self.import_attributes()
@@ -591,6 +616,8 @@ class Script(Parser):
         self.semi()
 
     def export_(self) -> None:
+        if self.inside > 0:
+            self.fail("an export inside a block")
         self.p += 1
         if self.eat("default"):
             if self.at("function", "class", "@") or (self.word() == "async" and self.peek() == "function"):
@@ -935,6 +962,8 @@ class Script(Parser):
         if k in self.PREFIX:
             self.p += 1
             self.unary()
+            if self.at("**"):
+                self.fail("a sign before a power")
             return OTHER
         if k in ("++", "--"):
             self.p += 1
