@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 
 from weftline.session import materialize
 
-LEVEL_BITS = 12
-LEVELS = 4
+# bits of the place that each level looks at; the last one takes what is left of a bucket of a bucket, place by place
+LEVEL_BITS = (12, 12, 24)
+PLACE_BITS = sum(LEVEL_BITS)
 
 
 def _place():
     """48 bits of hash, 0 to 2^48 - 1."""
-    return F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("mix")), 64 - LEVEL_BITS * LEVELS)
+    return F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("mix")), 64 - PLACE_BITS)
 
 
 def budgets(sizes: DataFrame, targets: DataFrame) -> DataFrame:
@@ -47,14 +48,14 @@ def budgets(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
-def thresholds(sizes: DataFrame, budget: DataFrame) -> DataFrame:
+def thresholds(spark: SparkSession, sizes: DataFrame, budget: DataFrame) -> DataFrame:
     """(mix, source, below): documents of the source with a place under `below` fill the rest of the budget.
 
     At the last level the boundary place is taken too if that comes nearer to the budget than leaving it.
     """
     open_ = budget.filter(F.col("rest") > 0).select("mix", "source", F.col("rest"), F.lit(0).cast("long").alias("prefix"))
-    for level in range(LEVELS):
-        shift = LEVEL_BITS * (LEVELS - 1 - level)
+    for level, bits in enumerate(LEVEL_BITS):
+        shift = sum(LEVEL_BITS[level + 1 :])
         bucket = F.shiftright("place", shift)
         histogram = sizes.groupBy("source", bucket.alias("bucket")).agg(F.sum("n_tokens").alias("tokens"))
         if level == 0:
@@ -62,20 +63,18 @@ def thresholds(sizes: DataFrame, budget: DataFrame) -> DataFrame:
         else:  # only the boundary buckets are looked into
             edge = open_.select("source", "prefix").distinct()
             inner = (
-                sizes.withColumn("prefix", F.shiftright("place", shift + LEVEL_BITS))
+                sizes.withColumn("prefix", F.shiftright("place", shift + bits))
                 .join(edge, ["source", "prefix"])
                 .groupBy("source", "prefix", bucket.alias("bucket"))
                 .agg(F.sum("n_tokens").alias("tokens"))
             )
             bars = open_.join(inner, ["source", "prefix"])
-        run = Window.partitionBy("mix", "source").orderBy("bucket")  # at most 2^12 rows each
+        run = Window.partitionBy("mix", "source").orderBy("bucket")  # at most 2^12 rows each, at the last level the places of one part in 2^24
         upto = bars.withColumn("upto", F.sum("tokens").over(run)).withColumn("before", F.col("upto") - F.col("tokens"))
         boundary = upto.filter((F.col("before") <= F.col("rest")) & (F.col("upto") > F.col("rest")))
-        open_ = boundary.select(
-            "mix", "source", (F.col("rest") - F.col("before")).alias("rest"), F.col("bucket").alias("prefix"), "tokens"
-        )
-        if level < LEVELS - 1:
-            open_ = open_.drop("tokens")
+        edge_of = boundary.select("mix", "source", (F.col("rest") - F.col("before")).alias("rest"), F.col("bucket").alias("prefix"), "tokens")
+        # a row for each mix and source, written so that no level is planned or run twice
+        open_ = materialize(spark, edge_of if shift == 0 else edge_of.drop("tokens"), f"boundary{level}")
     nearer = F.col("tokens") - F.col("rest") < F.col("rest")
     return open_.select("mix", "source", (F.col("prefix") + F.when(nearer, 1).otherwise(0)).alias("below"))
 
@@ -94,7 +93,7 @@ def mix_documents(spark: SparkSession, sizes: DataFrame, targets: DataFrame) ->
     """
     placed = sizes.withColumn("place", _place())
     budget = materialize(spark, budgets(placed, targets), "budget")
-    cut = thresholds(placed.filter(F.col("source").isNotNull()), budget)
+    cut = thresholds(spark, placed.filter(F.col("source").isNotNull()), budget)
     plan = materialize(spark, budget.join(cut, ["mix", "source"], "left"), "plan")
     extra = F.when(F.col("place") < F.col("below"), 1).otherwise(0)
     chosen = (
