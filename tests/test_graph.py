@@ -34,8 +34,12 @@ def test_reach(spark, graph):
 def test_closure_ends_on_cycles(spark, graph):
     _, e = graph
     assert ids(G.closure(spark, e, seed(spark, "a")), "id", "level") == [("a", 0), ("b", 1), ("c", 2), ("d", 3), ("gone", 4)]
-    with pytest.raises(RuntimeError):
-        G.closure(spark, e, seed(spark, "a"), most=1)
+
+
+def test_closure_follows_any_depth(spark):
+    chain = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(18)], "source string, target string")
+    got = G.closure(spark, chain, seed(spark, "n0")).collect()
+    assert sorted(r.level for r in got) == list(range(19))
 
 
 def test_lookup(spark, graph):

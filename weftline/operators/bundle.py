@@ -127,6 +127,13 @@ def module_files(declarations: DataFrame, inventory: DataFrame, scope: list[str]
 
 
 def evaluate(expectations: DataFrame, results: DataFrame) -> DataFrame:
-    """(suite, task, category, passed): expectations (suite, task, category, id, top_k) met by ranked results (task, id, rank)."""
-    got = expectations.join(results, ["task", "id"], "left")
-    return got.select("suite", "task", "category", "id", (F.coalesce(F.col("rank") <= F.col("top_k"), F.lit(False))).alias("passed"))
+    """(suite, task, category, id, passed): expectations (suite, task, category, id, top_k) against ranked results (task, id, rank).
+
+    category forbidden: the id is not among the first top_k, or not at all where top_k is null; at-most: the task has no
+    more than top_k results; any other: the id is among the first top_k.
+    """
+    many = results.groupBy("task").agg(F.count("*").alias("_n"))
+    got = expectations.join(results, ["task", "id"], "left").join(many, "task", "left")
+    there = F.coalesce(F.col("rank") <= F.coalesce("top_k", F.col("rank")), F.lit(False))
+    passed = F.when(F.col("category") == "forbidden", ~there).when(F.col("category") == "at-most", F.coalesce("_n", F.lit(0)) <= F.col("top_k")).otherwise(there)
+    return got.select("suite", "task", "category", "id", passed.alias("passed"))

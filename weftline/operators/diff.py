@@ -97,3 +97,20 @@ def fingerprint(settings: dict[str, Column | str]) -> Column:
     """A hash of named settings, independent of their order."""
     cells = [F.concat(F.lit(k + "="), v if isinstance(v, Column) else F.lit(v)) for k, v in sorted(settings.items())]
     return F.sha2(F.concat_ws("\n", *cells), 256)
+
+
+SALTS = 64
+
+
+def marked_first(rows: DataFrame, key: str, order: str, most: int, total: str) -> DataFrame:
+    """Rows with `total`, the number of rows of their key, and `listed`: whether a row is among the first `most` of it.
+
+    No row is dropped. A key may have most of all rows: the last listed place is found within SALTS parts first, so no
+    task sorts a key's rows, and the counts are combined before they move. (key, order) is unique.
+    """
+    part = rows.select(key, order).withColumn("_s", F.pmod(F.xxhash64(order), F.lit(SALTS)))
+    few = part.withColumn("_n", F.row_number().over(Window.partitionBy(key, "_s").orderBy(order))).filter(F.col("_n") <= most)
+    last = few.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(order))).filter(F.col("_r") <= most)
+    upto = last.groupBy(key).agg(F.max(order).alias("_upto"))
+    per = rows.groupBy(key).agg(F.count("*").alias(total)).join(upto, key)
+    return rows.join(per, key).withColumn("listed", F.col(order) <= F.col("_upto")).drop("_upto")

@@ -73,6 +73,7 @@ class ContentState:
         if not self.spark.catalog.tableExists(name):
             columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.schema.fields)
             self.spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (k1, k2) SORTED BY (k1, k2) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{table}'")
+        self.spark.catalog.refreshTable(name)  # another session, as those of streams are, may have added files
         return self.spark.table(name).filter(F.col("segment").isin(segments))
 
     def _write(self, rows: DataFrame, table: str) -> int:
@@ -120,15 +121,18 @@ class ContentState:
         h1, h2 = self._hashes()
         base = F.lit(version << HASH_BITS)
         new = there.withColumn("version", F.lit(version).cast("long")).withColumn("v1", base + h1).withColumn("v2", base + h2)
-        if self.order_kind:
+        known = differs = None
+        if not manifest["segments"]:
+            pass  # everything is new
+        elif self.order_kind:
             known = self._newest(manifest).select("k1", "k2", F.col("content_hash").alias("_known"), F.col("order").alias("_order"), F.lit(True).alias("_there"))
             differs = F.col("_there").isNull() | (F.struct("order", "content_hash") > F.struct("_order", "_known"))
         else:
             known = self._known(manifest).select("k1", "k2", F.col("v1").alias("_1"), F.col("v2").alias("_2"))
             other = [F.col(f"v{n}").bitwiseAND(F.lit(low)) != F.col(f"_{n}").bitwiseAND(F.lit(low)) for n in (1, 2)]
             differs = F.col("_1").isNull() | other[0] | other[1]
-        joined = new.join(known, ["k1", "k2"], "left") if manifest["segments"] else new.withColumns({"_1": F.lit(None).cast("long"), "_2": F.lit(None).cast("long"), "_there": F.lit(None).cast("boolean"), "_order": F.lit(None), "_known": F.lit(None)})
-        changed = joined.filter(differs).select(*[f.name for f in self.schema.fields[:-1]])
+        met = new.join(known, ["k1", "k2"], "left").filter(differs) if manifest["segments"] else new
+        changed = met.select(*[f.name for f in self.schema.fields[:-1]])
         if "k1" not in current.columns:
             changed = changed.repartition(self.buckets, "k1", "k2")
         segment = self._write(changed, manifest["table"])

@@ -75,7 +75,7 @@ def qualify(calls: DataFrame, endpoints: DataFrame, on: list[str], most: int = 6
     """(call, qualification, target, candidates): RESOLVED by one endpoint, AMBIGUOUS by several, UNRESOLVED by none.
 
     `calls` has call and the columns of `on`, `endpoints` endpoint and the same. At most `most` candidates are listed;
-    n has their full number.
+    n has their full number, and candidates() gives every one.
     """
     pairs = calls.join(endpoints.select("endpoint", *on).distinct(), on, "left")
     per = pairs.groupBy("call").agg(F.count_distinct("endpoint").alias("n"), F.min("endpoint").alias("one"))
@@ -91,6 +91,12 @@ def qualify(calls: DataFrame, endpoints: DataFrame, on: list[str], most: int = 6
     )
 
 
+def candidates(calls: DataFrame, endpoints: DataFrame, on: list[str]) -> DataFrame:
+    """(call, endpoint, n): every endpoint of every call, with how many the call has; calls without one give no row."""
+    pairs = calls.select("call", *on).distinct().join(endpoints.select("endpoint", *on).distinct(), on).select("call", "endpoint").distinct()
+    return pairs.join(pairs.groupBy("call").agg(F.count("*").alias("n")), "call")
+
+
 def cascade(df: DataFrame, key: str, tests: list[tuple[str, Column]]) -> DataFrame:
     """(key, match_kind): the first test a row meets; rows that meet none are left out, repeated keys are one."""
     kind, rank = None, None

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weftline.functions import text as X
 from weftline.operators import bundle as B
 from weftline.operators import context as C
+from weftline.operators import diff as D
 from weftline.operators import graph as G
 from weftline.operators import rules as R
 from weftline.operators import text_search as S
@@ -78,13 +79,10 @@ def lineage_nodes_upsert(spark: SparkSession, d: str) -> DataFrame:
 
 
 def api_impact(spark: SparkSession, d: str) -> DataFrame:
-    """Direct impacts of deleted nodes: unresolved evidence that names one as a candidate; one hop, capped, with the full count."""
+    """Direct impacts of deleted nodes: unresolved evidence that names one as a candidate; all of it, the first 64 of a node marked."""
     gone = table(spark, d, "node_registry", "node_id", "deleted_at").filter(F.col("deleted_at").isNotNull()).select("node_id").distinct()
     refs = table(spark, d, "api_unresolved", "unresolved_no", "candidate_node_ids").select("unresolved_no", F.explode("candidate_node_ids").alias("node_id")).distinct()
-    hit = refs.join(gone, "node_id")
-    n = F.row_number().over(Window.partitionBy("node_id").orderBy("unresolved_no"))
-    total = F.count("*").over(Window.partitionBy("node_id"))
-    return hit.withColumns({"n": n, "impacts": total}).filter("n <= 64").drop("n")
+    return D.marked_first(refs.join(gone, "node_id"), "node_id", "unresolved_no", 64, "impacts")
 
 
 def unresolved_qualification(spark: SparkSession, d: str) -> DataFrame:
@@ -111,17 +109,21 @@ def semantic_summary_diff(spark: SparkSession, d: str) -> DataFrame:
 
 
 def regression_evaluation(spark: SparkSession, d: str) -> DataFrame:
-    """Expectations of candidates met by a search, as rates and a verdict for each suite."""
-    part = table(spark, d, "part", "p_partkey", "p_name", "p_size")
-    names = ("red ring", "small bolt", "hot gear")
-    expect = part.filter(F.col("p_name").isin(*names) & (F.col("p_size") > 25)).select(
-        F.when(F.col("p_size") % 2 == 0, "even").otherwise("odd").alias("suite"), F.col("p_name").alias("task"), F.lit("candidate").alias("category"),
-        F.concat(F.lit("part:"), F.col("p_partkey")).alias("id"), F.lit(15).alias("top_k"),
-    )
+    """Expectations about searches, one for each part name, as rates and a verdict for each suite and family.
+
+    A task's results are its parts in order. required: large parts stand among the first 15; forbidden: none of size 1
+    is among them; at-most: there are no more than 12 results.
+    """
+    part = table(spark, d, "part", "p_partkey", "p_name", "p_size").filter(F.col("p_name").isNotNull() & F.col("p_partkey").isNotNull())
+    key = F.concat(F.lit("part:"), F.col("p_partkey"))
+    suite = F.when(F.col("p_size") % 2 == 0, "even").otherwise("odd")
+    row = lambda when, family, most: part.filter(when).select(suite.alias("suite"), F.col("p_name").alias("task"), F.lit(family).alias("category"), key.alias("id"), F.lit(most).alias("top_k"))
+    limits = part.select(F.lit("all").alias("suite"), F.col("p_name").alias("task"), F.lit("at-most").alias("category"), F.lit(None).cast("string").alias("id"), F.lit(12).alias("top_k")).distinct()
+    expect = row(F.col("p_size") > 25, "required", 15).unionByName(row(F.col("p_size") == 1, "forbidden", 15)).unionByName(limits)
     n = F.row_number().over(Window.partitionBy("task").orderBy("id"))
-    results = part.filter(F.col("p_name").isin(*names)).select(F.col("p_name").alias("task"), F.concat(F.lit("part:"), F.col("p_partkey")).alias("id")).withColumn("rank", n)
+    results = part.select(F.col("p_name").alias("task"), key.alias("id")).withColumn("rank", n)
     got = B.evaluate(expect, results)
-    return got.groupBy("suite").agg(
+    return got.groupBy("suite", "category").agg(
         F.count_if("passed").alias("passed"), F.count("*").alias("expected"), F.round(C.pass_rate(F.col("passed"), F.lit(True)), 6).alias("rate"),
         C.verdict(F.lit(False), ~F.col("passed")).alias("verdict"),
     )
@@ -139,8 +141,10 @@ def overlapping_blocks(spark: SparkSession, d: str) -> DataFrame:
     """How many other evidence lines of the same file lie within five lines of each, without forming pairs."""
     refs = table(spark, d, "lineage_edges", "edge_no", "evidence_refs").distinct().select("edge_no", F.explode("evidence_refs").alias("e"))
     rows = refs.select(F.col("e.file_path").alias("path"), F.col("e.line").alias("line"), "edge_no").filter(F.col("path").isNotNull() & F.col("line").isNotNull()).distinct()
-    near = F.count("*").over(Window.partitionBy("path").orderBy("line").rangeBetween(-5, 5)) - 1
-    return rows.select("path", "line", "edge_no", near.alias("near"))
+    # counts of a line first: a file has as many rows in the window as it has lines, however many facts
+    per = rows.groupBy("path", "line").agg(F.count("*").alias("n"))
+    near = per.withColumn("near", F.sum("n").over(Window.partitionBy("path").orderBy("line").rangeBetween(-5, 5)) - 1).drop("n")
+    return rows.join(near, ["path", "line"]).select("path", "line", "edge_no", "near")
 
 
 QUERIES = {f.__name__: f for f in (
@@ -190,7 +194,7 @@ SELECT node_id, l[2] AS label, CASE r WHEN 4 THEN 'explicit' WHEN 3 THEN 'inferr
     "api_impact": """
 WITH h AS (SELECT DISTINCT unresolved_no, node_id FROM (SELECT unresolved_no, unnest(candidate_node_ids) AS node_id FROM api_unresolved)
   WHERE node_id IN (SELECT node_id FROM node_registry WHERE deleted_at IS NOT NULL))
-SELECT node_id, unresolved_no, impacts FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY unresolved_no) AS n, count(*) OVER (PARTITION BY node_id) AS impacts FROM h) WHERE n <= 64""",
+SELECT node_id, unresolved_no, count(*) OVER (PARTITION BY node_id) AS impacts, row_number() OVER (PARTITION BY node_id ORDER BY unresolved_no) <= 64 AS listed FROM h""",
     "unresolved_qualification": """
 WITH i AS (SELECT DISTINCT unresolved_no, node_id FROM (SELECT unresolved_no, unnest(candidate_node_ids) AS node_id FROM api_unresolved)),
 k AS (SELECT unresolved_no, count(*) AS n FROM i WHERE node_id IN (SELECT node_id FROM node_registry) GROUP BY unresolved_no),
@@ -203,9 +207,11 @@ c AS (SELECT repo, kind, count(DISTINCT CASE WHEN snapshot_no = lo THEN node_id
   FROM node_snapshots JOIN e USING (repo, snapshot_no, delivery_no) WHERE snapshot_no IN (lo, hi) GROUP BY repo, kind)
 SELECT repo, kind, first_nodes, last_nodes FROM c WHERE first_nodes <> last_nodes""",
     "regression_evaluation": """
-WITH p AS (SELECT *, 'part:' || p_partkey AS id, row_number() OVER (PARTITION BY p_name ORDER BY 'part:' || p_partkey) AS rank FROM part WHERE p_name IN ('red ring', 'small bolt', 'hot gear')),
-x AS (SELECT CASE WHEN p_size % 2 = 0 THEN 'even' ELSE 'odd' END AS suite, rank <= 15 AS passed FROM p WHERE p_size > 25)
-SELECT suite, CAST(count_if(passed) AS BIGINT) AS passed, count(*) AS expected, round(count_if(passed) / count(*), 6) AS rate, CASE WHEN bool_and(passed) THEN 'PASS' ELSE 'REGRESSION' END AS verdict FROM x GROUP BY suite""",
+WITH p AS (SELECT *, 'part:' || p_partkey AS id, row_number() OVER (PARTITION BY p_name ORDER BY 'part:' || p_partkey) AS rank FROM part WHERE p_name IS NOT NULL AND p_partkey IS NOT NULL),
+x AS (SELECT CASE WHEN p_size % 2 = 0 THEN 'even' ELSE 'odd' END AS suite, 'required' AS category, rank <= 15 AS passed FROM p WHERE p_size > 25
+  UNION ALL SELECT CASE WHEN p_size % 2 = 0 THEN 'even' ELSE 'odd' END, 'forbidden', rank > 15 FROM p WHERE p_size = 1
+  UNION ALL SELECT 'all', 'at-most', count(*) <= 12 FROM p GROUP BY p_name)
+SELECT suite, category, CAST(count_if(passed) AS BIGINT) AS passed, count(*) AS expected, round(count_if(passed) / count(*), 6) AS rate, CASE WHEN bool_and(passed) THEN 'PASS' ELSE 'REGRESSION' END AS verdict FROM x GROUP BY suite, category""",
     "usage_owner_pairs": """
 SELECT DISTINCT o.source AS owner, u.source AS via, u.target AS used FROM lineage_edges u JOIN lineage_edges o ON o.target = u.source
 WHERE u.kind IN ('reads-field', 'renders-field') AND o.kind IN ('creates-view-model', 'derives-field', 'passes-prop') AND o.source IS NOT NULL AND u.target IS NOT NULL""",

@@ -151,13 +151,21 @@ def alias_resolution(spark: SparkSession, d: str) -> DataFrame:
     return V.resolve_aliases(names.unionByName(plain), spark.createDataFrame(ALIASES, "pattern string, replacement string"))
 
 
-def api_match_qualification(spark: SparkSession, d: str) -> DataFrame:
-    """Client calls (users with an event type) against endpoints (customers of a nation) on one key."""
+def _calls_and_ends(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     e = table(spark, d, "events", "event_id", "user_id")
     calls = e.select(F.col("event_id").alias("call"), (F.col("user_id") * 3).alias("k"))
     ends = table(spark, d, "customer", "c_custkey", "c_nationkey").filter(F.col("c_nationkey") < 12)
-    ends = ends.select(F.concat(F.lit("customer:"), F.col("c_custkey")).alias("endpoint"), F.when(F.col("c_custkey") % 4 == 0, F.col("c_custkey") + 3).otherwise(F.col("c_custkey")).alias("k"))
-    return V.qualify(calls, ends, ["k"])
+    return calls, ends.select(F.concat(F.lit("customer:"), F.col("c_custkey")).alias("endpoint"), F.when(F.col("c_custkey") % 4 == 0, F.col("c_custkey") + 3).otherwise(F.col("c_custkey")).alias("k"))
+
+
+def api_match_qualification(spark: SparkSession, d: str) -> DataFrame:
+    """Client calls (users with an event type) against endpoints (customers of a nation) on one key."""
+    return V.qualify(*_calls_and_ends(spark, d), ["k"])
+
+
+def api_match_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Every endpoint of every client call."""
+    return V.candidates(*_calls_and_ends(spark, d), ["k"])
 
 
 def relationship_query(spark: SparkSession, d: str) -> DataFrame:
@@ -272,7 +280,7 @@ QUERIES = {f.__name__: f for f in (
     candidate_retained_dropped, candidate_adjusted_scores, focus_confidence, near_tie_conflicts, role_boosts,
     evidence_allocation, greedy_packing, interval_merge, interval_merge_in_order, budget_rollup, condition_coverage,
     focus_resolution, selector_cascade, import_resolution, import_name_resolution, alias_resolution,
-    api_match_qualification, relationship_query, import_target_proof, pass_rates, suite_verdict, precision_recall,
+    api_match_qualification, api_match_candidates, relationship_query, import_target_proof, pass_rates, suite_verdict, precision_recall,
     docs_preservation, changed_surface, freshness, language_counts, largest_files_top10, bounded_samples, audit_ledger,
     symbol_ids, tumbling_events, session_events, grouping_sets_lineitem,
 )}
@@ -366,6 +374,9 @@ SELECT path, k.a AS a, k.z AS b FROM f""",
     "alias_resolution": """
 SELECT DISTINCT '@part/' || p_name AS specifier, CASE WHEN p_name = 'red ring' THEN 'lib/red-ring' WHEN starts_with(p_name, 'small') THEN 'lib/small/' || substr(p_name, 6) ELSE 'lib/part/' || p_name END AS target FROM part
 UNION ALL SELECT DISTINCT p_brand, 'any/' || p_brand FROM part""",
+    "api_match_candidates": """
+WITH e AS (SELECT DISTINCT 'customer:' || c_custkey AS endpoint, CASE WHEN c_custkey % 4 = 0 THEN c_custkey + 3 ELSE c_custkey END AS k FROM customer WHERE c_nationkey < 12),
+p AS (SELECT DISTINCT event_id AS call, endpoint FROM events JOIN e ON e.k = user_id * 3) SELECT call, endpoint, count(*) OVER (PARTITION BY call) AS n FROM p""",
     "api_match_qualification": """
 WITH e AS (SELECT DISTINCT 'customer:' || c_custkey AS endpoint, CASE WHEN c_custkey % 4 = 0 THEN c_custkey + 3 ELSE c_custkey END AS k FROM customer WHERE c_nationkey < 12),
 p AS (SELECT event_id AS call, count(DISTINCT endpoint) AS n, min(endpoint) AS one, string_agg(endpoint, '|' ORDER BY endpoint) AS c FROM events LEFT JOIN e ON e.k = user_id * 3 GROUP BY event_id)
