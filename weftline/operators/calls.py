@@ -39,14 +39,15 @@ def edges(facts: DataFrame, inventory: DataFrame) -> DataFrame:
     """(repo, path, caller, caller_line, callee, call_line, target, symbol, symbol_line, resolution) of calls in named functions.
 
     `facts` has repo, path and the fields of a fact (records symbol, call, binding, export); `inventory` repo and path.
-    In scripts a callee is known only through import_targets(), and not where it is shadowed. In other languages a plain
+    In scripts a callee is known only through import_targets(), and not where the file or a function declares the name
+    (kinds local and shadowed of a call). In other languages a plain
     name, or the last part of one, is known if the file declares it exactly once as something callable. resolution:
     import, local, shadowed or unknown.
     """
     script = extension(F.col("path")).isin(*SCRIPTS)
     called = facts.filter((F.col("record") == "call") & (F.col("owner") != "") & (F.col("kind") != "new")).select(
         "repo", "path", F.col("owner").alias("caller"), F.col("end_line").alias("caller_line"), F.col("name").alias("callee"),
-        F.col("line").alias("call_line"), (F.col("kind") == "shadowed").alias("shadowed"), script.alias("script"),
+        F.col("line").alias("call_line"), F.col("kind").isin("shadowed", "local").alias("shadowed"), script.alias("script"),
     )
     through = import_targets(facts, inventory).select("repo", "path", F.col("local").alias("callee"), "target", "symbol", F.col("line").alias("symbol_line"))
     imported = called.filter("script and not shadowed").join(through, ["repo", "path", "callee"], "left")

@@ -104,17 +104,38 @@ class ContentState:
         rows = self._rows(manifest["table"], manifest["segments"])
         return rows.groupBy("k1", "k2").agg(F.max("v1").alias("v1"), F.max("v2").alias("v2"))
 
+    def runs(self, names: Sequence[str]) -> DataFrame:
+        """(run, keys, content_hash, version): what the named runs selected, each table's files read once."""
+        where = self.manifest()["runs"]
+        wanted = [(where[n][0], where[n][1], n) for n in names if n in where]
+        out = None
+        for table in dict.fromkeys(t for t, _, _ in wanted):
+            named = F.create_map(*[x for t, s, n in wanted if t == table for x in (F.lit(s).cast("long"), F.lit(n))])
+            rows = self.spark.read.schema(self.schema).parquet(f"{self.path}/{table}").filter(F.col("segment").isin([s for t, s, _ in wanted if t == table]))
+            part = rows.select(named[F.col("segment")].alias("run"), *self.keys, "content_hash", "version")
+            out = part if out is None else out.unionByName(part)
+        if out is None:
+            out = self.spark.createDataFrame([], T.StructType([T.StructField("run", T.StringType()), *self.key_fields, T.StructField("content_hash", T.StringType()), T.StructField("version", T.LongType())]))
+        return out
+
     def process(self, current: DataFrame, run: str) -> DataFrame:
+        """What run() commits, as rows; see there.
+
+        Returns (keys, content_hash, version) of the changed keys.
+        """
+        self.run(current, run)
+        out = [*self.keys, "content_hash", *(["order"] if self.order_kind else []), "version"]
+        return self._of_run(self.manifest()["runs"][run], out)
+
+    def run(self, current: DataFrame, run: str) -> None:
         """Keys of `current` (keys, content_hash; one row per key) whose hash differs from the state, then commit.
 
-        Returns (keys, content_hash, version) of the changed keys; a null hash is kept in the state, so that the key
-        counts as different once it has a hash again. Keys missing from `current` keep their state. With order_by(),
+        A null hash is kept in the state, so that the key counts as different once it has a hash again. Keys missing from `current` keep their state. With order_by(),
         `current` has a column order too, and the keys are those whose (order, hash) is greater than the state's.
         """
         manifest = self.manifest()
-        out = [*self.keys, "content_hash", *(["order"] if self.order_kind else []), "version"]
         if run in manifest["runs"]:
-            return self._of_run(manifest["runs"][run], out)
+            return
         version, low = manifest["version"] + 1, (1 << HASH_BITS) - 1
         kept = [*self.keys, "content_hash"] + (["order"] if self.order_kind else [])
         there = current.select(*kept, *([] if "k1" in current.columns else self.key_hashes()), *[c for c in ("k1", "k2") if c in current.columns])
@@ -139,7 +160,6 @@ class ContentState:
         self._publish(manifest | {"version": version, "segments": [*manifest["segments"], segment], "runs": manifest["runs"] | {run: [manifest["table"], segment]}})
         if len(manifest["segments"]) + 1 >= COMPACT_AFTER:
             self.compact()
-        return self._of_run([manifest["table"], segment], out)
 
     def _of_run(self, where: list, columns: list[str]) -> DataFrame:
         table, segment = where
@@ -209,15 +229,10 @@ def replay_runs(spark: SparkSession, records: DataFrame, runs: DataFrame, state_
         .option("path", prepared).saveAsTable(name)
     )
     steps = sorted(int(n.split("=", 1)[1]) for n in list_names(spark, prepared) if n.startswith("step="))
-    parts = []
     for step in steps:
-        batch = spark.table(name).filter(F.col("step") == step)
-        parts.append(state.process(batch, f"step-{step}").filter(F.col("content_hash").isNotNull()).select("repo", "path", "content_hash", F.lit(step).alias("step")))
-    if not parts:
-        return spark.createDataFrame([], "run_no int, path string, content_sha256 string")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        state.run(spark.table(name).filter(F.col("step") == step), f"step-{step}")
+    got = state.runs([f"step-{step}" for step in steps]).filter(F.col("content_hash").isNotNull())
+    out = got.withColumn("step", F.substring_index("run", "-", -1).cast("int"))
     state.close()
     spark.sql(f"DROP TABLE IF EXISTS {name}")
     return out.join(ordered.select("repo", "step", "run_no"), ["repo", "step"]).select(

@@ -82,14 +82,24 @@ def build_graph(files: DataFrame, symbols: DataFrame, imports: DataFrame, facts:
     dep = F.when(F.col("kind").isin("re-export", "export-all"), F.col("kind")).otherwise("import")
     deps = imports.filter((F.col("status") == "resolved") & (F.col("target") != F.col("importer")))
     files_on = graph.primary_kind(deps.select(node("importer").alias("source"), node("target").alias("target"), dep.alias("dep")))
-    # a callee is what an import binding says, in other languages than scripts a symbol of the file; see calls.edges()
+    # a callee is what an import binding says, see calls.edges(), or a symbol of the file; in other languages than scripts
+    # also what exactly one imported file declares under the name. Several matches are dropped
     able = symbols.filter(F.col("kind").isin(*CALLABLE, "const", "class"))
-    whole = facts.withColumn("repo", F.lit(""))
-    met = calls.edges(whole, files.select(F.lit("").alias("repo"), "path")).filter(F.col("target").isNotNull())
+    met = calls.edges(facts.withColumn("repo", F.lit("")), files.select(F.lit("").alias("repo"), "path"))
+    of = met.select("path", F.substring_index("caller", ".", -1).alias("caller"), "callee", "call_line", "target", "symbol", "symbol_line", "resolution")
     callee = able.groupBy(F.col("path").alias("target"), F.col("name").alias("symbol"), F.col("line").alias("symbol_line")).agg(F.count("*").alias("n"), F.min("node_id").alias("to")).filter("n = 1").drop("n")
+    known = of.filter(F.col("target").isNotNull()).join(callee, ["target", "symbol", "symbol_line"]).select("path", "caller", "call_line", "to")
+    open_ = of.filter(F.col("target").isNull()).select("path", "caller", "call_line", "resolution", "callee", F.regexp_extract("callee", r"([^.:]+)$", 1).alias("name"))
+    own = able.filter(F.col("owner") == "").groupBy("path", "name").agg(F.count("*").alias("n"), F.min("node_id").alias("to")).filter("n = 1").drop("n")
+    named = facts.filter((F.col("record") == "call") & (F.col("kind") == "local")).select("path", F.col("owner").alias("caller"), F.col("line").alias("call_line"), "name").distinct()
+    here = named.join(own, ["path", "name"]).select("path", "caller", "call_line", "to")
+    script = X.extension(F.col("path")).isin(*calls.SCRIPTS)
+    reach = deps.select(F.col("importer").alias("path"), F.col("target").alias("at")).distinct().join(able.filter("exported").select(F.col("path").alias("at"), "name", "node_id"), "at")
+    far = reach.groupBy("path", "name").agg(F.count_distinct("node_id").alias("n"), F.min("node_id").alias("to")).filter("n = 1").drop("n")
+    there = open_.filter(~script).join(far, ["path", "name"]).select("path", "caller", "call_line", "to")
     caller = able.groupBy("path", F.col("name").alias("caller")).agg(F.count("*").alias("m"), F.min("node_id").alias("source")).filter("m = 1").drop("m")
-    met = met.withColumn("caller", F.substring_index("caller", ".", -1))
-    called = met.join(callee, ["target", "symbol", "symbol_line"]).join(caller, ["path", "caller"]).select("source", F.lit("calls").alias("kind"), F.col("to").alias("target"), F.col("call_line").alias("line")).distinct()
+    every = known.unionByName(here).unionByName(there)
+    called = every.join(caller, ["path", "caller"]).select("source", F.lit("calls").alias("kind"), F.col("to").alias("target"), F.col("call_line").alias("line")).distinct()
     called = called.withColumn("id", graph.edge_id(F.col("source"), F.col("kind"), F.col("target"), F.col("line"))).drop("line")
     edges = owned.unionByName(files_on).unionByName(called)
     return nodes, rules.first_of(edges, ["id"], ["kind"])

@@ -66,9 +66,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A fresh path under the shared folder."""
-    return f"{shared_dir(spark)}/weftline-{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/weftline-{label}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete all scratch folders this process made, once their results are no longer read; how many."""
+    n = len(_made)
+    while _made:
+        delete(spark, _made.pop())
+    return n
 
 
 def materialize(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Declarations are found where the grammar puts them (statements, class bodies), not by what a line looks like. Import and
 export bindings are kept by name, so calls can be joined to what other files export; a call whose name is declared or
-written in an enclosing function, or in the file, is marked as shadowed and is not joined.
+written in an enclosing function is marked as shadowed, one whose name the file itself declares or writes as local.
 """
 
 from __future__ import annotations
@@ -757,8 +757,8 @@ class Script:
             self.commonjs()
         for name, line, who, at, new, scopes in self.calls:
             base = name.split(".", 1)[0]
-            shadowed = any(base in s.hidden for s in scopes)
-            kind = "new" if new else "shadowed" if shadowed else "call"
+            hidden = [s.kind for s in scopes if base in s.hidden]
+            kind = "new" if new else "call" if not hidden else "local" if hidden == ["file"] and name == base else "shadowed"
             self.add("call", name, kind, line, at or None, owner=who)
         for name, text, line, who in self.uses:
             if name in self.wrappers:

@@ -174,7 +174,7 @@ def script(text: str, jsx: bool) -> Stream:
         if mode[0] == "children":
             m = _CHILD.match(text, i)
             if m.group().strip():
-                t.add("jsxtext", i, m.end(), " ".join(m.group().split()))
+                t.add("jsxtext", i, m.end(), " ".join(x.strip() for x in m.group().split("\n") if x.strip()))
             i = m.end()
             if text.startswith("</", i):
                 i = text.find(">", i) + 1 or n
