@@ -9,7 +9,7 @@ from tests.conftest import SF
 from weftline.functions import text as X
 from weftline.operators import exact_scan, references, snapshot_diff, text_search
 from weftline.operators.ordinals import KeyOrdinals
-from weftline.plans import change_queries, search_queries
+from weftline.plans import assembly_queries, change_queries, search_queries
 from weftline.session import scratch, table
 
 
@@ -58,6 +58,25 @@ def test_no_cartesian_products(spark, name):
     assert "CartesianProduct" not in text
 
 
+def test_pairs_of_a_hub_are_spread_and_not_moved(spark, tmp_path):
+    """Two kinds give the same pair, rows are repeated and ends are null; the hub has 1100 owners and 1300 used nodes."""
+    n = spark.range(1100 * 2).select((F.col("id") % 1100).cast("string").alias("k"), F.when(F.col("id") < 1100, "passes-prop").otherwise("derives-field").alias("kind"))
+    m = spark.range(1300 * 2).select((F.col("id") % 1300).cast("string").alias("k"), F.lit("reads-field").alias("kind"))
+    owns = n.select("kind", F.concat(F.lit("o"), "k").alias("source"), F.lit("hub").alias("target"))
+    uses = m.select("kind", F.lit("hub").alias("source"), F.concat(F.lit("u"), "k").alias("target"))
+    few = [("passes-prop", "a", "b"), ("renders-field", "b", "c"), ("reads-field", "b", "c"), ("renders-field", "b", None), ("relates-to", "x", "b"),
+           ("passes-prop", None, "b"), ("derives-field", "a", "alone"), (None, "a", "b"), ("passes-prop", "o1", None), ("reads-field", None, "u")]
+    owns.union(uses).union(spark.createDataFrame(few, "kind string, source string, target string")).write.parquet(str(tmp_path / "lineage_edges.parquet"))
+    df = assembly_queries.usage_owner_pairs(spark, str(tmp_path))
+    assert not any("owner#" in e and "used#" in e for e in exchanges(plan(df)))
+    got = df.cache()
+    assert got.count() == got.distinct().count() == 1100 * 1300 + 1
+    assert [tuple(r) for r in got.filter("via <> 'hub'").collect()] == [("a", "b", "c")]
+    per = [r[1] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    got.unpersist()
+    assert max(per) < 0.6 * sum(per)
+
+
 def test_column_expressions_stay_in_the_jvm(spark):
     df = spark.createDataFrame([("a/b",)], "p string").select(X.normalize(F.col("p")), X.encode_component(F.col("p")), X.shorten(F.col("p")))
     assert "Python" not in plan(df)

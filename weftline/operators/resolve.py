@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.text import dirname, normalize
+from weftline.session import MOST_PARTITIONS, materialize
 
 # fixed values: what is tried for a relative import without an extension, in order
 PROBES = ("", ".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js", "/index.jsx")
 # written extensions that stand for a source file of another one
 SWAPS = ((".js", ".ts"), (".js", ".tsx"), (".jsx", ".tsx"))
+# rows of either side in a block of pairs, about, and pairs that one task gives, about
+BLOCK_SIDE = 512
+TASK_PAIRS = 1 << 20
 
 
 def import_candidates(importer: Column, specifier: Column) -> Column:
@@ -97,6 +101,30 @@ def candidates(calls: DataFrame, endpoints: DataFrame, on: list[str]) -> DataFra
     return pairs.join(pairs.groupBy("call").agg(F.count("*").alias("n")), "call")
 
 
+def pairs_through(spark: SparkSession, ends: DataFrame) -> DataFrame:
+    """(owner, via, used): every owner with every used node of the same via, each triple once.
+
+    `ends` has via, end and owns: whether end is an owner there, else it is used. Ends are made distinct before they meet,
+    so no pair is compared or moved afterwards. A via of m owners and n used nodes is cut into a grid of blocks, and each
+    end is copied to the blocks of its row or column: what moves is the ends and some 1/256 of the pairs, and a task's
+    pairs follow from the count of all pairs, not from the degree of one node.
+    """
+    ends = ends.distinct()
+    per = ends.groupBy("via").agg(F.count_if("owns").alias("m"), F.count_if(~F.col("owns")).alias("n")).filter("m > 0 AND n > 0")
+    met = materialize(spark, ends.join(per, "via"), "ends")
+    total = met.filter("owns").agg(F.sum("n")).first()[0] or 0
+    parts = min(MOST_PARTITIONS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // TASK_PAIRS + 1))
+    rows, cols = F.ceil(F.col("m") / BLOCK_SIDE), F.ceil(F.col("n") / BLOCK_SIDE)
+    own = F.pmod(F.xxhash64("end"), F.when(F.col("owns"), rows).otherwise(cols))
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("owns"), cols).otherwise(rows) - 1))
+    placed = met.select("via", "end", "owns", own.alias("own"), copies.alias("copy")).select(
+        "via", F.when(F.col("owns"), F.col("own")).otherwise(F.col("copy")).alias("row"), F.when(F.col("owns"), F.col("copy")).otherwise(F.col("own")).alias("col"),
+        F.when(F.col("owns"), F.col("end")).alias("owner"), F.when(~F.col("owns"), F.col("end")).alias("used"),
+    )
+    block = placed.repartition(parts, "via", "row", "col").groupBy("via", "row", "col").agg(F.collect_list("owner").alias("owners"), F.collect_list("used").alias("used"))
+    return block.select("via", "owners", F.explode("used").alias("used")).select(F.explode("owners").alias("owner"), "via", "used")
+
+
 def cascade(df: DataFrame, key: str, tests: list[tuple[str, Column]]) -> DataFrame:
     """(key, match_kind): the first test a row meets; rows that meet none are left out, repeated keys are one."""
     kind, rank = None, None

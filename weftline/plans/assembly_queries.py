@@ -10,6 +10,7 @@ from weftline.operators import bundle as B
 from weftline.operators import context as C
 from weftline.operators import diff as D
 from weftline.operators import graph as G
+from weftline.operators import resolve as V
 from weftline.operators import rules as R
 from weftline.operators import text_search as S
 from weftline.plans.search_queries import DOC_QUERY
@@ -131,10 +132,10 @@ def regression_evaluation(spark: SparkSession, d: str) -> DataFrame:
 
 def usage_owner_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of nodes that one edge of a kind joins and another of a kind joins back."""
-    e = table(spark, d, "lineage_edges", "kind", "source", "target").filter(F.col("source").isNotNull() & F.col("target").isNotNull()).distinct()
-    uses = e.filter(F.col("kind").isin("reads-field", "renders-field")).select("source", "target")
-    owns = e.filter(F.col("kind").isin("creates-view-model", "derives-field", "passes-prop")).select(F.col("source").alias("owner"), F.col("target").alias("source"))
-    return uses.join(owns, "source").select("owner", F.col("source").alias("via"), F.col("target").alias("used")).distinct()
+    uses, owns = F.col("kind").isin("reads-field", "renders-field"), F.col("kind").isin("creates-view-model", "derives-field", "passes-prop")
+    e = table(spark, d, "lineage_edges", "kind", "source", "target").filter((uses | owns) & F.col("source").isNotNull() & F.col("target").isNotNull())
+    via, end = (F.when(owns, F.col(a)).otherwise(F.col(b)) for a, b in (("target", "source"), ("source", "target")))
+    return V.pairs_through(spark, e.select(via.alias("via"), end.alias("end"), owns.alias("owns")))
 
 
 def overlapping_blocks(spark: SparkSession, d: str) -> DataFrame:
